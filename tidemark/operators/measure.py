@@ -78,7 +78,8 @@ def trend(master: DataFrame, keys: list[str]) -> DataFrame:
 # --- least squares per panel: Spark sums products, a task solves one small system ----------
 
 def gram(df: DataFrame, group: list[str], design: list[str], y: str, weight: Column | None = None) -> DataFrame:
-    """Upper triangle of X'X, X'y, y'y and n per group, in one partial aggregate."""
+    """Upper triangle of X'X, X'y, y'y and n per group over complete rows, in one aggregate."""
+    df = df.dropna(subset=[y, *design])
     w = weight if weight is not None else F.lit(1.0)
     xx = [F.sum(w * F.col(a) * F.col(b)) for a, b in combinations_with_replacement(design, 2)]
     xy = [F.sum(w * F.col(a) * F.col(y)) for a in design]

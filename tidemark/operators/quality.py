@@ -90,9 +90,9 @@ def global_outliers(master: DataFrame, keys: list[str], z: float = fx.ROBUST_Z)
     return global_robust_z(master, keys).where(F.abs("robust_z") > z)
 
 
-def year_end_anomalies(master: DataFrame, keys: list[str]) -> DataFrame:
+def year_end_anomalies(master: DataFrame, keys: list[str], limit: float = fx.ROBUST_Z) -> DataFrame:
     z = global_robust_z(master.where(F.col("role") == "kpi"), keys)
-    hit = (F.abs("robust_z") > fx.ROBUST_Z) & (F.col("n_values") >= fx.OUTLIER_MIN_VALUES)
+    hit = (F.abs("robust_z") > limit) & (F.col("n_values") >= fx.OUTLIER_MIN_VALUES)
     turn = iso_week(F.col(WEEK)).isin(*fx.YEAR_TURN_WEEKS)
     return z.where(hit & turn).select(*keys, "series", WEEK, "value", "robust_z",
                                       F.lit("year_end_anomaly").alias("code"), F.lit("warning").alias("severity"))

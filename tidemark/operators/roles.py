@@ -97,29 +97,26 @@ def validate_roles(roles: DataFrame, facts: DataFrame, keys: list[str]) -> DataF
     share = F.coalesce(F.col("n_num") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
     dates = F.coalesce(F.col("n_date") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
     role = F.col("role")
-    spend = (F.when(F.col("n_negative") > 0, _find("negative_spend", "blocking"))
-             .when(F.col("hi").isNull() | (F.col("hi") <= 0), _find("all_zero_channel", "blocking"))
-             .when(F.col("n_not_binary") == 0, _find("binary_column_as_spend", "blocking"))
-             .when(name_has(column, fx.VOLUME_WORDS), _find("spend_column_may_be_volume", "warning")))
-    kpi = (F.when(F.col("n_distinct") < fx.KPI_MIN_DISTINCT, _find("kpi_barely_varies", "blocking"))
-           .when(F.col("hi") <= 0, _find("kpi_not_positive", "blocking")))
-    negative_kpi = F.when(F.col("n_negative") > 0, _find("kpi_has_negatives", "warning"))
-    control = F.when(F.col("n_distinct") <= 1, _find("constant_control", "blocking"))
-    none = F.array().cast("array<struct<code:string,severity:string>>")
-    found = (F.when(F.col("n").isNull(), F.array(_find("column_missing", "blocking")))
-             .when(role == "ignore", none)
-             .when(role == "date", F.when(dates < fx.DATE_PARSE_SHARE,
-                                          F.array(_find("date_does_not_parse", "blocking"))).otherwise(none))
-             .when(share < fx.NUMERIC_SHARE, F.array(_find("not_numeric", "blocking")))
-             .when(F.col("is_identifier"), F.array(_find("looks_like_identifier", "blocking")))
-             .when(role == "spend", F.array_compact(F.array(spend)))
-             .when(role == "kpi", F.array_compact(F.array(kpi, negative_kpi)))
-             .when(role == "control", F.array_compact(F.array(control))))
-    return j.select(*keys, "role", F.explode(found).alias("_f")).select(*keys, "role", "_f.*")
-
-
-def _find(code: str, severity: str) -> Column:
-    return F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))
+    spend = (F.when(F.col("n_negative") > 0, "negative_spend")
+             .when(F.col("hi").isNull() | (F.col("hi") <= 0), "all_zero_channel")
+             .when(F.col("n_not_binary") == 0, "binary_column_as_spend")
+             .when(name_has(column, fx.VOLUME_WORDS), "spend_column_may_be_volume"))
+    kpi = (F.when(F.col("n_distinct") < fx.KPI_MIN_DISTINCT, "kpi_barely_varies")
+           .when(F.col("hi") <= 0, "kpi_not_positive"))
+    code = (F.when(F.col("n").isNull(), "column_missing")
+            .when(role == "date", F.when(dates < fx.DATE_PARSE_SHARE, "date_does_not_parse"))
+            .when(share < fx.NUMERIC_SHARE, "not_numeric")
+            .when(F.col("is_identifier"), "looks_like_identifier")
+            .when(role == "spend", spend).when(role == "kpi", kpi)
+            .when((role == "control") & (F.col("n_distinct") <= 1), "constant_control"))
+    judged = j.where(role != "ignore")
+    first = judged.select(*keys, "role", code.alias("code")).where(F.col("code").isNotNull())
+    # an outcome may be flagged for negative values on top of its first finding
+    usable = (role == "kpi") & (share >= fx.NUMERIC_SHARE) & ~F.coalesce("is_identifier", F.lit(False))
+    negative = (judged.where(usable & (F.col("n_negative") > 0))
+                .select(*keys, "role", F.lit("kpi_has_negatives").alias("code")))
+    mild = F.col("code").isin("spend_column_may_be_volume", "kpi_has_negatives")
+    return first.unionByName(negative).withColumn("severity", F.when(mild, "warning").otherwise("blocking"))
 
 
 def structural_findings(roles: DataFrame, keys: list[str]) -> DataFrame:
