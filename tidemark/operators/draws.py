@@ -7,6 +7,8 @@ bounded by the number of draws (times weeks where said), so exact percentiles ar
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import fixed_values as fx
@@ -43,7 +45,7 @@ def attribute_count(expected: DataFrame, contributions: DataFrame, keys: list[st
     lift = F.exp("mu") - F.exp(F.col("mu") - F.col("contrib"))
     j = j.withColumn("_lift", lift).withColumn("_media", F.exp("mu") - F.exp(F.col("mu") - F.sum("contrib").over(w)))
     total = F.sum("_lift").over(w)
-    share = F.when(F.abs(total) > 1e-12, F.col("_lift") * F.col("_media") / total).otherwise(0.0)
+    share = F.when(total > 0, F.col("_lift") * F.col("_media") / total).otherwise(0.0)
     ch = j.select(*at, F.col("series").alias("component"), share.alias("value"))
     left = j.groupBy(*at).agg((F.max(F.exp("mu")) - F.max("_media")).alias("value"))
     return ch.unionByName(left.select(*at, F.lit("baseline").alias("component"), "value"))
@@ -109,9 +111,6 @@ def predictive_normal(expected: DataFrame, keys: list[str], sigma: str, y_max: s
 
 def predictive_count(expected: DataFrame, keys: list[str], mean: str, dispersion: str, seed: int = 1) -> DataFrame:
     """Negative-binomial counts around ``mean``, with a generator seeded per row batch by hash."""
-    import numpy as np
-    import pandas as pd
-
     ids = [*keys, WEEK, "draw"]
 
     @F.pandas_udf("double")

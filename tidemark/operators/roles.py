@@ -33,8 +33,9 @@ def first_rows(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
 
 
 def date_score(cells: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
-    year = F.year(parse_date(F.col(raw)))
-    ok = F.count_if(F.coalesce(year.between(fx.DATE_MIN_YEAR, fx.DATE_MAX_YEAR), F.lit(False)))
+    # parsed in a projection of its own: the aggregate then stays small enough to compile
+    cells = cells.withColumn("_year", F.year(parse_date(F.col(raw))))
+    ok = F.count_if(F.coalesce(F.col("_year").between(fx.DATE_MIN_YEAR, fx.DATE_MAX_YEAR), F.lit(False)))
     return cells.groupBy(*keys).agg(
         F.coalesce(ok / F.nullif(F.count(raw), F.lit(0)), F.lit(0.0)).alias("score"))
 
@@ -75,8 +76,9 @@ def column_facts(cells: DataFrame, keys: list[str], order: str, raw: str = "raw"
     counting of a large column is never needed.
     """
     v = to_number(F.col(raw))
-    year = F.year(parse_date(F.col(raw)))
-    base = cells.withColumn("_v", v).groupBy(*keys).agg(
+    year = F.col("_year")
+    parsed = cells.withColumn("_v", v).withColumn("_year", F.year(parse_date(F.col(raw))))
+    base = parsed.groupBy(*keys).agg(
         F.count(raw).alias("n"), F.count("_v").alias("n_num"),
         F.min("_v").alias("lo"), F.max("_v").alias("hi"),
         F.count_if(F.col("_v") < 0).alias("n_negative"),

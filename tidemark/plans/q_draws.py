@@ -49,7 +49,7 @@ CNT_SQL = DRAWS_SQL + """, lf AS (SELECT c.panel, c.week_start, c.draw, series,
 
 
 @query("dr_attr_count", f"""WITH {CNT_SQL} SELECT panel, week_start, component, round({q('value','0.5')},9) AS p50 FROM (
-  SELECT panel, week_start, series AS component, CASE WHEN abs(t)>1e-12 THEN lift*media/t ELSE 0 END AS value FROM tot
+  SELECT panel, week_start, series AS component, CASE WHEN t>0 THEN lift*media/t ELSE 0 END AS value FROM tot
   UNION ALL SELECT panel, week_start, 'baseline', max(exp(mu))-max(media) FROM tot GROUP BY panel, week_start, draw) GROUP BY 1,2,3""")
 def _(spark, sf):
     a = dr.attribute_count(expected(spark, sf), contributions(spark, sf), KEYS)
