@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
+from tidemark.session import shared_folder
+
 WEEK = "week_start"
 
 
@@ -83,17 +85,10 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder named by ``spark.checkpoint.dir``.
-
-    Raises when the cluster names none: a machine-local folder would not survive the loss
-    of an executor.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not folder:
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        spark.sparkContext.setCheckpointDir(folder)
+    """Cut lineage in the shared folder, so the loss of an executor costs no recomputation."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -83,3 +83,24 @@ def prior_gate(prior_kpi: DataFrame, observed: DataFrame, keys: list[str], value
     span = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9))
     sane = (F.col("prior_hi") - F.col("prior_lo")) / span <= fx.PRIOR_GATE_WIDTH
     return j.withColumn("covers", covers).withColumn("width_ok", sane).withColumn("passed", covers & sane)
+
+
+def least_squares_fold(keys: list[str], columns: list[str], n_free: int, ridge: float = 1e-6) -> Callable:
+    """Default model of a fold: non-negative ridge on the design columns of its training weeks."""
+    from tidemark.operators.fit import nonneg_solve
+
+    def run(pdf):
+        train = pdf[~pdf["is_test"] & pdf["y"].notna()]
+        test = pdf[pdf["is_test"] & pdf["y"].notna()]
+        x = train[columns].to_numpy(float)
+        b = nonneg_solve(x.T @ x, x.T @ train["y"].to_numpy(float), n_free, ridge)
+        out = test[[*keys, "fold", WEEK]].copy()
+        out["actual"], out["fitted"] = test["y"], test[columns].to_numpy(float) @ b
+        return out
+
+    return run
+
+
+def fold_schema(df: DataFrame, keys: list[str]) -> str:
+    ids = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
+    return f"{ids}, fold int, {WEEK} date, actual double, fitted double"

@@ -152,33 +152,35 @@ def _allocated(ranges: DataFrame, picks: DataFrame, keys: list[str]) -> DataFram
                     (F.coalesce("taken", F.lit(0)) >= F.col("n_fit")).alias("at_cap")))
 
 
-def allocate_exact(ranges: DataFrame, keys: list[str], channels: list[str], steps: int = 40) -> DataFrame:
+def allocate_exact(ranges: DataFrame, keys: list[str], steps: int = 40) -> DataFrame:
     """Best split on the grid for curves of any shape, one channel folded in at a time.
 
-    The state of a budget is its best value for every number of steps spent; adding a channel
-    joins the state with that channel's value per step count. Rows per budget stay below
-    steps^2, independent of the number of panels and draws.
+    A budget is one row that carries its channels' values per step count. The state is the best
+    value for every number of steps, and a channel is added by trying all its step counts: work
+    of channels x steps^2 inside the row, no shuffle beyond gathering the channels.
     """
     at = [*keys, "scenario"]
     effects = F.transform(F.sequence(F.lit(0), F.col("n_fit")), lambda k: own_effect(F.col("low") + k * F.col("delta")) * F.col("y_max"))
-    values = ranges.select(*at, "series", effects.alias("_v"))
-    state = ranges.select(*at).distinct().select(
-        *at, F.lit(0).alias("spent"), F.lit(0.0).alias("best"), F.array().cast("array<int>").alias("picks"))
-    for name in channels:
-        one = values.where(F.col("series") == name).select(*at, "_v")
-        options = (state.join(one, at, "left")
-                   .withColumn("_v", F.coalesce("_v", F.array(F.lit(0.0))))
-                   .withColumn("_top", F.least(F.size("_v") - 1, F.lit(steps) - F.col("spent")))
-                   .withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_top")))))
-        gained = options.select(*at, (F.col("spent") + F.col("_k")).alias("spent"), (F.col("best") + F.get("_v", F.col("_k"))).alias("best"),
-                                F.array_append("picks", F.col("_k")).alias("picks"))
-        top = F.max_by(F.struct("best", "picks"), F.struct("best", "picks"))
-        state = gained.groupBy(*at, "spent").agg(top.alias("_t")).select(*at, "spent", "_t.*")
-    final = F.max_by("picks", F.struct("best", F.col("spent")))
-    chosen = state.groupBy(*at).agg(final.alias("picks"))
-    names = F.array(*[F.lit(c) for c in channels])
-    picks = (chosen.select(*at, F.explode(F.arrays_zip(names.alias("series"), F.col("picks").alias("taken"))).alias("_p"))
-             .select(*at, F.col("_p")["series"].alias("series"), F.col("_p")["taken"].alias("taken")))
+    rows = ranges.select(*at, "series", effects.alias("v")).groupBy(*at).agg(
+        F.array_sort(F.collect_list(F.struct("series", "v"))).alias("_ch"))
+    kind = "array<struct<best:double,picks:array<int>>>"
+    start = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda b: F.struct(F.lit(0.0).alias("best"), F.slice(F.array(b), 1, 0).alias("picks"))).cast(kind)
+
+    def add(state: Column, channel: Column) -> Column:
+        v = channel["v"]
+
+        def best_with(b: Column) -> Column:
+            options = F.transform(F.sequence(F.lit(0), F.least(F.size(v) - 1, b)), lambda k: F.struct(
+                (F.get(state, b - k)["best"] + F.get(v, k)).alias("best"),
+                F.array_append(F.get(state, b - k)["picks"], k).alias("picks")))
+            return F.array_max(options)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(steps)), best_with).cast(kind)
+
+    done = rows.withColumn("_s", F.aggregate("_ch", start, add)).select(
+        *at, F.arrays_zip(F.transform("_ch", lambda c: c["series"]).alias("series"), F.get("_s", F.lit(steps))["picks"].alias("taken")).alias("_z"))
+    picks = done.select(*at, F.explode("_z").alias("_p")).select(
+        *at, F.col("_p")["series"].alias("series"), F.col("_p")["taken"].alias("taken"))
     return _allocated(ranges, picks, keys)
 
 

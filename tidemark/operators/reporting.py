@@ -173,8 +173,8 @@ def headline(money: DataFrame, levels: DataFrame, keys: list[str]) -> DataFrame:
     """Headline figures as rows, only where the verdict allows the media total."""
     allowed = levels.where(F.col("level").isin(*[k for k, v in fx.ALLOWED_OUTPUTS.items() if "total_media_contribution" in v]))
     m = money.join(allowed.select(*keys), keys, "left_semi")
-    rows = F.array(F.struct(F.lit("marketing_driven").alias("figure"), F.col("marketing_p50").alias("value")),
-                   F.struct(F.lit("return_per_unit"), F.col("blended_return")), F.struct(F.lit("net_return_pct"), F.col("roi_pct")))
+    rows = F.array(*[F.struct(F.lit(name).alias("figure"), F.col(c).alias("value")) for name, c in (
+        ("marketing_driven", "marketing_p50"), ("return_per_unit", "blended_return"), ("net_return_pct", "roi_pct"))])
     return m.select(*keys, F.inline(rows)).where(F.col("value").isNotNull())
 
 

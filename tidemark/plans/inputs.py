@@ -8,6 +8,9 @@ arithmetic.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.response import hill_effect
@@ -67,7 +70,9 @@ def raw_long(spark, sf) -> DataFrame:
 
 
 def master(spark, sf) -> Master:
-    return weekly_master(raw_long(spark, sf), KEYS, ESSENTIAL)
+    """The weekly master; its data is persisted, since most queries start from it."""
+    m = weekly_master(raw_long(spark, sf), KEYS, ESSENTIAL)
+    return replace(m, data=m.data.persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def channel_index(series):
@@ -76,7 +81,10 @@ def channel_index(series):
 
 
 def params(spark, sf) -> DataFrame:
-    """(panel, series, draw, beta, half_sat, slope, alpha, x_max, y_max, current)."""
+    """(panel, series, draw, beta, half_sat, slope, alpha, x_max, y_max, current).
+
+    Persisted, as a stored draw table would be.
+    """
     m = master(spark, sf).data
     y = m.where(F.col("role") == "kpi").groupBy("panel").agg(F.max("value").alias("y_max"))
     x = m.where(F.col("role") == "spend").groupBy("panel", "series").agg(
@@ -89,7 +97,7 @@ def params(spark, sf) -> DataFrame:
                     (F.lit(0.3) + F.lit(0.05) * F.cos(d + i)).alias("half_sat"),
                     F.lit(1.0).alias("slope"),
                     (F.lit(0.3) + F.lit(0.05) * i + F.lit(0.02) * F.sin(d * 0.5)).alias("alpha"),
-                    "x_max", "y_max", "current"))
+                    "x_max", "y_max", "current").persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def contributions(spark, sf) -> DataFrame:

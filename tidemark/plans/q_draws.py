@@ -276,11 +276,11 @@ def _(spark, sf):
     return rounded(correlations(spark, sf), 7, "r")
 
 
-@query("id_groups", f"""WITH RECURSIVE {PAIR_SQL}, ed AS (SELECT panel, a, b FROM pr WHERE abs(r)>=0.2 UNION SELECT panel, b, a FROM pr WHERE abs(r)>=0.2),
+@query("id_groups", f"""WITH RECURSIVE {PAIR_SQL}, ed AS (SELECT panel, a, b FROM pr WHERE abs(r)>=0.1 UNION SELECT panel, b, a FROM pr WHERE abs(r)>=0.1),
  rc(panel, series, label) AS (SELECT panel, a, a FROM ed UNION SELECT rc.panel, ed.b, rc.label FROM rc JOIN ed ON rc.panel=ed.panel AND rc.series=ed.a)
  SELECT panel, series, min(label) AS group_label FROM rc GROUP BY 1,2""")
 def _(spark, sf):
-    return idn.inseparable_groups(correlations(spark, sf), KEYS, 0.2)
+    return idn.inseparable_groups(correlations(spark, sf), KEYS, 0.1)
 
 
 SHIFT_SQL = """ws AS (SELECT panel, series, avg(total) AS a, avg(total*(1+0.1::DOUBLE*(ascii(substr(series,4,1))%7))) AS b FROM td GROUP BY 1,2),

@@ -106,7 +106,7 @@ def _(spark, sf):
 
 @query("pl_allocate_exact", f"""WITH {ALLOC_SQL} SELECT al.panel, al.scenario, round(sum({effect('al.spend','md.beta','md.half_sat','md.slope','md.x_max')}*md.y_max),2) AS best FROM al JOIN md ON al.panel=md.panel AND al.series=md.series GROUP BY 1,2""")
 def _(spark, sf):
-    out = pl.allocate_exact(ranges(spark, sf), KEYS, CHANNELS, N)
+    out = pl.allocate_exact(ranges(spark, sf), KEYS, N)
     med = pl.median_params(params(spark, sf), KEYS)
     value = F.round(F.sum(pl.own_effect(F.col("spend")) * F.col("y_max")), 2)
     return out.join(med, PS).groupBy("panel", "scenario").agg(value.alias("best"))
@@ -265,7 +265,7 @@ def alloc_with_current(spark, sf):
    CASE WHEN (mo.p97-mo.p3)/(2*abs(mo.p50))<0.4 THEN 'high' WHEN (mo.p97-mo.p3)/(2*abs(mo.p50))<1 THEN 'mid' ELSE 'low' END FROM mo JOIN pd ON mo.panel=pd.panel WHERE mo.total_budget>pd.total_budget*1.01
  UNION ALL SELECT panel, 3, 'cut', s, NULL, NULL, 'high' FROM lo""")
 def _(spark, sf):
-    f = front(spark, sf)
+    f = front(spark, sf).persist()  # a few points per panel, read four times below
     now = f.where(F.col("scenario") == "1.0").select("panel", F.col("total_budget").alias("budget"), "p3", "p50", "p97")
     a = rp.actions(channels(spark, sf), alloc_with_current(spark, sf), now, curves(spark, sf), f, KEYS, margin=0.01)
     return rounded(rounded(a, 1, "amount"), 0, "kpi_gain")
@@ -274,7 +274,7 @@ def _(spark, sf):
 @query("rp_frontier_insight", f"""WITH {FRONTIER_SQL}, pd AS (SELECT * FROM fr WHERE scenario='1.0'), mo AS (SELECT f.* FROM fr f JOIN pd ON f.panel=pd.panel QUALIFY row_number() OVER (PARTITION BY f.panel ORDER BY abs(f.total_budget-pd.total_budget*1.5), f.total_budget)=1)
  SELECT mo.panel, round(mo.total_budget-pd.total_budget,1) AS extra_spend, round(mo.p50-pd.p50,1) AS extra_kpi FROM mo JOIN pd ON mo.panel=pd.panel WHERE mo.total_budget>pd.total_budget*1.01""")
 def _(spark, sf):
-    f = front(spark, sf)
+    f = front(spark, sf).persist()  # a few points per panel, read three times below
     now = f.where(F.col("scenario") == "1.0").select("panel", F.col("total_budget").alias("budget"))
     return rounded(rp.frontier_step(f, now, KEYS, 1.5).select("panel", "extra_spend", "extra_kpi"), 1, "extra_spend", "extra_kpi")
 

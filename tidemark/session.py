@@ -27,3 +27,25 @@ def local_session(cpus: int | str | None = None, memory: str = "8g") -> SparkSes
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
+
+    Only a local session, where all tasks share one machine, gets a folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    import tempfile
+    folder = tempfile.mkdtemp(prefix="tidemark-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new empty path in the shared folder."""
+    import uuid
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
