@@ -80,10 +80,18 @@ def test_delimiter_and_fallback(spark, tmp_path):
 
 
 def test_intake(spark, tmp_path):
-    for name, text in (("a.csv", "x"), ("b.csv", "x"), ("c.txt", "y"), ("d.csv", "")):
+    for name, text in (("a.csv", "x"), ("b.csv", "x"), ("c.txt", "y"), ("d.csv", "z")):
         (tmp_path / name).write_text(text)
     r = {x["path"].rsplit("/", 1)[1]: x["refused"] for x in rd.intake(spark, str(tmp_path)).collect()}
-    assert sorted(x for x in (r["a.csv"], r["b.csv"]) if x) == ["duplicate_upload"] and r["c.txt"] == "wrong_type" and r["d.csv"] == "empty"
+    assert sorted(x for x in (r["a.csv"], r["b.csv"]) if x) == ["duplicate_upload"] and r["c.txt"] == "wrong_type" and r["d.csv"] is None
+
+
+def test_upload_rules(spark):
+    rows = [("p", "a.csv", 1, 10, "csv", "h"), ("p", "b.csv", 2, 10, "csv", "h"), ("q", "c.csv", 3, 10, "csv", "h"),
+            ("p", "d.csv", 4, 0, "csv", None), ("p", "e.csv", 5, 60 * 2 ** 20, "csv", None)]
+    df = spark.createDataFrame(rows, "project string, path string, created_at int, length bigint, extension string, sha256 string")
+    r = {x["path"]: x["refused"] for x in rd.judge_uploads(df).collect()}
+    assert r == {"a.csv": None, "b.csv": "duplicate_upload", "c.csv": None, "d.csv": "empty", "e.csv": "too_large"}
 
 
 def test_master_sink_round_trip(weekly, tmp_path):

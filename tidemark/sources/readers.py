@@ -53,7 +53,8 @@ def with_ingest_id(df: DataFrame) -> DataFrame:
 def intake(spark: SparkSession, path: str, project: str = "default") -> DataFrame:
     """Catalogue a folder of uploads: size, content hash, and the reason a file is refused.
 
-    Content is hashed inside the scan tasks, and only of files of acceptable size.
+    Content is hashed inside the scan tasks, and only of files of acceptable size. Spark's scan
+    leaves files without a byte out, so they never enter the catalogue.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     small = (F.col("length") > 0) & (F.col("length") <= fx.UPLOAD_MAX_BYTES)

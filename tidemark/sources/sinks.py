@@ -8,9 +8,13 @@ from tidemark.frames import WEEK, finite
 
 
 def content_hash(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Order-free fingerprint per panel: the same rows in any order give the same number."""
-    columns = [c for c in df.columns]
-    return df.groupBy(*keys).agg(F.bit_xor(F.xxhash64(*columns)).alias("content_hash"), F.count(F.lit(1)).alias("n_rows"))
+    """Order-free fingerprint per panel: the same rows give the same number.
+
+    Row hashes are added up (columns in name order), so neither row nor column order shows and
+    copies of a row count.
+    """
+    row = F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")
+    return df.groupBy(*keys).agg(F.sum(row).cast("string").alias("content_hash"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def manifest(master: DataFrame, keys: list[str]) -> DataFrame:
@@ -21,9 +25,18 @@ def manifest(master: DataFrame, keys: list[str]) -> DataFrame:
     return facts.join(content_hash(master, keys), keys)
 
 
-def write_master(master: DataFrame, keys: list[str], path: str) -> DataFrame:
+def write_sorted(df: DataFrame, path: str, order: list[str], partition_by: list[str] = ()) -> None:
+    """Parquet in ranges of ``order``: readers skip files by their statistics, a large key is
+    split over files, and many small keys share one. ``partition_by`` adds folders; give it only
+    columns with few values.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+
+
+def write_master(master: DataFrame, keys: list[str], path: str, partition_by: list[str] = ()) -> DataFrame:
     """Write the table by panel and return the manifest of what was written."""
-    master.repartition(*keys).write.mode("overwrite").partitionBy(*keys).parquet(f"{path}/data")
+    write_sorted(master, f"{path}/data", [*keys, "series", WEEK], partition_by)
     written = master.sparkSession.read.schema(master.schema).parquet(f"{path}/data")
     manifest(written, keys).write.mode("overwrite").parquet(f"{path}/manifest")
     return master.sparkSession.read.parquet(f"{path}/manifest")
@@ -54,7 +67,7 @@ def to_json_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     return safe.select(*keys, F.to_json(F.struct(*[c for c in safe.columns if c not in keys])).alias("json"))
 
 
-def write_draws(draws: DataFrame, path: str, run: str = "run") -> DataFrame:
-    """Store a draw table by run, next to its summary."""
-    draws.repartition(run).write.mode("overwrite").partitionBy(run).parquet(path)
+def write_draws(draws: DataFrame, path: str, run: str = "run", partition_by: list[str] = ()) -> DataFrame:
+    """Store a draw table next to its summary, a run's draws close together."""
+    write_sorted(draws, path, [run, "draw"], partition_by)
     return draws.sparkSession.read.parquet(path)
