@@ -8,11 +8,12 @@ always equi-joins and nothing degenerates to a global window.
 from __future__ import annotations
 
 from functools import reduce
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
-from tidemark.session import shared_folder
+from tidemark.session import scratch
 
 WEEK = "week_start"
 
@@ -84,12 +85,15 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder, so the loss of an executor costs no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Later plans start from files: short lineage, nothing to recompute when an executor is lost,
+    and columns and filters still reach the scan.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # --- order over unbounded rows -----------------------------------------------------------
@@ -100,13 +104,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
 RANGES = 64
 
 
+def range_cuts(df: DataFrame, keys: list[str], order: str, ranges: int, accuracy: int) -> DataFrame:
+    """Approximate quantiles that cut each panel's values into ``ranges`` (a square number)."""
+    steps = [i / ranges for i in range(1, ranges)]
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, steps, accuracy).alias("_cuts"))
+    side = isqrt(ranges)
+    coarse = F.array(*[F.get("_cuts", F.lit(side * i - 1)) for i in range(1, side)])
+    return cuts.withColumn("_coarse", coarse)
+
+
+def range_index(value: str, ranges: int) -> Column:
+    """Number of cuts below the value, found in two short steps instead of one long scan."""
+    side = isqrt(ranges)
+    v = F.col(value)
+    a = F.size(F.filter("_coarse", lambda c: c < v))
+    b = F.size(F.filter(F.slice("_cuts", a * side + 1, F.lit(side - 1)), lambda c: c < v))
+    return a * side + b
+
+
 def with_range(df: DataFrame, keys: list[str], order: str, ranges: int = RANGES) -> DataFrame:
     """Add ``_range``: the index of the value range of ``order`` that the row lies in."""
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = df.groupBy(*keys).agg(
-        F.percentile_approx(order, steps, 2000).alias("_cuts"))
-    index = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    return df.join(cuts, keys).withColumn("_range", index).drop("_cuts")
+    cuts = range_cuts(df, keys, order, ranges, 1000)
+    return df.join(cuts, keys).withColumn("_range", range_index(order, ranges)).drop("_cuts", "_coarse")
 
 
 def previous_in_order(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
@@ -148,12 +167,10 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[flo
     No task ever holds a whole group.
     """
     rows = df.where(F.col(value).isNotNull()).select(*group, value)
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = rows.groupBy(*group).agg(F.percentile_approx(value, steps, 10000).alias("_cuts"))
+    cuts = range_cuts(rows, group, value, ranges, 2500)
     counts = (rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-              .join(cuts, group)
-              .withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-              .drop("_cuts"))
+              .join(cuts, group).withColumn("_range", range_index(value, ranges))
+              .drop("_cuts", "_coarse"))
     in_group = Window.partitionBy(*group)
     spans = (counts.groupBy(*group, "_range").agg(F.sum("_c").alias("_rows"))
              .withColumn("_from", F.coalesce(F.sum("_rows").over(

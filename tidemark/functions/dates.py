@@ -31,8 +31,10 @@ def parse_date(c: Column, fmt: str | None = None, dayfirst: bool = False) -> Col
     if fmt is not None:
         return F.try_to_timestamp(text, F.lit(java_pattern(fmt)))
     formats = DAY_FIRST if dayfirst else MONTH_FIRST
-    return F.coalesce(*[F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
-                        for shape, pattern in formats])
+    parsed = F.coalesce(*[F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
+                          for shape, pattern in formats])
+    # every listed format has 8 to 19 characters and starts with a digit: most text stops here
+    return F.when(F.length(text).between(8, 19) & F.substring(text, 1, 1).between("0", "9"), parsed)
 
 
 def week_start(c: Column) -> Column:

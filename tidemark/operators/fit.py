@@ -135,13 +135,15 @@ def _solve_rows(grams: DataFrame, ids: list[str], design: list[str], n_free: int
         for pdf in batches:
             rows = []
             for rec in pdf.itertuples(index=False):
+                if rec.xx is None:
+                    continue
                 xx, xy = unpack_gram(rec.xx, p), np.array([0.0 if v is None else v for v in rec.xy])
                 if getattr(rec, "pull_xx", None) is not None:
                     xx = xx + np.diag(np.asarray(rec.pull_xx, float))
                     xy = xy + np.asarray(rec.pull_xy, float)
                 b = nonneg_solve(xx, xy, n_free, ridge)
                 err = None
-                if holdout:
+                if holdout and rec.xx_h is not None:
                     hx, hy = unpack_gram(rec.xx_h, p), np.array([0.0 if v is None else v for v in rec.xy_h])
                     err = float((rec.yy_h - 2 * b @ hy + b @ hx @ b) / max(rec.n_h, 1.0))
                 rows.append(tuple(getattr(rec, k) for k in ids) + (b.tolist(), err))
@@ -153,12 +155,13 @@ def _solve_rows(grams: DataFrame, ids: list[str], design: list[str], n_free: int
 def grid_fit(design: DataFrame, keys: list[str], columns: list[str], n_free: int, burn_in: int = 0,
              holdout_weeks: int = 13, ridge: float = 1e-6) -> DataFrame:
     """Best candidate per panel by error on the last weeks: (keys, cand, coef, holdout_mse)."""
-    used = F.col("y").isNotNull() & (F.col("idx") >= burn_in)
-    late = F.col("idx") >= F.col("n_weeks") - holdout_weeks
-    train = F.when(used & ~late, 1.0).otherwise(0.0)
-    held = F.when(used & late, 1.0).otherwise(0.0)
-    grams = design.groupBy(*keys, "cand").agg(
-        *gram_sums(design, keys, columns, train), *gram_sums(design, keys, columns, held, "_h"))
+    rows = (design.where(F.col("y").isNotNull() & (F.col("idx") >= burn_in))
+            .withColumn("late", F.col("idx") >= F.col("n_weeks") - holdout_weeks))
+    # one set of sums per part; side by side they would be too many columns to compile
+    parts = rows.groupBy(*keys, "cand", "late").agg(*gram_sums(rows, keys, columns, F.lit(1.0)))
+    grams = parts.groupBy(*keys, "cand").agg(
+        *[F.max(F.when(F.col("late") == late, F.col(c))).alias(c + suffix)
+          for late, suffix in ((False, ""), (True, "_h")) for c in ("xx", "xy", "yy", "n")])
     solved = _solve_rows(grams, [*keys, "cand"], columns, n_free, ridge, holdout=True)
     best = F.min_by(F.struct("cand", "coef", "holdout_mse"), F.struct("holdout_mse", "cand"))
     return solved.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import fixed_values as fx
-from tidemark.frames import checkpointed, union_all
+from tidemark.frames import stored
 
 RANKS = ("identified", "weak", "not_identified")
 
@@ -45,20 +45,20 @@ def inseparable_groups(correlations: DataFrame, keys: list[str],
     """Connected components over |r| >= limit: (keys, series, group_label).
 
     Each round a channel takes the smallest label among itself, its neighbours and the label
-    its label has (pointer jumping), so long chains close in few rounds. Lineage is cut each
-    round; the loop stops when nothing changes.
+    its label has (pointer jumping), so long chains close in few rounds. Each round is stored,
+    so lineage stays short; the loop stops when nothing changes.
     """
     edges = correlations.where(F.abs("r") >= limit)
     links = edges.select(*keys, F.col("a").alias("series"), F.col("b").alias("other")).unionByName(
         edges.select(*keys, F.col("b").alias("series"), F.col("a").alias("other"))).distinct()
-    labels = checkpointed(links.select(*keys, "series").distinct().withColumn("label", F.col("series")))
+    labels = stored(links.select(*keys, "series").distinct().withColumn("label", F.col("series")))
     while True:
         near = (links.join(labels.select(*keys, F.col("series").alias("other"), F.col("label").alias("near")), [*keys, "other"])
                 .groupBy(*keys, "series").agg(F.min("near").alias("near")))
         hop = labels.select(*keys, F.col("series").alias("label"), F.col("label").alias("hop"))
         step = (labels.join(near, [*keys, "series"], "left").join(hop, [*keys, "label"], "left")
                 .select(*keys, "series", "label", F.least("label", "near", "hop").alias("next")))
-        moved = checkpointed(step)
+        moved = stored(step)
         done = moved.where(F.col("label") != F.col("next")).isEmpty()
         labels = moved.select(*keys, "series", F.col("next").alias("label"))
         if done:

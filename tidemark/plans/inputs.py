@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tidemark.frames import stored
 from tidemark.functions.response import hill_effect
 from tidemark.operators.features import row_index
-from tidemark.plans.master import Master, weekly_master
+from tidemark.operators.weekly import aggregate_weeks
+from tidemark.plans.master import Master, from_weekly
 
 KEYS = ["panel"]
 ESSENTIAL = ["shop", "media"]
@@ -69,10 +70,27 @@ def raw_long(spark, sf) -> DataFrame:
             .unionByName(_series(rare, "context", F.lit("rare_tax"), "control", F.col("tax"))))
 
 
+_BUILT: dict[tuple, DataFrame] = {}
+
+
+def built(spark, sf, name: str, build) -> DataFrame:
+    """A derived table, stored on first use: master and draws are stored tables in practice."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _BUILT:
+        _BUILT[key] = stored(build(), name)
+    return _BUILT[key]
+
+
+def forget() -> None:
+    """Drop what was built, so that the next query pays for it again."""
+    _BUILT.clear()
+
+
 def master(spark, sf) -> Master:
-    """The weekly master; its data is persisted, since most queries start from it."""
-    m = weekly_master(raw_long(spark, sf), KEYS, ESSENTIAL)
-    return replace(m, data=m.data.persist(StorageLevel.MEMORY_AND_DISK))
+    """The weekly master over stored weekly sums; its gap-free data is stored as well."""
+    weekly = built(spark, sf, "weekly", lambda: aggregate_weeks(raw_long(spark, sf), KEYS))
+    m = from_weekly(weekly, KEYS, ESSENTIAL)
+    return replace(m, data=built(spark, sf, "master", lambda: m.data))
 
 
 def channel_index(series):
@@ -81,10 +99,11 @@ def channel_index(series):
 
 
 def params(spark, sf) -> DataFrame:
-    """(panel, series, draw, beta, half_sat, slope, alpha, x_max, y_max, current).
+    """(panel, series, draw, beta, half_sat, slope, alpha, x_max, y_max, current)."""
+    return built(spark, sf, "params", lambda: _params(spark, sf))
 
-    Persisted, as a stored draw table would be.
-    """
+
+def _params(spark, sf) -> DataFrame:
     m = master(spark, sf).data
     y = m.where(F.col("role") == "kpi").groupBy("panel").agg(F.max("value").alias("y_max"))
     x = m.where(F.col("role") == "spend").groupBy("panel", "series").agg(
@@ -97,7 +116,7 @@ def params(spark, sf) -> DataFrame:
                     (F.lit(0.3) + F.lit(0.05) * F.cos(d + i)).alias("half_sat"),
                     F.lit(1.0).alias("slope"),
                     (F.lit(0.3) + F.lit(0.05) * i + F.lit(0.02) * F.sin(d * 0.5)).alias("alpha"),
-                    "x_max", "y_max", "current").persist(StorageLevel.MEMORY_AND_DISK))
+                    "x_max", "y_max", "current"))
 
 
 def contributions(spark, sf) -> DataFrame:

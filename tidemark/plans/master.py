@@ -13,7 +13,7 @@ from tidemark.operators import quality as ql, weekly as wk
 
 @dataclass(frozen=True)
 class Master:
-    """Every part is lazy. ``weekly`` is stored once, because all later parts read it."""
+    """Every part is lazy; all of them read ``weekly``."""
 
     weekly: DataFrame
     window: DataFrame
@@ -21,17 +21,20 @@ class Master:
     data: DataFrame
 
 
+def from_weekly(weekly: DataFrame, keys: list[str], essential: list[str]) -> Master:
+    """Shared window, gap-free grid and zero spend of a weekly table that is cheap to read again."""
+    window = wk.overlap_window(wk.source_spans(weekly, keys), keys, essential)
+    gappy = wk.reindex_grid(weekly, window, keys)
+    return Master(weekly, window, gappy, wk.impute_spend(gappy))
+
+
 def weekly_master(raw: DataFrame, keys: list[str], essential: list[str], ts: str = "ts",
                   null_weeks: str = "zero") -> Master:
-    """Aggregate, find the shared window, lay the grid, set empty spend to zero.
-
-    The scan and the one large shuffle end in the weekly table; it is persisted so that the
-    spans, the series list and the grid do not scan the sources again.
+    """From raw rows. The scan and the one large shuffle end in the weekly table; it is persisted
+    so that the spans, the series list and the grid do not scan the sources again.
     """
     weekly = wk.aggregate_weeks(raw, keys, ts, null_weeks).persist(StorageLevel.MEMORY_AND_DISK)
-    window = wk.overlap_window(wk.source_spans(weekly, keys), keys, essential)
-    gappy = wk.reindex_grid(weekly, window, keys)
-    return Master(weekly, window, gappy, wk.impute_spend(gappy))
+    return from_weekly(weekly, keys, essential)
 
 
 def build_master(raw: DataFrame, keys: list[str], essential: list[str], fills: dict[str, str] | None = None,

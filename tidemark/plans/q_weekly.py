@@ -45,7 +45,7 @@ def _(spark, sf):
 
 @query("agg_week", f"WITH {WEEKLY_SQL} SELECT * FROM weekly")
 def _(spark, sf):
-    return master(spark, sf).weekly
+    return wk.aggregate_weeks(raw_long(spark, sf), KEYS)
 
 
 @query("join_sources_outer", f"""WITH {WEEKLY_SQL} SELECT panel, week_start,
