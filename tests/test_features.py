@@ -40,7 +40,7 @@ def test_constant_series_scores_zero(weekly):
 def test_declared_features(small):
     from tidemark.frames import to_wide
     wide = to_wide(small, K, ["google", "meta"])
-    out, notes = ft.apply_features(wide, [Feature("g1", "lag", ("google",)), Feature("both", "sum", ("g1", "meta")),
+    out, notes = ft.apply_features(wide, [Feature("g1", "lag", ("google",), {"weeks": 1}), Feature("both", "sum", ("g1", "meta")),
                                           Feature("bad", "ratio", ("google",)), Feature("meta", "log1p", ("google",))], K)
     assert [r["code"] for r in notes.collect()] == ["feature_added", "feature_added", "feature_error", "feature_error"]
     r = out.where("panel='p1'").orderBy("week_start").collect()

@@ -60,9 +60,9 @@ def coerce_cells(cells: DataFrame, keys: list[str], raw: str = "raw") -> DataFra
     return parse_in_style(cells, number_styles(cells, keys, raw), keys, raw)
 
 
-def style_issues(styles: DataFrame, column: str) -> DataFrame:
+def style_issues(styles: DataFrame, keys: list[str], column: str) -> DataFrame:
     return (styles.where(F.col("style") != "plain")
-            .select(F.lit("currency_parsed").alias("code"), F.lit("info").alias("severity"),
+            .select(*keys, F.lit("currency_parsed").alias("code"), F.lit("info").alias("severity"),
                     F.col(column).alias("column"), F.col("n_failed").alias("n"), "style"))
 
 

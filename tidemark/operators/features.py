@@ -114,35 +114,44 @@ def calendar(weekly: DataFrame, keys: list[str]) -> DataFrame:
 # --- declared features over a wide table -------------------------------------------------
 
 ARITY = {"lag": 1, "rolling_mean": 1, "rolling_sum": 1, "diff": 1, "log1p": 1, "zscore": 1,
-         "winsorize": 1, "ratio": 2, "product": None, "sum": None, "recurring_week": 0}
+         "winsorize": 1, "ratio": 2, "product": None, "sum": None, "recurring_week_dummy": 0}
+REQUIRED = {"lag": ("weeks",), "rolling_mean": ("window",), "rolling_sum": ("window",),
+            "recurring_week_dummy": ("iso_weeks",)}
 
 
 def feature_column(spec: Feature, keys: list[str]) -> Column:
     w = Window.partitionBy(*keys).orderBy(WEEK)
     whole = Window.partitionBy(*keys)
-    p, cols = spec.params, [F.col(c) for c in spec.inputs]
+    p = {k: v for k, v in spec.params.items() if v is not None}
+    cols = [F.col(c) for c in spec.inputs]
     if spec.op not in ARITY:
         raise ValueError(f"unknown feature {spec.op!r}")
     need = ARITY[spec.op]
     if (need is None and len(cols) < 2) or (need is not None and len(cols) != need):
         raise ValueError(f"{spec.op} takes {need or 'two or more'} input(s)")
+    for key in REQUIRED.get(spec.op, ()):
+        if not p.get(key):
+            raise ValueError(f"{spec.op} needs {key!r}")
+    for key in ("weeks", "window"):
+        if int(p.get(key, 1)) < 1:
+            raise ValueError(f"{key} must be at least 1")
     x = cols[0] if cols else None
     if spec.op == "lag":
-        return clean(F.lag(x, p.get("lag", 1)).over(w))
+        return clean(F.lag(x, int(p["weeks"])).over(w))
     if spec.op == "rolling_mean":
-        return clean(F.avg(x).over(w.rowsBetween(1 - p["window"], 0)))
+        return clean(F.avg(x).over(w.rowsBetween(1 - int(p["window"]), 0)))
     if spec.op == "rolling_sum":
-        return clean(F.sum(x).over(w.rowsBetween(1 - p["window"], 0)))
+        return clean(F.sum(x).over(w.rowsBetween(1 - int(p["window"]), 0)))
     if spec.op == "diff":
-        return clean(x - F.lag(x, p.get("periods", 1)).over(w))
+        return clean(x - F.lag(x, int(p.get("weeks", 1))).over(w))
     if spec.op == "log1p":
         return log1p(spec.inputs[0])
     if spec.op == "zscore":
         sd = F.stddev_pop(x).over(whole)
         return clean(F.when(sd > 0, (x - F.avg(x).over(whole)) / sd))
     if spec.op == "winsorize":
-        a = F.percentile(x, F.lit(p.get("lower", 0.01))).over(whole)
-        b = F.percentile(x, F.lit(p.get("upper", 0.99))).over(whole)
+        a = F.percentile(x, F.lit(float(p.get("lower_q", 0.01)))).over(whole)
+        b = F.percentile(x, F.lit(float(p.get("upper_q", 0.99)))).over(whole)
         return clean(F.when(x.isNotNull(), F.least(F.greatest(x, a), b)))
     if spec.op == "ratio":
         return ratio(*cols)
@@ -150,7 +159,7 @@ def feature_column(spec: Feature, keys: list[str]) -> Column:
         return product(*cols)
     if spec.op == "sum":
         return total(*cols)
-    return recurring_week(list(p["iso_weeks"]))
+    return recurring_week([int(x) for x in p["iso_weeks"]])
 
 
 def apply_features(wide: DataFrame, specs: list[Feature], keys: list[str]) -> tuple[DataFrame, DataFrame]:

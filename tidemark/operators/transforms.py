@@ -123,12 +123,21 @@ TRANSFORMS = {
     "scale": lambda df, p: scale(df, **p),
     "combine": lambda df, p: combine(df, **p),
     "split": lambda df, p: split(df, **p),
-    "recode": lambda df, p: recode(df, **p),
+    "recode": lambda df, p: recode(df, p["column"], _pairs(p["mapping"]), p.get("default")),
     "parse_date": lambda df, p: parse_dates(df, **p),
-    "pivot": lambda df, p: pivot(df, **p),
+    "pivot": lambda df, p: pivot(df, **{**p, "index": _listed(p["index"])}),
 }
 
 
+def _pairs(mapping) -> dict[str, str]:
+    """A recode mapping is a dict or a list of {from, to}."""
+    return mapping if isinstance(mapping, dict) else {m["from"]: m["to"] for m in mapping}
+
+
+def _listed(names) -> list[str]:
+    return [names] if isinstance(names, str) else list(names)
+
+
 def apply_transforms(df: DataFrame, specs: list[Transform], source: str) -> tuple[DataFrame, DataFrame]:
     """Apply the list in order; one that cannot be planned is reported and skipped."""
     notes = []

@@ -56,18 +56,20 @@ def media(spark, sf) -> DataFrame:
                     F.col("l_linenumber").alias("line")))
 
 
-def _series(df, source, series, role, value):
-    return df.select("panel", F.lit(source).alias("source"), "ts", series.alias("series"),
-                     F.lit(role).alias("role"), value.alias("value"))
-
-
 def raw_long(spark, sf) -> DataFrame:
-    lines = media(spark, sf)
-    rare = lines.where((F.col("channel").startswith("ch_r")) & (F.col("line") == 7))
-    return (_series(shop(spark, sf), "shop", F.lit("revenue"), "kpi", F.col("cents"))
-            .unionByName(_series(lines, "media", F.col("channel"), "spend", F.col("spend")))
-            .unionByName(_series(lines, "context", F.lit("avg_qty"), "control", F.col("qty")))
-            .unionByName(_series(rare, "context", F.lit("rare_tax"), "control", F.col("tax"))))
+    """All raw rows in long form. A line yields its series side by side, so lines are scanned once
+    and map-side aggregation folds them before anything moves."""
+    def cell(source, series, role, value):
+        return F.struct(F.lit(source).alias("source"), series.alias("series"), F.lit(role).alias("role"), value.alias("value"))
+
+    rare = F.col("channel").startswith("ch_r") & (F.col("line") == 7)
+    of_line = F.array(cell("media", F.col("channel"), "spend", F.col("spend")),
+                      cell("context", F.lit("avg_qty"), "control", F.col("qty")),
+                      F.when(rare, cell("context", F.lit("rare_tax"), "control", F.col("tax"))))
+    lines = media(spark, sf).select("panel", "ts", F.explode(of_line).alias("_c")).where("_c IS NOT NULL").select("panel", "_c.source", "ts", "_c.series", "_c.role", "_c.value")
+    orders = shop(spark, sf).select("panel", F.lit("shop").alias("source"), "ts", F.lit("revenue").alias("series"),
+                                    F.lit("kpi").alias("role"), F.col("cents").alias("value"))
+    return orders.unionByName(lines)
 
 
 _BUILT: dict[tuple, DataFrame] = {}

@@ -103,6 +103,6 @@ def _(spark, sf):
 @query("ft_apply_all", f"""WITH {WIDE_SQL} SELECT *, coalesce(lag(ch_a_f,1) OVER (PARTITION BY panel ORDER BY week_start),0) AS a_lag1,
  coalesce(ch_a_f,0)+coalesce(lag(ch_a_f,1) OVER (PARTITION BY panel ORDER BY week_start),0) AS a_two FROM wide""")
 def _(spark, sf):
-    specs = [Feature("a_lag1", "lag", ("ch_a_f",), {"lag": 1}), Feature("ch_a_o", "log1p", ("ch_a_f",)),
+    specs = [Feature("a_lag1", "lag", ("ch_a_f",), {"weeks": 1}), Feature("ch_a_o", "log1p", ("ch_a_f",)),
              Feature("bad", "ratio", ("ch_a_f", "nowhere")), Feature("a_two", "sum", ("ch_a_f", "a_lag1"))]
     return ft.apply_features(wide(spark, sf), specs, KEYS)[0]

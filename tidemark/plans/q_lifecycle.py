@@ -281,9 +281,9 @@ def _(spark, sf):
     return sk.write_master(master(spark, sf).data, KEYS, scratch(spark, "master")).drop("content_hash")
 
 
-@query("sink_preview", f"WITH {MASTER_SQL} SELECT panel, series, role, count(*)-count(value) AS n_missing, min(value) AS min, max(value) AS max, avg(value) AS mean FROM master GROUP BY 1,2,3")
+@query("sink_preview", f"WITH {MASTER_SQL} SELECT panel, series, role, count(*)-count(value) AS n_missing, min(value) AS min, max(value) AS max, round(avg(value),4) AS mean FROM master GROUP BY 1,2,3")
 def _(spark, sf):
-    return sk.preview_columns(master(spark, sf).data, KEYS)
+    return sk.preview_columns(master(spark, sf).data, KEYS).withColumn("mean", F.round("mean", 4))
 
 
 @query("sink_preview_rows", f"""WITH {MASTER_SQL} SELECT panel, week_start, series, role, value FROM master
