@@ -35,16 +35,13 @@ def median_day_gap(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
 def drop_identical_rows(df: DataFrame, keys: list[str], ts: str, columns: list[str]) -> DataFrame:
     """Collapse identical rows where rows are ~weekly or coarser; keep them where daily.
 
-    Copies are counted, not numbered: a row and its multiplicity travel as one record, then
-    kept copies are expanded again.
+    Panels that keep their rows pass straight through; only the others are deduplicated, and
+    that is an aggregate which folds copies before they move.
     """
-    gaps = median_day_gap(df, keys, ts)
-    copies = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    once = F.coalesce(F.col("median_gap") >= fx.DAILY_GAP_DAYS, F.lit(True))
-    n = F.when(once, F.lit(1)).otherwise(F.col("_copies")).cast("int")
-    return (copies.join(gaps, keys, "left")
-            .withColumn("_i", F.explode(F.sequence(F.lit(1), n)))
-            .select(*columns))
+    rows = df.select(*columns).join(median_day_gap(df, keys, ts), keys, "left")
+    keep = F.coalesce(F.col("median_gap") < fx.DAILY_GAP_DAYS, F.lit(False))
+    kept = rows.where(keep).select(*columns)
+    return kept.unionByName(rows.where(~keep).select(*columns).distinct())
 
 
 def identical_row_issues(df: DataFrame, keys: list[str], ts: str, columns: list[str]) -> DataFrame:

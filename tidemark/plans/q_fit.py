@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.frames import WEEK
 from tidemark.operators import draws as dr, evaluate as ev, fit as ft, weekly as wk
 from tidemark.plans.inputs import CHANNELS, CONTROLS, KEYS, master
+from tidemark.plans.model import run_model
 from tidemark.plans.registry import query
 
 GRID = ft.candidate_grid(half_lives=(0.5, 2.5), half_sats=(0.2, 0.5))
@@ -120,3 +121,16 @@ def _(spark, sf):
     d, _cols, _free = one_candidate(spark, sf)
     folds = ev.expanding_splits(panel_weeks(d), "n_weeks", 156, 52)
     return ev.cross_validate(d, folds, KEYS, last_year, ev.fold_schema(d, KEYS))
+
+
+@query("model_verdict")
+def _(spark, sf):
+    """The whole run: fit, draws, attribution, diagnostics, verdict per market."""
+    run = run_model(prepared(spark, sf), KEYS, "revenue", CHANNELS, CONTROLS, GRID, 40, BURN_IN)
+    return run.levels.join(run.diagnostics, KEYS)
+
+
+@query("model_channels")
+def _(spark, sf):
+    run = run_model(prepared(spark, sf), KEYS, "revenue", CHANNELS, CONTROLS, GRID, 40, BURN_IN)
+    return run.channels.join(run.identifiability, ["panel", "series"])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.frames import WEEK, to_wide
 from tidemark.functions.dates import iso_week, iso_year, parse_date, week_start
 from tidemark.operators import quality as ql, weekly as wk
-from tidemark.plans import master as ms
+from tidemark.plans import master as ms, recipe as rc
 from tidemark.plans.inputs import (CHANNELS, ESSENTIAL, KEYS, MASTER_SQL, RAW_SQL, WEEKLY_SQL, master, media,
                                    raw_long, shop, table)
 from tidemark.plans.q_transforms import date_texts
@@ -158,3 +158,28 @@ def _(spark, sf):
     zero = wk.imputation_report(m.gappy, KEYS).select("panel", F.lit("info").alias("severity"))
     over = ql.over_parameterised(m.data, KEYS).select("panel", "severity")
     return ms.quality_verdict(gaps.unionByName(zero).unionByName(over), m.data, KEYS)
+
+
+RECIPE = {
+    "sources": [
+        {"name": "shop", "columns": [{"name": "cents", "role": "kpi", "output_name": "revenue"}]},
+        {"name": "media", "date_column": "ts", "columns": [{"name": "spend", "role": "spend", "output_name": "media_spend"},
+                                                           {"name": "tax", "role": "control", "output_name": "tax", "fill": "ffill"}]},
+    ],
+    "event_dummies": [{"name": "launch", "weeks": [[1997, 10], [1999, 1]]}],
+    "features": [{"name": "spend_lag1", "op": "lag", "inputs": ["media_spend"], "params": {"weeks": 1}}],
+}
+
+
+@query("recipe_build", f"""WITH {RAW_SQL}, a AS (SELECT panel, CAST(date_trunc('week', ts) AS DATE) AS week_start, sum(cents) AS v FROM shop GROUP BY 1,2),
+ b AS (SELECT panel, CAST(date_trunc('week', ts) AS DATE) AS week_start, sum(spend) AS s, avg(tax) AS t FROM media GROUP BY 1,2),
+ w AS (SELECT a.panel, greatest(min(a.week_start), any_value(lo)) AS lo, least(max(a.week_start), any_value(hi)) AS hi FROM a JOIN (SELECT panel, min(week_start) AS lo, max(week_start) AS hi FROM b GROUP BY 1) x ON a.panel=x.panel GROUP BY 1),
+ g AS (SELECT panel, CAST(unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS week_start FROM w),
+ j AS (SELECT g.panel, g.week_start, v, coalesce(s,0.0) AS s, t FROM g LEFT JOIN a ON g.panel=a.panel AND g.week_start=a.week_start LEFT JOIN b ON g.panel=b.panel AND g.week_start=b.week_start)
+ SELECT panel, week_start, 'revenue' AS series, 'kpi' AS role, v AS value FROM j UNION ALL SELECT panel, week_start, 'media_spend', 'spend', s FROM j
+ UNION ALL SELECT panel, week_start, 'tax', 'control', coalesce(t, last_value(t IGNORE NULLS) OVER (PARTITION BY panel ORDER BY week_start), first_value(t IGNORE NULLS) OVER (PARTITION BY panel ORDER BY week_start ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) FROM j
+ UNION ALL SELECT panel, week_start, 'launch', 'control', CASE WHEN (isoyear(week_start), week(week_start)) IN ((1997,10),(1999,1)) THEN 1.0 ELSE 0.0 END FROM j
+ UNION ALL SELECT panel, week_start, 'spend_lag1', 'control', coalesce(lag(s) OVER (PARTITION BY panel ORDER BY week_start),0) FROM j""")
+def _(spark, sf):
+    frames = {"shop": shop(spark, sf).select("panel", "order_id", "ts", "cents"), "media": media(spark, sf).drop("channel", "line")}
+    return rc.build_dataset(frames, rc.parse_recipe(RECIPE), KEYS).data
