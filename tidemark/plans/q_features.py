@@ -25,8 +25,8 @@ def _feature(name, column, sql, digits=None):
 
 FOUR = "(PARTITION BY panel, series ORDER BY week_start ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
 _feature("ft_lag", lambda: ft.lag(KEYS, 2), f"coalesce(lag(value,2) OVER {W}, 0)")
-_feature("ft_rolling_mean", lambda: ft.rolling_mean(KEYS, 4), Z.format(f"avg(value) OVER {FOUR}"), 4)
-_feature("ft_rolling_sum", lambda: ft.rolling_sum(KEYS, 4), Z.format(f"sum(value) OVER {FOUR}"), 4)
+_feature("ft_rolling_mean", lambda: ft.rolling_mean(KEYS, 4), Z.format(f"avg(value) OVER {FOUR}"), 7)
+_feature("ft_rolling_sum", lambda: ft.rolling_sum(KEYS, 4), Z.format(f"sum(value) OVER {FOUR}"), 7)
 _feature("ft_diff", lambda: ft.diff(KEYS, 1), Z.format(f"value - lag(value,1) OVER {W}"))
 _feature("ft_log1p", lambda: ft.log1p(), Z.format("sign(value)*ln(1+abs(value))"), 6)
 _feature("ft_zscore", lambda: ft.zscore(KEYS), Z.format(

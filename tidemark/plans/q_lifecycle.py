@@ -338,12 +338,13 @@ def _(spark, sf):
     return st.run_available(st.clean_log(raw), scratch(spark, "log"), "append").select("event_id", "session_id", "level", "event", "message")
 
 
-@query("st_stale_heartbeat", """SELECT event_id::VARCHAR AS run, ts AS last_heartbeat, 'TIMEOUT' AS code FROM events
- WHERE event_type<>'purchase' AND ts + INTERVAL 10 MINUTE < (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)""")
+@query("st_stale_heartbeat", """WITH r AS (SELECT user_id||'-'||week(ts) AS run, max(ts) AS last_heartbeat, bool_or(event_type='purchase' AND value>20) AS ended FROM events GROUP BY 1)
+ SELECT run, last_heartbeat, 'TIMEOUT' AS code FROM r WHERE NOT ended AND last_heartbeat + INTERVAL 10 MINUTE < (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)""")
 def _(spark, sf):
     e = st.read_stream(spark, sf, table(spark, sf, "events").schema, "events.parquet")
-    state = F.when(F.col("event_type") == "purchase", "completed").otherwise("sampling")
-    beats = e.select(F.col("event_id").cast("string").alias("run"), state.alias("state"), F.col("ts").alias("heartbeat_at"))
+    state = F.when((F.col("event_type") == "purchase") & (F.col("value") > 20), "completed").otherwise("sampling")
+    run = F.concat_ws("-", F.col("user_id").cast("string"), F.weekofyear("ts").cast("string"))
+    beats = e.select(run.alias("run"), state.alias("state"), F.col("ts").alias("heartbeat_at"))
     return st.run_available(st.stale_heartbeats(beats), scratch(spark, "beats"), "append").drop("batch")
 
 

@@ -99,9 +99,9 @@ def allocation(spark, sf):
 ALLOC_SQL = DRAWS_SQL + alloc_sql("sum(current)")
 
 
-@query("pl_allocate", f"WITH {ALLOC_SQL} SELECT panel, scenario, series, round(spend,2) AS spend, round(feasible,2) AS feasible, at_cap FROM al")
+@query("pl_allocate", f"WITH {ALLOC_SQL} SELECT panel, scenario, series, round(spend,0) AS spend, round(feasible,0) AS feasible, at_cap FROM al")
 def _(spark, sf):
-    return rounded(allocation(spark, sf), 2, "spend", "feasible")
+    return rounded(allocation(spark, sf), 0, "spend", "feasible")
 
 
 @query("pl_allocate_exact", f"""WITH {ALLOC_SQL} SELECT al.panel, al.scenario, round(sum({effect('al.spend','md.beta','md.half_sat','md.slope','md.x_max')}*md.y_max),2) AS best FROM al JOIN md ON al.panel=md.panel AND al.series=md.series GROUP BY 1,2""")
@@ -129,24 +129,24 @@ def front(spark, sf):
     return pl.frontier(params(spark, sf), current(spark, sf), KEYS, N)
 
 
-@query("pl_frontier", f"WITH {FRONTIER_SQL} SELECT panel, scenario, round(total_budget,2) AS total_budget, round(p3,1) AS p3, round(p50,1) AS p50, round(p97,1) AS p97 FROM fr")
+@query("pl_frontier", f"WITH {FRONTIER_SQL} SELECT panel, scenario, round(total_budget,0) AS total_budget, round(p3,1) AS p3, round(p50,1) AS p50, round(p97,1) AS p97 FROM fr")
 def _(spark, sf):
-    return rounded(rounded(front(spark, sf), 2, "total_budget"), 1, "p3", "p50", "p97")
+    return rounded(rounded(front(spark, sf), 0, "total_budget"), 1, "p3", "p50", "p97")
 
 
 @query("pl_frontier_count", f"""WITH {STEADY_SQL}{FRONT_SQL}, jo AS (SELECT p.panel, scenario, p.draw, sum({effect('spend')}) AS own, max(feasible) AS total_budget FROM params p JOIN al ON p.panel=al.panel AND p.series=al.series GROUP BY 1,2,3)
- SELECT jo.panel, scenario, round(max(total_budget),2) AS total_budget, {bands('exp(baseline_log+own)-exp(baseline_log)', 8)} FROM jo JOIN bl ON jo.panel=bl.panel AND jo.draw=bl.draw GROUP BY 1,2""")
+ SELECT jo.panel, scenario, round(max(total_budget),0) AS total_budget, {bands('exp(baseline_log+own)-exp(baseline_log)', 8)} FROM jo JOIN bl ON jo.panel=bl.panel AND jo.draw=bl.draw GROUP BY 1,2""")
 def _(spark, sf):
     base, _other = pl.steady_references(expected(spark, sf), contributions(spark, sf), KEYS)
     f = pl.frontier(params(spark, sf), current(spark, sf), KEYS, N, base)
-    return rounded(rounded(f, 8, "p3", "p50", "p97"), 2, "total_budget")
+    return rounded(rounded(f, 8, "p3", "p50", "p97"), 0, "total_budget")
 
 
-@query("pl_incremental", f"WITH {DRAWS_SQL}{alloc_sql('sum(current)*1.25::DOUBLE', 'current', repr('plus'))} SELECT panel, scenario, series, round(spend,2) AS spend, round(feasible,2) AS feasible, at_cap FROM al")
+@query("pl_incremental", f"WITH {DRAWS_SQL}{alloc_sql('sum(current)*1.25::DOUBLE', 'current', repr('plus'))} SELECT panel, scenario, series, round(spend,0) AS spend, round(feasible,0) AS feasible, at_cap FROM al")
 def _(spark, sf):
     cur = current(spark, sf)
     extra = cur.groupBy("panel").agg((F.sum("spend") * 0.25).alias("extra")).withColumn("scenario", F.lit("plus"))
-    return rounded(pl.incremental(params(spark, sf), cur, extra, KEYS, N), 2, "spend", "feasible")
+    return rounded(pl.incremental(params(spark, sf), cur, extra, KEYS, N), 0, "spend", "feasible")
 
 
 UNIT = "CASE WHEN series LIKE 'ch_r%' THEN 'grp' ELSE 'currency' END"
@@ -196,10 +196,10 @@ def _(spark, sf):
 FR2 = FRONTIER_SQL + ", bq AS (SELECT panel, sum(current)*1.4::DOUBLE AS budget FROM params WHERE draw=0 GROUP BY 1)"
 
 
-@query("pl_frontier_read", f"WITH {FR2}, {read_sql('rd', 'bq', 'budget', 'fr', 'total_budget', '')} SELECT panel, round(budget,2) AS budget, round(read_y,1) AS optimal_contribution FROM rd")
+@query("pl_frontier_read", f"WITH {FR2}, {read_sql('rd', 'bq', 'budget', 'fr', 'total_budget', '')} SELECT panel, round(budget,0) AS budget, round(read_y,1) AS optimal_contribution FROM rd")
 def _(spark, sf):
     b = current(spark, sf).groupBy("panel").agg((F.sum("spend") * 1.4).alias("budget"))
-    return rounded(rounded(pl.frontier_read(b, front(spark, sf), KEYS, "budget"), 2, "budget"), 1, "optimal_contribution")
+    return rounded(rounded(pl.frontier_read(b, front(spark, sf), KEYS, "budget"), 0, "budget"), 1, "optimal_contribution")
 
 
 @query("pl_scenario", f"""WITH {CURVE_SQL}, {SC_SQL}, nm AS (SELECT DISTINCT panel, scenario FROM sc),

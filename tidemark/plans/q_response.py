@@ -27,14 +27,14 @@ def spend(spark, sf):
     return master(spark, sf).data.where(F.col("role") == "spend").drop("role")
 
 
-@query("as_geometric", f"""WITH {MASTER_SQL} SELECT panel, week_start, series, value, round({_stock(GEO)}, 2) AS adstock FROM master WHERE role='spend'""")
+@query("as_geometric", f"""WITH {MASTER_SQL} SELECT panel, week_start, series, value, round({_stock(GEO)}, 0) AS adstock FROM master WHERE role='spend'""")
 def _(spark, sf):
-    return rs.geometric_adstock(spend(spark, sf), KEYS, F.lit(0.6)).withColumn("adstock", F.round("adstock", 2))
+    return rs.geometric_adstock(spend(spark, sf), KEYS, F.lit(0.6)).withColumn("adstock", F.round("adstock", 0))
 
 
-@query("as_delayed", f"""WITH {MASTER_SQL} SELECT panel, week_start, series, value, round({_stock(PEAK)}, 2) AS adstock FROM master WHERE role='spend'""")
+@query("as_delayed", f"""WITH {MASTER_SQL} SELECT panel, week_start, series, value, round({_stock(PEAK)}, 0) AS adstock FROM master WHERE role='spend'""")
 def _(spark, sf):
-    return rs.delayed_adstock(spend(spark, sf), KEYS, F.lit(0.6), F.lit(2.0)).withColumn("adstock", F.round("adstock", 2))
+    return rs.delayed_adstock(spend(spark, sf), KEYS, F.lit(0.6), F.lit(2.0)).withColumn("adstock", F.round("adstock", 0))
 
 
 @query("as_lag_matrix", f"""WITH {MASTER_SQL} SELECT panel, week_start, series, {LAGGED[0]} AS x0, {LAGGED[1]} AS x1, {LAGGED[2]} AS x2, {LAGGED[3]} AS x3 FROM master WHERE role='spend'""")
@@ -174,11 +174,11 @@ def _(spark, sf):
 
 
 @query("fit_scale", f"""WITH {MASTER_SQL} SELECT panel, week_start, series, round(CASE role WHEN 'control' THEN (value-avg(value) OVER (PARTITION BY panel, series))/stddev_pop(value) OVER (PARTITION BY panel, series)
-  ELSE value/max(value) OVER (PARTITION BY panel, series) END, 9) AS scaled FROM master""")
+  ELSE value/max(value) OVER (PARTITION BY panel, series) END, 8) AS scaled FROM master""")
 def _(spark, sf):
     from tidemark.operators import fit as ft
     m = master(spark, sf).data
-    return ft.scale(m, ft.scalers(m, KEYS), KEYS).select("panel", WEEK, "series", F.round("scaled", 9).alias("scaled"))
+    return ft.scale(m, ft.scalers(m, KEYS), KEYS).select("panel", WEEK, "series", F.round("scaled", 8).alias("scaled"))
 
 
 @query("ms_season_amplitude")

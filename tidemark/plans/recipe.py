@@ -1,8 +1,8 @@
 """From a declared recipe to a weekly dataset: the whole build for named source frames.
 
 A recipe is a document of sources (transforms, date column, columns with roles), event dummies
-and features. The result is one lazy plan per table; only facts about the layout (the date
-column, when it has to be found) are read on the driver.
+and features. The weekly rows are stored once; data, issues and verdict are lazy plans over them.
+Only facts about the layout (the date column, when it has to be found) are read on the driver.
 """
 
 from __future__ import annotations
@@ -10,11 +10,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import fixed_values as fx
-from tidemark.frames import WEEK, literal_frame, to_long, to_wide, union_all
+from tidemark.frames import WEEK, literal_frame, stored, to_long, to_wide, union_all
 from tidemark.functions.dates import parse_date, week_start
 from tidemark.functions.numbers import en_number, nl_number, to_number, without_currency
 from tidemark.operators import casting as cs, features as ft, quality as ql, roles as rl, weekly as wk
@@ -153,7 +152,8 @@ def build_dataset(frames: dict[str, DataFrame], recipe: Recipe, keys: list[str])
                                            "code string, severity string, source string, `column` string"))
         parts.append(long)
         issues += found
-    weekly = union_all(parts).select(*keys, "source", WEEK, "series", "role", "value").persist(StorageLevel.MEMORY_AND_DISK)
+    # the one pass over the raw sources ends here; everything after starts from the weekly rows
+    weekly = stored(union_all(parts).select(*keys, "source", WEEK, "series", "role", "value"), "weekly")
     m = from_weekly(weekly, keys, [s.name for s in recipe.sources if s.essential])
     issues += [m.window.where(F.col("problem").isNotNull()).select(*keys, F.col("problem").alias("code"), F.lit("error").alias("severity")),
                wk.gap_report(m.gappy, keys, list(fills)).withColumn("severity", F.lit("warning")),
