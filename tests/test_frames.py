@@ -1,6 +1,7 @@
 """The range-cut helpers must equal the plain window, hot keys and ties included."""
 
 import numpy as np
+import pytest
 from pyspark.sql import Window, functions as F
 
 from tidemark import frames as fr
@@ -13,7 +14,13 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k string, at long, v double")
 
 
-def test_exact_quantiles_equal_numpy(spark):
+@pytest.fixture(params=[50, 10 ** 9], ids=["cut", "whole"])
+def rows_per_range(request, monkeypatch):
+    """Both ways: large panels cut into ranges, and everything in one range."""
+    monkeypatch.setattr(fr, "ROWS_PER_RANGE", request.param)
+
+
+def test_exact_quantiles_equal_numpy(spark, rows_per_range):
     df = skewed(spark)
     pdf = df.toPandas()
     got = {(r["k"], r["p"]): r["q"] for r in fr.exact_quantiles(df, ["k"], "v", [0.0, 0.1, 0.5, 0.99, 1.0], 16).collect()}
@@ -22,7 +29,7 @@ def test_exact_quantiles_equal_numpy(spark):
     assert len(got) == 41 * 5
 
 
-def test_previous_and_running_total_equal_windows(spark):
+def test_previous_and_running_total_equal_windows(spark, rows_per_range):
     df = skewed(spark)
     w = Window.partitionBy("k").orderBy("at")
     want = df.withColumn("p", F.lag("v").over(w)).withColumn("t", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -101,31 +101,38 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
 # order into value ranges first, work inside each range, and carry a one-row summary per
 # range across the cuts.
 
-RANGES = 64
+RANGES = 1024            # ranges of a large panel, a square number
+ROWS_PER_RANGE = 1_000_000  # panels up to this size stay in one range
 
 
-def range_cuts(df: DataFrame, keys: list[str], order: str, ranges: int, accuracy: int) -> DataFrame:
-    """Approximate quantiles that cut each panel's values into ``ranges`` (a square number)."""
+def range_cuts(df: DataFrame, keys: list[str], order: str, ranges: int = RANGES) -> DataFrame:
+    """Approximate quantiles that cut a large panel's values into ``ranges`` (a square number).
+
+    Panels of ordinary size have no row here; where none is large, adaptive execution drops the
+    quantile pass altogether.
+    """
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ROWS_PER_RANGE)
     steps = [i / ranges for i in range(1, ranges)]
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, steps, accuracy).alias("_cuts"))
+    cuts = (df.join(large.select(*keys), keys, "left_semi").groupBy(*keys)
+            .agg(F.percentile_approx(order, steps, 10 * ranges).alias("_cuts")))
     side = isqrt(ranges)
     coarse = F.array(*[F.get("_cuts", F.lit(side * i - 1)) for i in range(1, side)])
     return cuts.withColumn("_coarse", coarse)
 
 
-def range_index(value: str, ranges: int) -> Column:
+def range_index(value: str, ranges: int = RANGES) -> Column:
     """Number of cuts below the value, found in two short steps instead of one long scan."""
     side = isqrt(ranges)
     v = F.col(value)
     a = F.size(F.filter("_coarse", lambda c: c < v))
     b = F.size(F.filter(F.slice("_cuts", a * side + 1, F.lit(side - 1)), lambda c: c < v))
-    return a * side + b
+    return F.when(F.col("_cuts").isNull(), 0).otherwise(a * side + b)
 
 
 def with_range(df: DataFrame, keys: list[str], order: str, ranges: int = RANGES) -> DataFrame:
     """Add ``_range``: the index of the value range of ``order`` that the row lies in."""
-    cuts = range_cuts(df, keys, order, ranges, 1000)
-    return df.join(cuts, keys).withColumn("_range", range_index(order, ranges)).drop("_cuts", "_coarse")
+    cuts = range_cuts(df, keys, order, ranges)
+    return df.join(cuts, keys, "left").withColumn("_range", range_index(order, ranges)).drop("_cuts", "_coarse")
 
 
 def previous_in_order(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
@@ -142,24 +149,28 @@ def previous_in_order(df: DataFrame, keys: list[str], order: str, value: str, ou
             .drop("_in", "_first", "_carry", "_range"))
 
 
+def running_totals(df: DataFrame, keys: list[str], order: str, amounts: dict[str, Column]) -> DataFrame:
+    """Cumulative sums in ``order`` per panel, one per entry of ``amounts``, for panels of any size."""
+    names = list(amounts)
+    ranged = with_range(df.withColumns({f"_a_{n}": c for n, c in amounts.items()}), keys, order)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(*keys, "_range").agg(*[F.sum(f"_a_{n}").alias(f"_t_{n}") for n in names])
+    before = before.select(*keys, "_range", *[
+        F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in names])
+    upto = (Window.partitionBy(*keys, "_range").orderBy(order)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = ranged.withColumns({f"_i_{n}": F.sum(f"_a_{n}").over(upto) for n in names})
+    return (inside.join(before, [*keys, "_range"])
+            .withColumns({n: F.col(f"_i_{n}") + F.col(f"_b_{n}") for n in names})
+            .drop("_range", *[f"_{x}_{n}" for n in names for x in "aib"]))
+
+
 def running_total(df: DataFrame, keys: list[str], order: str, amount: Column, out: str) -> DataFrame:
-    """Cumulative sum of ``amount`` in ``order`` per panel, for panels of any size."""
-    ranged = with_range(df.withColumn("_amount", amount), keys, order)
-    before = (ranged.groupBy(*keys, "_range").agg(F.sum("_amount").alias("_total"))
-              .withColumn("_before", F.coalesce(F.sum("_total").over(
-                  Window.partitionBy(*keys).orderBy("_range")
-                  .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .drop("_total"))
-    inside = F.sum("_amount").over(
-        Window.partitionBy(*keys, "_range").orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (ranged.withColumn("_in", inside).join(before, [*keys, "_range"])
-            .withColumn(out, F.col("_in") + F.col("_before"))
-            .drop("_amount", "_in", "_before", "_range"))
+    return running_totals(df, keys, order, {out: amount})
 
 
 def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[float],
-                    ranges: int = 256) -> DataFrame:
+                    ranges: int = RANGES) -> DataFrame:
     """Exact linear quantiles of groups of any size: ``(*group, p, q)``.
 
     Equal values are counted before anything else, the counts are split into value ranges
@@ -167,9 +178,9 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[flo
     No task ever holds a whole group.
     """
     rows = df.where(F.col(value).isNotNull()).select(*group, value)
-    cuts = range_cuts(rows, group, value, ranges, 2500)
+    cuts = range_cuts(rows, group, value, ranges)
     counts = (rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-              .join(cuts, group).withColumn("_range", range_index(value, ranges))
+              .join(cuts, group, "left").withColumn("_range", range_index(value, ranges))
               .drop("_cuts", "_coarse"))
     in_group = Window.partitionBy(*group)
     spans = (counts.groupBy(*group, "_range").agg(F.sum("_c").alias("_rows"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark import fixed_values as fx
-from tidemark.frames import exact_quantiles, previous_in_order, running_total
+from tidemark.frames import exact_quantiles, running_totals
 from tidemark.operators.quality import column_pairs
 
 
@@ -34,8 +34,7 @@ def missing_runs(cells: DataFrame, keys: list[str], order: str, value: str = "va
     """
     label = label or order
     filled = F.col(value).isNotNull().cast("bigint")
-    placed = running_total(cells, keys, order, F.lit(1).cast("bigint"), "_row")
-    placed = running_total(placed, keys, order, filled, "_seen")
+    placed = running_totals(cells, keys, order, {"_row": F.lit(1).cast("bigint"), "_seen": filled})
     return (placed.where(F.col(value).isNull()).groupBy(*keys, "_seen")
             .agg((F.min("_row") - 1).alias("start"), F.count(F.lit(1)).alias("length"),
                  F.min_by(label, order).alias("start_label"), F.max_by(label, order).alias("end_label"))
