@@ -14,19 +14,24 @@ P = "(PARTITION BY panel, series)"
 Z = "coalesce({}, 0.0)"
 
 
-def _feature(name, column, sql, digits=None):
+def _feature(name, column, sql, digits=None, controls_only=False):
+    """Register a feature; ``controls_only`` rounds controls, as whole amounts are exact anyway."""
     value = f"round({sql}, {digits})" if digits is not None else sql
+    if controls_only:
+        value = f"CASE WHEN role='control' THEN {value} ELSE {sql} END"
 
     @query(name, f"WITH {MASTER_SQL} SELECT panel, week_start, series, {value} AS feature FROM master")
     def _(spark, sf):
         c = column() if digits is None else F.round(column(), digits)
+        if controls_only:
+            c = F.when(F.col("role") == "control", c).otherwise(column())
         return master(spark, sf).data.select("panel", WEEK, "series", c.alias("feature"))
 
 
 FOUR = "(PARTITION BY panel, series ORDER BY week_start ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
 _feature("ft_lag", lambda: ft.lag(KEYS, 2), f"coalesce(lag(value,2) OVER {W}, 0)")
-_feature("ft_rolling_mean", lambda: ft.rolling_mean(KEYS, 4), Z.format(f"avg(value) OVER {FOUR}"), 7)
-_feature("ft_rolling_sum", lambda: ft.rolling_sum(KEYS, 4), Z.format(f"sum(value) OVER {FOUR}"), 7)
+_feature("ft_rolling_mean", lambda: ft.rolling_mean(KEYS, 4), Z.format(f"avg(value) OVER {FOUR}"), 7, True)
+_feature("ft_rolling_sum", lambda: ft.rolling_sum(KEYS, 4), Z.format(f"sum(value) OVER {FOUR}"), 7, True)
 _feature("ft_diff", lambda: ft.diff(KEYS, 1), Z.format(f"value - lag(value,1) OVER {W}"))
 _feature("ft_log1p", lambda: ft.log1p(), Z.format("sign(value)*ln(1+abs(value))"), 6)
 _feature("ft_zscore", lambda: ft.zscore(KEYS), Z.format(
