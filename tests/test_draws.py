@@ -125,3 +125,14 @@ def test_splits_and_holdout(spark):
     assert [(r["fold"], r["train_end"], r["test_end"]) for r in f] == [(0, 52, 65), (1, 65, 78), (2, 78, 91)]
     h = ev.holdout_folds(p, "n", 4).collect()
     assert [(r["run"], r["train_end"], r["test_end"]) for r in h] == [("a", 90, 100)]
+
+
+def test_constant_columns_do_not_fail_in_ansi_mode(spark, weekly):
+    from tidemark.frames import to_wide
+    from tidemark.operators import measure as me, quality as ql
+    t = spark.createDataFrame([("r", c, i, v) for i in range(5) for c, v in (("a", 1.0), ("b", float(i)))], "run string, series string, draw int, total double")
+    assert idn.contribution_correlations(t, R, ["a", "b"]).first()["r"] == 0.0
+    m = weekly(shift=0.0, a=("spend", [0] * 6), b=("spend", range(6)), kpi=("kpi", [0] * 6))
+    assert ql.column_pairs(to_wide(m, ["panel"], ["a", "b"]), ["panel"], ["a", "b"], 0.0).count() == 0
+    assert me.kpi_stats(m, ["panel"]).first()["refused"] == "no_positive_values"
+    assert me.trend(m, ["panel"]).first()["trend_slope"] is None

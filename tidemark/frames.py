@@ -47,6 +47,20 @@ def quantile(c: Column, q: float) -> Column:
     return F.percentile(c, F.lit(q))
 
 
+def over(a: Column, b: Column) -> Column:
+    """a / b, NULL where b is 0 (ANSI mode would fail the query)."""
+    return a / F.nullif(b, F.lit(0.0))
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson r over complete pairs; NULL where either side does not vary.
+
+    ``corr`` itself divides by zero there.
+    """
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return over(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def melt(df: DataFrame, ids: list[str], columns: list[str], name: str = "series",
          value: str = "value") -> DataFrame:
     return df.unpivot(ids, columns, name, value)

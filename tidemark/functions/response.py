@@ -6,11 +6,11 @@ from tidemark import fixed_values as fx
 
 
 def alpha_from_half_life(h: Column) -> Column:
-    return F.pow(F.lit(0.5), 1 / h)
+    return F.pow(F.lit(0.5), 1 / F.nullif(h, F.lit(0.0)))
 
 
 def half_life_from_alpha(a: Column) -> Column:
-    return F.log(F.lit(0.5)) / F.log(a)
+    return F.log(F.lit(0.5)) / F.nullif(F.log(a), F.lit(0.0))
 
 
 def raw_weight(alpha: Column, lag: int | Column, theta: Column | None = None) -> Column:

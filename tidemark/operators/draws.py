@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import fixed_values as fx
-from tidemark.frames import WEEK
+from tidemark.frames import WEEK, over
 
 BAND = (0.03, 0.5, 0.97)
 
@@ -85,7 +85,7 @@ def channel_results(contributions: DataFrame, kpi_totals: DataFrame, keys: list[
     share = F.when(F.abs("total") > 1e-12, F.col("direct") / F.col("total")).otherwise(1.0)
     out = d.groupBy(*keys, "series").agg(
         *interval_columns(F.col("total"), "contribution_"),
-        *interval_columns(F.col("total") / F.col("kpi_total"), "share_"),
+        *interval_columns(over(F.col("total"), F.col("kpi_total")), "share_"),
         *interval_columns(F.when(F.col("spend") > 0, F.col("total") / F.col("spend")), "return_"),
         *interval_columns(F.col("direct"), "direct_"),
         *interval_columns(F.col("total") - F.col("direct"), "carryover_"),

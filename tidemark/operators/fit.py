@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import fixed_values as fx
-from tidemark.frames import WEEK, series_window
+from tidemark.frames import WEEK, over
 from tidemark.functions.response import alpha_from_half_life, hill_effect, logistic_effect, weights
 from tidemark.operators.features import fourier
 from tidemark.operators.measure import unpack_gram
@@ -91,7 +91,7 @@ def design_table(master: DataFrame, keys: list[str], kpi: str, channels: list[st
     t = (F.row_number().over(w.orderBy(WEEK)) - 1).cast("double")
     base = base.withColumn("idx", t).withColumn("n_weeks", F.count(F.lit(1)).over(w))
     waves = fourier(F.col("idx"), 52.0, modes)
-    base = base.withColumns({"one": F.lit(1.0), "t": F.col("idx") / (F.col("n_weeks") - 1), **waves})
+    base = base.withColumns({"one": F.lit(1.0), "t": over(F.col("idx"), F.col("n_weeks") - 1), **waves})
     spend = sized.where((F.col("role") == "spend") & F.col("series").isin(*channels))
     effects = shaped(spend, keys, candidates).groupBy(*keys, WEEK, "cand").agg(
         *[F.max(F.when(F.col("series") == c, F.col("effect"))).alias(f"x_{c}") for c in channels])
@@ -220,7 +220,7 @@ def calibration_pulls(design: DataFrame, best: DataFrame, spend_totals: DataFram
     effects = [c for c in columns if c.startswith("x_")]
     sums = chosen.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in effects])
     long = sums.unpivot(keys, effects, "series", "effect").withColumn("series", F.substring("series", 3, 500))
-    k = F.col("y_max") * F.col("effect") / F.col("total_spend")
+    k = over(F.col("y_max") * F.col("effect"), F.col("total_spend"))
     pulls = (long.join(spend_totals, [*keys, "series"]).join(experiments, [*keys, "series"])
              .withColumn("xx", k * k / (F.col("sd") * F.col("sd"))).withColumn("xy", k * F.col("roas") / (F.col("sd") * F.col("sd"))))
 

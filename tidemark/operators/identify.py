@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import fixed_values as fx
-from tidemark.frames import stored
+from tidemark.frames import correlation, over, stored
 
 RANKS = ("identified", "weak", "not_identified")
 
@@ -22,7 +22,7 @@ def overlap(a: DataFrame, b: DataFrame, keys: list[str], value: str = "value", b
              .groupBy(*keys, "_bin", "na", "nb")
              .agg(F.count_if(F.col("_s") == 0).alias("ca"), F.count_if(F.col("_s") == 1).alias("cb")))
     return cells.groupBy(*keys).agg(
-        F.sum(F.least(F.col("ca") / F.col("na"), F.col("cb") / F.col("nb"))).alias("overlap"))
+        F.sum(F.least(over(F.col("ca"), F.col("na")), over(F.col("cb"), F.col("nb")))).alias("overlap"))
 
 
 def relative_width(p3: Column, p50: Column, p97: Column) -> Column:
@@ -35,7 +35,7 @@ def contribution_correlations(totals: DataFrame, keys: list[str], channels: list
     wide = totals.groupBy(*keys, "draw").agg(
         *[F.max(F.when(F.col("series") == c, F.col(value))).alias(c) for c in channels])
     pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                      F.when((F.stddev_pop(a) < 1e-12) | (F.stddev_pop(b) < 1e-12), 0.0).otherwise(F.corr(a, b)).alias("r"))
+                      F.when((F.stddev_pop(a) < 1e-12) | (F.stddev_pop(b) < 1e-12), 0.0).otherwise(correlation(a, b)).alias("r"))
              for a, b in combinations(channels, 2)]
     return wide.groupBy(*keys).agg(F.array(*pairs).alias("_p")).select(*keys, F.inline("_p")).where(F.col("r").isNotNull())
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import fixed_values as fx
-from tidemark.frames import WEEK, lookup, to_wide
+from tidemark.frames import WEEK, lookup, over, to_wide
 from tidemark.functions.response import alpha_from_half_life, raw_weight
 from tidemark.operators.features import fourier
 
@@ -54,8 +54,8 @@ def kpi_stats(master: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(v == 0).alias("n_zero_weeks"))
     refused = (F.when(F.col("n_missing") > 0, "missing_values").when(F.col("kpi_max") <= 0, "no_positive_values")
                .when(F.col("n_weeks") < 2, "too_short"))
-    return (s.withColumn("kpi_median_scaled", F.col("kpi_median") / F.col("kpi_max"))
-            .withColumn("kpi_std_scaled", F.col("kpi_std") / F.col("kpi_max"))
+    return (s.withColumn("kpi_median_scaled", over(F.col("kpi_median"), F.col("kpi_max")))
+            .withColumn("kpi_std_scaled", over(F.col("kpi_std"), F.col("kpi_max")))
             .withColumn("kpi_is_integer", F.col("_whole") == 1)
             .withColumn("refused", refused).drop("_whole"))
 
@@ -63,13 +63,13 @@ def kpi_stats(master: DataFrame, keys: list[str]) -> DataFrame:
 def scaled_time(keys: list[str]) -> Column:
     w = Window.partitionBy(*keys)
     t = F.row_number().over(w.orderBy(WEEK)) - 1
-    return t / (F.count(F.lit(1)).over(w) - 1)
+    return over(t, F.count(F.lit(1)).over(w) - 1)
 
 
 def trend(master: DataFrame, keys: list[str]) -> DataFrame:
     """Slope and level of the outcome over its own maximum, on time scaled to 0..1."""
     k = master.where(F.col("role") == "kpi")
-    y = F.col("value") / F.max("value").over(Window.partitionBy(*keys))
+    y = over(F.col("value"), F.max("value").over(Window.partitionBy(*keys)))
     t = k.select(*keys, y.alias("y"), scaled_time(keys).alias("t"))
     return t.groupBy(*keys).agg(F.regr_slope("y", "t").alias("trend_slope"),
                                 F.regr_intercept("y", "t").alias("trend_intercept"))
@@ -129,9 +129,9 @@ def season_design(master: DataFrame, keys: list[str], modes: int = 2) -> tuple[D
     w = Window.partitionBy(*keys)
     t = F.row_number().over(w.orderBy(WEEK)) - 1
     base = (master.where(F.col("role") == "kpi")
-            .withColumn("y", F.col("value") / F.max("value").over(w))
+            .withColumn("y", over(F.col("value"), F.max("value").over(w)))
             .withColumn("idx", t.cast("double")).withColumn("one", F.lit(1.0))
-            .withColumn("t", F.col("idx") / (F.count(F.lit(1)).over(w) - 1)))
+            .withColumn("t", over(F.col("idx"), F.count(F.lit(1)).over(w) - 1)))
     waves = fourier(F.col("idx"), 52.0, modes)
     return base.withColumns(waves).select(*keys, WEEK, "y", "one", "t", *waves), list(waves)
 

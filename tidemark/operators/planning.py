@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import fixed_values as fx
+from tidemark.frames import over
 from tidemark.functions.response import hill_effect, logistic_effect
 from tidemark.operators.draws import interval_columns
 
 
 def own_effect(spend: Column, logistic: bool = False) -> Column:
     """Scaled effect of a weekly spend under the row's parameters."""
-    u = spend / F.col("x_max")
+    u = over(spend, F.col("x_max"))
     shape = hill_effect(u, F.col("half_sat"), F.col("slope"))
     if logistic:
         shape = F.when(F.col("saturation") == "logistic", logistic_effect(u, F.col("lam"))).otherwise(shape)

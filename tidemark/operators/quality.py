@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import fixed_values as fx
-from tidemark.frames import WEEK, literal_frame, series_window, to_wide, union_all, whole_series
+from tidemark.frames import WEEK, correlation, literal_frame, series_window, to_wide, union_all, whole_series
 from tidemark.functions.dates import iso_week, week_start
 from tidemark.operators.weekly import median_day_gap
 
@@ -50,13 +50,9 @@ def column_pairs(wide: DataFrame, keys: list[str], columns: list[str], minimum:
     """Pearson r of every column pair in one aggregate; p columns cost p(p-1)/2 sums, no join."""
     pairs = list(combinations(columns, 2))
 
-    def both(a, b, c):
-        return F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(c))
-
     usable = {c: ((F.stddev_samp(c) != 0) & (F.count(c) > 2)) if sample_guard else F.lit(True) for c in columns}
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                      F.when(usable[a] & usable[b] & (F.stddev_pop(both(a, b, a)) > 0)
-                             & (F.stddev_pop(both(a, b, b)) > 0), F.corr(a, b)).alias("r"))
+                      F.when(usable[a] & usable[b], correlation(a, b)).alias("r"))
              for a, b in pairs]
     return (wide.groupBy(*keys).agg(F.array(*cells).alias("_p")).select(*keys, F.inline("_p"))
             .where(F.abs("r") >= minimum))
