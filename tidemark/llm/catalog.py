@@ -1,6 +1,6 @@
 """All queries of this subpackage. Importing an operator registers its query."""
 
-from tidemark.llm import packing, pii, secrets, simhash, token_files  # noqa: F401
+from tidemark.llm import decontaminate, packing, pii, secrets, simhash, token_files, toxicity  # noqa: F401
 from tidemark.llm.registry import QUERIES, TWINS
 
 

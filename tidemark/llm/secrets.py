@@ -105,10 +105,6 @@ def redact(docs: DataFrame, text_column: str = "text", mark: str = "[secret]") -
     return found.withColumn(text_column, sp.masked(F.col(text_column), F.col("spans"), mark)).select(*docs.columns)
 
 
-_DUCK = {"assign": ASSIGN.replace("'", "''"), "access": ACCESS, "hex": HEX, "user": USER.replace("'", "''"),
-         "endpoint": ENDPOINT.replace("'", "''"), "opaque": OPAQUE}
-
-
 @query("op1_secrets")
 def op1_secrets(spark, sf_dir):
     out = find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
