@@ -127,7 +127,8 @@ def place(items: DataFrame, size_column: str = "length", order_columns: tuple[st
     by_size = runs.groupBy("_size").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "first", "offset"))).alias("_runs"))
     rank = F.col("_rank") + F.col("_base")
     run = F.filter("_runs", lambda r: (r["lo"] <= rank) & (rank < r["hi"]))[0]
-    placed = (ranked.join(bases, ["_part", "_size"]).join(by_size, "_size").withColumn("_run", run)
+    # both are small by construction: a row per size, or per task and the few sizes that a range-sorted task holds
+    placed = (ranked.join(F.broadcast(bases), ["_part", "_size"]).join(F.broadcast(by_size), "_size").withColumn("_run", run)
               .select(*names, (F.col("_run.first") + rank - F.col("_run.lo")).alias("sequence_id"), F.col("_run.offset").alias("offset")))
     empty = F.lit(None).cast("long")
     return placed.unionByName(items.where(~F.coalesce(fits, F.lit(False)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 
@@ -11,6 +12,8 @@ import numpy as np
 VOCABULARY = "word_bpe_49k.json"
 MEMORY = 700_000                     # words an encoder remembers, about 150 MB
 SLICE = 1 << 20
+PART = 5000                          # words encoded in one go, parted by a control character of their own
+MARK = b"\x01"
 SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
@@ -35,14 +38,30 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(file_of(name))
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         self.whole, self.memory, self.known = whole, memory, {}
+        mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else -1
 
     def _learn(self, words: set[bytes]) -> None:
-        new = list(words - self.known.keys())
-        if len(self.known) + len(new) > self.memory:
-            self.known = {w: self.known[w] for w in words & self.known.keys()}
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+        known = self.known
+        new = [w for w in words if w not in known]  # a set difference would walk all that is known
+        if len(self.known) + len(new) > self.memory:  # words learned early are the common ones: these stay, with those in use
+            early = dict(itertools.islice(self.known.items(), self.memory // 2))
+            self.known = early | {w: self.known[w] for w in words & self.known.keys()}
+        plain = [w for w in new if MARK not in w and b"<|" not in w]
+        for i in range(0, len(plain), PART):
+            part = plain[i:i + PART]
+            text = (b" " + MARK + b" ").join(part).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) != len(part) - 1:
+                raise ValueError("the tokenizer does not keep the mark apart; use whole=True")
+            raw, size = ids.tobytes(), self.kind.itemsize
+            ends = [*(marks * size).tolist(), len(raw)]
+            starts = [0, *((marks + 1) * size).tolist()]
+            self.known.update(zip(part, [raw[x:y] for x, y in zip(starts, ends)]))
+        if len(plain) < len(new):
+            odd = [w for w in new if w not in self.known]
+            for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, self.kind).tobytes()
 
     def _slices(self, raw: bytes):
