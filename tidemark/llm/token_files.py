@@ -150,9 +150,9 @@ def write_token_files(docs: DataFrame, folder: str, id_column: str = "doc_id", t
                     held_ids.append(next(names))
                     held.append(np.concatenate([ids, tail]))
                     size += len(held[-1])
-                if size >= file_ids:
-                    yield close()
-                    held_ids, held, size, seq = [], [], 0, seq + 1
+                    if size >= file_ids:
+                        yield close()
+                        held_ids, held, size, seq = [], [], 0, seq + 1
         if held:
             yield close()
 

@@ -85,7 +85,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id", v
         counts = (grid.join(packed_state, "block").mapInPandas(_histogram(k, step, width), "query_id long, bin int, n long")
                   .groupBy("query_id", "bin").agg(F.sum("n").alias("n")))
         beyond = Window.partitionBy("query_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-        reached = (counts.join(state, "query_id").withColumn("seen", F.col("above") + F.sum("n").over(beyond))
+        # queries with fewer than k candidates stay open from below: all their candidates are kept in the end
+        reached = (state.join(counts, "query_id", "left").withColumn("seen", F.col("above") + F.sum("n").over(beyond))
                    .groupBy("block", "query_id").agg(
                        F.max(F.when(F.col("seen") >= k, F.col("bin"))).alias("hit"), F.min("lo").alias("lo"), F.min("above").alias("was"),
                        F.collect_list(F.struct("bin", "n")).alias("bins")))
