@@ -39,7 +39,7 @@ def test_allocators_match_brute_force(spark, slopes, exact_only):
     b = spark.createDataFrame([("p1", "s", budget), ("p2", "s", budget)], "panel string, scenario string, budget double")
     rg = pl.allocation_ranges(pl.median_params(p, K), b, K, None, steps)
     want = best_by_brute_force(budget, steps, slopes)
-    outs = [pl.allocate_exact(rg, K, steps)] + ([] if exact_only else [pl.allocate(rg, K, steps)])
+    outs = [pl.allocate_exact(rg, K)] + ([] if exact_only else [pl.allocate(rg, K)])
     for out in outs:
         got = {r["series"]: r["spend"] for r in out.where("panel='p1'").collect()}
         total = sum(value(got[f"c{i}"], i, s) for i, s in enumerate(slopes))
@@ -51,12 +51,23 @@ def test_budget_is_clipped_and_floors_hold(spark):
     p = make_params(spark)
     b = spark.createDataFrame([("p1", "big", 9000.0), ("p1", "small", 500.0)], "panel string, scenario string, budget double")
     lim = spark.createDataFrame([("p1", "c2", 200.0, None)], "panel string, series string, min_spend double, max_spend double")
-    out = pl.allocate(pl.allocation_ranges(pl.median_params(p, K).where("panel='p1'"), b, K, lim, 50), K, 50).collect()
+    out = pl.allocate(pl.allocation_ranges(pl.median_params(p, K).where("panel='p1'"), b, K, lim, 50), K).collect()
     big = {r["series"]: r for r in out if r["scenario"] == "big"}
     assert np.isclose(big["c0"]["feasible"], 3600) and all(r["at_cap"] for r in big.values())
     assert next(r["spend"] for r in out if r["scenario"] == "small" and r["series"] == "c2") >= 200
 
 
+@pytest.mark.parametrize("steps", [7, 60, 100])
+def test_the_whole_budget_is_spent(spark, steps):
+    p = make_params(spark)
+    budgets = [("p1", str(x), x) for x in (10.0, 333.3, 3500.0, 3599.0, 9000.0)]
+    b = spark.createDataFrame(budgets, "panel string, scenario string, budget double")
+    rg = pl.allocation_ranges(pl.median_params(p, K).where("panel='p1'"), b, K, None, steps)
+    for out in (pl.allocate(rg, K), *([pl.allocate_exact(rg, K)] if steps < 60 else [])):
+        r = out.groupBy("scenario").agg(F.sum("spend").alias("s"), F.max("feasible").alias("f"), F.max("spend").alias("m")).collect()
+        assert len(r) == 5 and all(np.isclose(x["s"], x["f"]) and x["m"] <= 1200 + 1e-6 for x in r)
+
+
 def test_curve_is_monotone_and_marks_extrapolation(spark):
     c = pl.response_curve(make_params(spark), K).where("panel='p1' and series='c0'").orderBy("step").collect()
     assert len(c) == 25 and c[0]["p50"] == 0 and all(a["p50"] < b["p50"] for a, b in zip(c, c[1:]))

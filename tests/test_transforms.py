@@ -93,6 +93,16 @@ def test_slug_and_unique_names(spark):
     assert r == {1: "black_friday_actie", 2: "cafe_creme", 3: "", 4: "cafe_creme_2"}
 
 
+def test_unique_names_pass_over_used_numbers(spark):
+    rows = list(enumerate(["a", "a", "a_2", "a", "b", "b", "a_4", "b_2_2", "b_2", "b_2"]))
+    df = spark.createDataFrame([("k", i, n) for i, n in rows], "k string, id int, n string")
+    out = {x["id"]: x["name"] for x in tx.unique_names(df, ["k"], "n", "id", "name").collect()}
+    assert out == {0: "a", 1: "a_3", 2: "a_2", 3: "a_5", 4: "b", 5: "b_3", 6: "a_4", 7: "b_2_2", 8: "b_2", 9: "b_2_3"}
+    taken = spark.createDataFrame([("k", "a"), ("k", "a_3")], "k string, n string")
+    some = tx.unique_names(df.where("id < 2"), ["k"], "n", "id", "name", taken).collect()
+    assert {x["name"] for x in some} == {"a_2", "a_4"}
+
+
 def test_numbers_in_text(spark):
     df = spark.createDataFrame([(1, "van 1.234,5 naar 0.82 en 2,4 of 15 in 1.234.567")], "id int, t string")
     assert [r["number"] for r in nm.numbers_in(df, "t").collect()] == [1234.5, 0.82, 2.4, 15.0, 1234567.0]

@@ -79,14 +79,6 @@ def to_long(wide: DataFrame, keys: list[str], roles: dict[str, str], order: str
     return out.withColumn("role", role).select(*keys, order, "series", "role", "value")
 
 
-def series_names(long: DataFrame, limit: int = 500) -> list[str]:
-    """Distinct series names: a schema-sized fact, refused when it is not."""
-    names = [r[0] for r in long.select("series").distinct().limit(limit + 1).collect()]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} series; pass the list explicitly")
-    return sorted(names)
-
-
 def lookup(c: Column, table: dict, default=None) -> Column:
     """A small fixed table as a CASE expression; needs no join."""
     out = None

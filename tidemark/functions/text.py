@@ -25,12 +25,23 @@ def truncated(c: Column, limit: int) -> Column:
 
 def unique_names(df: DataFrame, keys: list[str], name: str, order: str, out: str,
                  taken: DataFrame | None = None) -> DataFrame:
-    """Suffix ``_2``, ``_3``, ... on repeated names; ``taken`` (keys, name) counts as seen."""
+    """Suffix ``_2``, ``_3``, ... on repeated names; ``taken`` (keys, name) counts as seen.
+
+    Numbers that any name of the table or of ``taken`` already carries are passed over, so no name comes out twice.
+    """
     ranked = running_total(df, [*keys, name], order, F.lit(1), "_rank")
+    there = df.select(*keys, name)
     if taken is not None:
-        used = taken.select(*keys, F.col(name)).distinct().withColumn("_used", F.lit(1))
-        ranked = (ranked.join(used, [*keys, name], "left")
+        used = taken.select(*keys, F.col(name)).distinct()
+        there = there.unionByName(used)
+        ranked = (ranked.join(used.withColumn("_used", F.lit(1)), [*keys, name], "left")
                   .withColumn("_rank", F.col("_rank") + F.coalesce("_used", F.lit(0))).drop("_used"))
-    suffixed = F.concat(F.col(name), F.lit("_"), F.col("_rank").cast("string"))
+    numbered = r"^(.*)_([1-9][0-9]{0,8})$"
+    numbers = (there.select(*keys, F.regexp_extract(name, numbered, 1).alias(name), F.expr(f"try_cast(regexp_extract(`{name}`, r'{numbered}', 2) as int)").alias("_k"))
+               .where(F.col("_k") >= 2).groupBy(*keys, name).agg(F.sort_array(F.collect_set("_k")).alias("_numbers")))
+    ranked = ranked.join(numbers, [*keys, name], "left")
+    # a used number pushes on every later one: it counts where fewer free numbers than wanted lie below it
+    passed = F.size(F.filter(F.transform(F.coalesce("_numbers", F.array().cast("array<int>")), lambda x, i: x - 2 - i), lambda free: free < F.col("_rank") - 1))
+    suffixed = F.concat(F.col(name), F.lit("_"), (F.col("_rank") + passed).cast("string"))
     return (ranked.withColumn(out, F.when(F.col("_rank") == 1, F.col(name)).otherwise(suffixed))
-            .drop("_rank"))
+            .drop("_rank", "_numbers"))

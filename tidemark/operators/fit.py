@@ -7,6 +7,7 @@ receives one p-by-p system per (panel, candidate) and nothing that grows with th
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
@@ -195,9 +196,10 @@ def bootstrap_draws(design: DataFrame, best: DataFrame, keys: list[str], columns
     pairs += [F.col(a) * F.col("y") for a in columns]
     blocks = chosen.groupBy(*keys, "cand", "block").agg(*[F.sum(c).alias(n) for n, c in zip(names, pairs)])
     u = (F.pmod(F.xxhash64(F.lit(seed), "draw", "block", *keys), F.lit(1_000_003)) + 0.5) / 1_000_003
+    # a Poisson(1) weight by its inverse distribution; beyond 12 lies less than one step of the uniform number
     poisson = F.lit(0.0)
-    for cut in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015):
-        poisson = poisson + (u > cut).cast("double")
+    for k in range(12):
+        poisson = poisson + (u > math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))).cast("double")
     drawn = (blocks.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
              .withColumn("w", poisson))
     n_xx = p * (p + 1) // 2

@@ -95,7 +95,7 @@ def median_params(params: DataFrame, keys: list[str]) -> DataFrame:
 
 def allocation_ranges(medians: DataFrame, budgets: DataFrame, keys: list[str], limits: DataFrame | None = None,
                       steps: int = 100, cap: float = fx.CAP_FACTOR) -> DataFrame:
-    """Per (keys, scenario, channel): low, high, the step size and how many steps fit.
+    """Per (keys, scenario, channel): low, high, the step size, how many steps fit, and the number of steps in all.
 
     ``budgets``: (keys, scenario, budget); ``limits``: (keys, series, min_spend, max_spend). The
     spendable total is clipped to what the channels can take.
@@ -113,7 +113,7 @@ def allocation_ranges(medians: DataFrame, budgets: DataFrame, keys: list[str], l
     total = F.greatest(F.least(F.col("budget"), F.sum("high").over(w)), F.sum("low").over(w))
     j = j.withColumn("feasible", total).withColumn("delta", (total - F.sum("low").over(w)) / steps)
     fit = F.when(F.col("delta") > 0, F.floor((F.col("high") - F.col("low")) / F.col("delta") + 1e-9)).otherwise(0)
-    return j.withColumn("n_fit", F.least(fit, F.lit(steps)).cast("int"))
+    return j.withColumn("n_fit", F.least(fit, F.lit(steps)).cast("int")).withColumn("steps", F.lit(steps))
 
 
 def require_money(channels: DataFrame, unit: str = "unit") -> DataFrame:
@@ -128,11 +128,12 @@ def tradeable(channels: DataFrame, verdicts: DataFrame, keys: list[str]) -> Data
     return j.withColumn("can_move", (F.col("unit") == fx.MONEY_UNIT) & F.col("_stuck").isNull()).drop("_stuck")
 
 
-def allocate(ranges: DataFrame, keys: list[str], steps: int = 100) -> DataFrame:
+def allocate(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Best split of each budget for concave curves: (keys, scenario, series, spend, at_cap).
 
     Steps with the largest gains are taken until the budget is spent. Gains of a concave curve
     never rise, so what is taken of each channel is a prefix and the split is exact on the grid.
+    Money that whole steps leave over goes to channels with room, so that spend adds up to ``feasible``.
     A window holds channels x steps rows, whatever the number of panels. For S-curves use
     :func:`allocate_exact`.
     """
@@ -140,20 +141,25 @@ def allocate(ranges: DataFrame, keys: list[str], steps: int = 100) -> DataFrame:
     at = F.col("low") + F.col("k") * F.col("delta")
     gain = (own_effect(at) - own_effect(at - F.col("delta"))) * F.col("y_max")
     w = Window.partitionBy(*keys, "scenario").orderBy(F.desc("gain"), "series", "k")
-    picks = (k.withColumn("gain", F.round(gain, 9)).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= steps)
+    picks = (k.withColumn("gain", F.round(gain, 9)).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("steps"))
              .groupBy(*keys, "scenario", "series").agg(F.count(F.lit(1)).alias("taken")))
     return _allocated(ranges, picks, keys)
 
 
 def _allocated(ranges: DataFrame, picks: DataFrame, keys: list[str]) -> DataFrame:
-    on = [*keys, "scenario", "series"]
-    spend = F.col("low") + F.coalesce("taken", F.lit(0)) * F.col("delta")
-    return (ranges.join(picks, on, "left")
-            .select(*on, spend.alias("spend"), "feasible",
-                    (F.coalesce("taken", F.lit(0)) >= F.col("n_fit")).alias("at_cap")))
-
-
-def allocate_exact(ranges: DataFrame, keys: list[str], steps: int = 40) -> DataFrame:
+    """Spend of the steps taken, then what is left of the budget by the largest gain of filling a channel's room."""
+    at, on = [*keys, "scenario"], [*keys, "scenario", "series"]
+    j = ranges.join(picks, on, "left").withColumn("_spend", F.col("low") + F.coalesce("taken", F.lit(0)) * F.col("delta"))
+    j = j.withColumn("_room", F.greatest(F.col("high") - F.col("_spend"), F.lit(0.0)))
+    j = j.withColumn("_left", F.greatest(F.col("feasible") - F.sum("_spend").over(Window.partitionBy(*at)), F.lit(0.0)))
+    gain = (own_effect(F.col("_spend") + F.least("_room", "_left")) - own_effect(F.col("_spend"))) * F.col("y_max")
+    before = Window.partitionBy(*at).orderBy(F.desc("_gain"), "series").rowsBetween(Window.unboundedPreceding, -1)
+    j = j.withColumn("_gain", F.round(gain, 9)).withColumn("_before", F.coalesce(F.sum("_room").over(before), F.lit(0.0)))
+    spend = F.col("_spend") + F.least(F.greatest(F.col("_left") - F.col("_before"), F.lit(0.0)), F.col("_room"))
+    return j.select(*on, spend.alias("spend"), "feasible", (spend >= F.col("high") * (1 - 1e-9)).alias("at_cap"))
+
+
+def allocate_exact(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Best split on the grid for curves of any shape, one channel folded in at a time.
 
     A budget is one row that carries its channels' values per step count. The state is the best
@@ -162,10 +168,10 @@ def allocate_exact(ranges: DataFrame, keys: list[str], steps: int = 40) -> DataF
     """
     at = [*keys, "scenario"]
     effects = F.transform(F.sequence(F.lit(0), F.col("n_fit")), lambda k: own_effect(F.col("low") + k * F.col("delta")) * F.col("y_max"))
-    rows = ranges.select(*at, "series", effects.alias("v")).groupBy(*at).agg(
-        F.array_sort(F.collect_list(F.struct("series", "v"))).alias("_ch"))
+    rows = ranges.select(*at, "series", "steps", effects.alias("v")).groupBy(*at).agg(
+        F.array_sort(F.collect_list(F.struct("series", "v"))).alias("_ch"), F.max("steps").alias("steps"))
     kind = "array<struct<best:double,picks:array<int>>>"
-    start = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda b: F.struct(F.lit(0.0).alias("best"), F.slice(F.array(b), 1, 0).alias("picks"))).cast(kind)
+    start = F.transform(F.sequence(F.lit(0), F.col("steps")), lambda b: F.struct(F.lit(0.0).alias("best"), F.slice(F.array(b), 1, 0).alias("picks"))).cast(kind)
 
     def add(state: Column, channel: Column) -> Column:
         v = channel["v"]
@@ -176,10 +182,10 @@ def allocate_exact(ranges: DataFrame, keys: list[str], steps: int = 40) -> DataF
                 F.array_append(F.get(state, b - k)["picks"], k).alias("picks")))
             return F.array_max(options)
 
-        return F.transform(F.sequence(F.lit(0), F.lit(steps)), best_with).cast(kind)
+        return F.transform(F.sequence(F.lit(0), F.col("steps")), best_with).cast(kind)
 
     done = rows.withColumn("_s", F.aggregate("_ch", start, add)).select(
-        *at, F.arrays_zip(F.transform("_ch", lambda c: c["series"]).alias("series"), F.get("_s", F.lit(steps))["picks"].alias("taken")).alias("_z"))
+        *at, F.arrays_zip(F.transform("_ch", lambda c: c["series"]).alias("series"), F.get("_s", F.col("steps"))["picks"].alias("taken")).alias("_z"))
     picks = done.select(*at, F.explode("_z").alias("_p")).select(
         *at, F.col("_p")["series"].alias("series"), F.col("_p")["taken"].alias("taken"))
     return _allocated(ranges, picks, keys)
@@ -196,7 +202,7 @@ def frontier(params: DataFrame, current: DataFrame, keys: list[str], steps: int
              baseline_log: DataFrame | None = None) -> DataFrame:
     """Best total at each multiple of today's budget, all budgets in one query."""
     ranges = allocation_ranges(median_params(params, keys), scaled_budgets(current, keys), keys, None, steps)
-    split = allocate(ranges, keys, steps)
+    split = allocate(ranges, keys)
     total = total_contribution(params, split, keys, ["scenario"], baseline_log)
     spent = split.groupBy(*keys, "scenario").agg(F.max("feasible").alias("total_budget"))
     return total.join(spent, [*keys, "scenario"])
@@ -207,7 +213,7 @@ def incremental(params: DataFrame, current: DataFrame, extra: DataFrame, keys: l
     floor = current.select(*keys, "series", F.col("spend").alias("min_spend"), F.lit(None).cast("double").alias("max_spend"))
     total = current.groupBy(*keys).agg(F.sum("spend").alias("_t"))
     budgets = extra.join(total, keys).select(*keys, "scenario", (F.col("_t") + F.col("extra")).alias("budget"))
-    return allocate(allocation_ranges(median_params(params, keys), budgets, keys, floor, steps), keys, steps)
+    return allocate(allocation_ranges(median_params(params, keys), budgets, keys, floor, steps), keys)
 
 
 # --- reading curves -----------------------------------------------------------------------

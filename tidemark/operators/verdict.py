@@ -42,13 +42,13 @@ def validity_checks(diagnostics: DataFrame, keys: list[str], channels: DataFrame
     placebo = F.abs(c("placebo_share"))
     clean = (placebo <= fx.PLACEBO_LIMIT) & F.coalesce(placebo < c("typical_share"), F.lit(True))
     rows = [
-        _check("converged", c("max_r_hat") <= fx.RHAT_BLOCKING, "blocking", c("max_r_hat")),
+        _check("converged", c("max_r_hat") <= fx.RHAT_BLOCKING, "blocking", c("max_r_hat"), c("max_r_hat").isNotNull()),
         _check("convergence_tight", F.lit(False), "warning", c("max_r_hat"),
                (c("max_r_hat") > fx.RHAT_WARN) & (c("max_r_hat") <= fx.RHAT_BLOCKING)),
-        _check("few_divergences", div <= fx.DIVERGENCE_SHARE, "blocking", div),
+        _check("few_divergences", div <= fx.DIVERGENCE_SHARE, "blocking", div, div.isNotNull()),
         _check("some_divergences", F.lit(False), "warning", c("n_divergences"),
                (c("n_divergences") > 0) & (div <= fx.DIVERGENCE_SHARE)),
-        _check("enough_effective_samples", c("min_ess_bulk") >= fx.ESS_MIN, "warning", c("min_ess_bulk")),
+        _check("enough_effective_samples", c("min_ess_bulk") >= fx.ESS_MIN, "warning", c("min_ess_bulk"), c("min_ess_bulk").isNotNull()),
         _check("enough_tail_samples", c("min_ess_tail") >= fx.ESS_MIN, "warning", c("min_ess_tail"), c("min_ess_tail").isNotNull()),
         _check("energy_ok", c("min_e_bfmi") >= fx.EBFMI_MIN, "warning", c("min_e_bfmi"), c("min_e_bfmi").isNotNull()),
         _check("decomposition_adds_up", c("decomposition_ok"), "blocking"),

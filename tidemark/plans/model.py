@@ -71,19 +71,18 @@ def run_model(master: DataFrame, keys: list[str], kpi: str, channels: list[str],
     sigma = weeks.join(maxima, keys).groupBy(*keys).agg(F.stddev_pop(residual / F.col("y_max")).alias("sigma"))
     cover = dr.coverage(dr.predictive_normal(expected.join(sigma, keys), keys, "sigma", "y_max"), keys)
     sums = contributions.groupBy(*keys, "series", "draw").agg(F.sum("value").alias("total"))
-    chains = params.select(*keys, "series", (F.col("draw") % 4).alias("chain"), F.floor(F.col("draw") / 4).alias("draw"), F.col("beta").alias("value"))
-    rhat = dr.split_rhat(chains, [*keys, "series"]).groupBy(*keys).agg(F.coalesce(F.max("r_hat"), F.lit(1.0)).alias("max_r_hat"))
     parts = (dr.attribute_additive(expected, contributions, keys).groupBy(*keys, WEEK).agg((F.sum("value") / replicates).alias("parts")))
     whole = dr.decomposition_check(weeks.join(parts, [*keys, WEEK]), keys, "fitted", "parts")
     held = cross_validate(chosen, holdout_folds(chosen.groupBy(*keys).agg(F.max("n_weeks").cast("int").alias("n")), "n", burn_in), keys,
                           least_squares_fold(keys, columns, n_free), fold_schema(chosen, keys))
     d = dr.goodness(weeks, keys).join(dr.lag1_autocorrelation(weeks.withColumn("_r", residual), keys, "_r"), keys)
-    for part in (cover, rhat, whole.select(*keys, F.col("ok").alias("decomposition_ok"))):
+    for part in (cover, whole.select(*keys, F.col("ok").alias("decomposition_ok"))):
         d = d.join(part, keys)
     d = d.join(held.select(*keys, F.col("mape").alias("holdout_mape")), keys, "left")
-    # bootstrap draws are independent: as many effective samples as draws, and no sampler to diverge
+    # bootstrap draws are independent: as many effective samples as draws. There are no chains and no sampler, so
+    # what only those can show is not measured and stays NULL
     diagnostics = stored(d.withColumnRenamed("lag1_autocorrelation", "autocorrelation").withColumns({
-        "n_divergences": F.lit(0), "n_samples": F.lit(replicates), "min_ess_bulk": F.lit(float(max(replicates, fx.ESS_MIN))),
+        "max_r_hat": F.lit(None).cast("double"), "n_divergences": F.lit(None).cast("int"), "n_samples": F.lit(replicates), "min_ess_bulk": F.lit(float(replicates)),
         "min_ess_tail": F.lit(None).cast("double"), "min_e_bfmi": F.lit(None).cast("double"),
         "placebo_share": F.lit(None).cast("double")}), "diagnostics")
     found = stored(idn.identifiability(dr.interval(sums, [*keys, "series"], "total"),

@@ -349,7 +349,7 @@ def _(spark, sf):
 
 
 @query("st_run_state", """WITH c AS (SELECT o_custkey AS run, CASE o_orderstatus WHEN 'F' THEN 7 WHEN 'O' THEN 4 ELSE 0 END AS rank, CAST(o_orderkey%2 AS INTEGER) AS attempt, o_orderdate AS "at" FROM orders)
- SELECT run, attempt, CASE rank WHEN 7 THEN 'completed' WHEN 4 THEN 'sampling' ELSE 'queued' END AS state, "at" FROM c QUALIFY row_number() OVER (PARTITION BY run ORDER BY attempt DESC, rank DESC, "at" DESC)=1""")
+ SELECT run, attempt, CASE rank WHEN 7 THEN 'completed' WHEN 4 THEN 'sampling' ELSE 'queued' END AS state, "at" FROM c QUALIFY row_number() OVER (PARTITION BY run ORDER BY attempt DESC, rank DESC, CASE WHEN rank=7 THEN -epoch_us("at") ELSE epoch_us("at") END DESC)=1""")
 def _(spark, sf):
     state = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "sampling").otherwise("queued")
     changes = order_stream(spark, sf).select(F.col("o_custkey").alias("run"), (F.col("o_orderkey") % 2).cast("int").alias("attempt"), state.alias("state"), F.col("o_orderdate").alias("at"))

@@ -84,7 +84,12 @@ def alloc_sql(budget, low="0.0::DOUBLE", scenario="'now'"):
  r3 AS (SELECT *, (feasible-lows)/{N} AS delta, CAST(least(CASE WHEN feasible>lows THEN floor((high-low)/((feasible-lows)/{N})+1e-9) ELSE 0 END,{N}) AS INTEGER) AS n_fit FROM r2),
  ks AS (SELECT *, unnest(generate_series(1,n_fit)) AS k FROM r3), gn AS (SELECT *, round(({effect('low+k*delta')}-{effect('low+k*delta-delta')})*y_max,9) AS gain FROM ks),
  pk AS (SELECT panel, scenario, series, count(*) AS taken FROM (SELECT * FROM gn QUALIFY row_number() OVER (PARTITION BY panel, scenario ORDER BY gain DESC, series, k)<={N}) GROUP BY 1,2,3),
- al AS (SELECT r3.panel, r3.scenario, r3.series, low+coalesce(taken,0)*delta AS spend, feasible, coalesce(taken,0)>=n_fit AS at_cap, r3.current FROM r3 LEFT JOIN pk ON r3.panel=pk.panel AND r3.scenario=pk.scenario AND r3.series=pk.series)"""
+ sp AS (SELECT r3.*, low+coalesce(taken,0)*delta AS spend0 FROM r3 LEFT JOIN pk ON r3.panel=pk.panel AND r3.scenario=pk.scenario AND r3.series=pk.series),
+ rm AS (SELECT *, greatest(high-spend0,0) AS room, greatest(feasible-sum(spend0) OVER (PARTITION BY panel, scenario),0) AS rest FROM sp),
+ gr AS (SELECT *, round(({effect('spend0+least(room,rest)')}-{effect('spend0')})*y_max,9) AS fill FROM rm),
+ bf AS (SELECT *, coalesce(sum(room) OVER (PARTITION BY panel, scenario ORDER BY fill DESC, series ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS ahead FROM gr),
+ a2 AS (SELECT *, spend0+least(greatest(rest-ahead,0),room) AS spend FROM bf),
+ al AS (SELECT panel, scenario, series, spend, feasible, spend>=high*(1-1e-9) AS at_cap, current FROM a2)"""
 
 
 def ranges(spark, sf, steps=N):
@@ -93,7 +98,7 @@ def ranges(spark, sf, steps=N):
 
 
 def allocation(spark, sf):
-    return pl.allocate(ranges(spark, sf), KEYS, N)
+    return pl.allocate(ranges(spark, sf), KEYS)
 
 
 ALLOC_SQL = DRAWS_SQL + alloc_sql("sum(current)")
@@ -104,9 +109,17 @@ def _(spark, sf):
     return rounded(allocation(spark, sf), 0, "spend", "feasible")
 
 
+@query("pl_allocate_sum", f"""WITH {DRAWS_SQL}, md AS (SELECT panel, series, max(x_max) AS x_max, max(current) AS current FROM params GROUP BY 1,2),
+ f AS (SELECT unnest([0.5,1.0,1.5,2.0]::DOUBLE[]) AS factor) SELECT panel, CAST(factor AS VARCHAR) AS scenario, round(least(sum(current)*factor, sum(x_max)*1.2::DOUBLE),0) AS spent FROM md, f GROUP BY panel, factor""")
+def _(spark, sf):
+    budgets = pl.scaled_budgets(current(spark, sf), KEYS, (0.5, 1.0, 1.5, 2.0))
+    split = pl.allocate(pl.allocation_ranges(pl.median_params(params(spark, sf), KEYS), budgets, KEYS, None, N), KEYS)
+    return split.groupBy("panel", "scenario").agg(F.round(F.sum("spend"), 0).alias("spent"))
+
+
 @query("pl_allocate_exact", f"""WITH {ALLOC_SQL} SELECT al.panel, al.scenario, round(sum({effect('al.spend','md.beta','md.half_sat','md.slope','md.x_max')}*md.y_max),2) AS best FROM al JOIN md ON al.panel=md.panel AND al.series=md.series GROUP BY 1,2""")
 def _(spark, sf):
-    out = pl.allocate_exact(ranges(spark, sf), KEYS, N)
+    out = pl.allocate_exact(ranges(spark, sf), KEYS)
     med = pl.median_params(params(spark, sf), KEYS)
     value = F.round(F.sum(pl.own_effect(F.col("spend")) * F.col("y_max")), 2)
     return out.join(med, PS).groupBy("panel", "scenario").agg(value.alias("best"))

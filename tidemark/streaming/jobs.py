@@ -64,34 +64,35 @@ def clean_log(log: DataFrame) -> DataFrame:
 
 
 def _watch(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep the newest heartbeat (microseconds) of a run; speak when its timer passes first."""
+    """Keep the newest heartbeat (microseconds) of a started run; speak once when its timer passes first."""
+    last, over = state.get if state.exists else (0, False)
     if state.hasTimedOut:
-        last = state.get[0]
-        state.remove()
-        yield pd.DataFrame({"run": [str(key[0])], "last_heartbeat": [pd.Timestamp(last, unit="us")], "code": ["TIMEOUT"]})
+        if not over:
+            state.update((last, True))
+            yield pd.DataFrame({"run": [str(key[0])], "last_heartbeat": [pd.Timestamp(last, unit="us")], "code": ["TIMEOUT"]})
         return
-    last = state.get[0] if state.exists else 0
-    ended = False
     for frame in frames:
-        last = max(last, frame["heartbeat_at"].max().value // 1000)
-        ended = ended or bool(frame["state"].isin(fx.FINAL_STATES).any())
-    if ended:
-        if state.exists:
-            state.remove()
+        started = frame[frame["state"] != fx.LIVE_STATES[0]]
+        if len(started):
+            last = max(last, started["heartbeat_at"].max().value // 1000)
+            over = over or bool(started["state"].isin(fx.FINAL_STATES).any())
+    if not last:
         return
-    state.update((last,))
-    due = last // 1000 + fx.HEARTBEAT_MINUTES * 60_000
-    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+    state.update((last, over))
+    if not over:
+        due = last // 1000 + fx.HEARTBEAT_MINUTES * 60_000
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
 
 def stale_heartbeats(beats: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """A TIMEOUT row per run that shows no heartbeat for ten minutes.
+    """One TIMEOUT row per run that has started and shows no heartbeat for ten minutes.
 
-    ``beats``: (run, state, heartbeat_at). State is one number per run; a run that reaches a
-    final state is forgotten.
+    ``beats``: (run, state, heartbeat_at), ``run`` naming one attempt. Queued runs have no heartbeat to miss. State is
+    a number and a flag per run; the flag stays after a final state or a timeout, so that a late heartbeat arms
+    no second one.
     """
     return (event_time(beats, "heartbeat_at").withWatermark("heartbeat_at", delay).groupBy("run").applyInPandasWithState(
-        _watch, "run string, last_heartbeat timestamp, code string", "last long", "append",
+        _watch, "run string, last_heartbeat timestamp, code string", "last long, over boolean", "append",
         GroupStateTimeout.EventTimeTimeout))
 
 
@@ -99,7 +100,8 @@ def latest_states(changes: DataFrame) -> DataFrame:
     """Furthest legal state per run in a batch of changes ``(run, attempt, state, at)``.
 
     States only move forward within an attempt and a new attempt starts over, so the furthest
-    (attempt, rank) is the state whatever order the changes arrive in.
+    (attempt, rank) is the state whatever order the changes arrive in. The first final state of an attempt is its
+    last: a later one changes nothing.
     """
     rank = F.lit(None).cast("int")
     for i, s in enumerate(fx.LIVE_STATES):
@@ -107,7 +109,9 @@ def latest_states(changes: DataFrame) -> DataFrame:
     for s in fx.FINAL_STATES:
         rank = F.when(F.col("state") == s, len(fx.LIVE_STATES)).otherwise(rank)
     r = changes.withColumn("rank", rank).where(F.col("rank").isNotNull())
-    best = F.max_by(F.struct("attempt", "rank", "state", "at"), F.struct("attempt", "rank", "at"))
+    moment = F.unix_micros(F.col("at").cast("timestamp"))
+    newest = F.when(F.col("rank") == len(fx.LIVE_STATES), -moment).otherwise(moment)
+    best = F.max_by(F.struct("attempt", "rank", "state", "at"), F.struct("attempt", "rank", newest, "state"))
     return r.groupBy("run").agg(best.alias("_b")).select("run", "_b.*")
 
 
