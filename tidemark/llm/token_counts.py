@@ -101,10 +101,11 @@ def op3_token_counts(spark, sf_dir):
     ledger = Ledger(spark, scratch(spark, "ledger"))
     counts = stored(count_tokens(docs), "counts")
     ledger.commit("load", signed(counts, 1))
-    low = labels.where("quality = 0 and toxic = 0").select("doc_id").distinct()
-    trimmed = docs.join(low, "doc_id", "left_semi").withColumn("text", without_repeated_lines("text"))
-    old = counts.join(low, F.col("id") == F.col("doc_id"), "left_semi")
-    ledger.commit("revise", revised(old, count_tokens(trimmed)))
+    # texts without a repeated line stay as they are, so only the others are counted again, and no text goes through a join
+    repeats = docs.withColumn("_trimmed", without_repeated_lines("text")).where("_trimmed <> text")
+    before, after = (stored(count_tokens(d), "revised") for d in (repeats, repeats.withColumn("text", F.col("_trimmed"))))
+    low = labels.where("quality = 0 and toxic = 0").select(F.col("doc_id").alias("id")).distinct()
+    ledger.commit("revise", revised(before.join(low, "id", "left_semi"), after.join(low, "id", "left_semi")))
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     ledger.commit("delete", signed(counts.join(toxic, F.col("id") == F.col("doc_id"), "left_semi"), -1))
     ledger.commit("load", signed(counts, 1))
