@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -11,6 +12,7 @@ TEXTS = ["", None, "😀é password=abc def secret: 'abcdef' secret=token:abcdef
          "password=token=abcdefgh PASSWORD : \"x.y-z==\" Api-key=123456 api_key='k'", "foo@bar@baz.com a@b. x@y.z.. q@-.a.b@c.d 1.2.3.4.5 0001.255.256.3 300.1.1.1 000255.1.1.1",
          "4111 1111 1111 1111 4111-1111-1111-1111  4111111111111111 4 1 1  12 3-4 0000000000000", "+1 (988) 555-2485 +12345 +1 234 567 89 0. +49.(0)30-1234567 +1\t2",
          "9" * 30_000, "a.a." * 20_000 + "@" + "b.c." * 20_000, "1 " * 20_000, "😀 4111111111111111 😀 a@b.co", "1.1.1.1" * 300]
+TEXTS += ["".join(random.Random(i).choices("a.@-_1+ ", k=60)) for i in range(150)] + ["a@b.com_c@d.com a@b.c-.d@e.f.%g@h.i"]
 ACCESS, HEX = "AKIA" + "Z" * 17, "0123456789abcdef" * 2
 
 
@@ -65,7 +67,6 @@ def brute_links(parts, scope):
 
 
 def test_links_match_brute_force(spark):
-    import random
     rng, parts = random.Random(3), []
     for row in range(40):
         at = 0
@@ -105,6 +106,14 @@ def test_reliabilities_follow_the_majority():
     assert post["email", (1, 1, 1, 0, 1)] > 0.9 > 0.1 > post["email", (-1, 0, 0, -1, 0)]
 
 
+def test_long_runs_are_tried_once(spark):
+    """From every character of a run anew these would take hours."""
+    texts = ["x" * 1_000_000 + "@ a@b.co", "7" * 1_000_000 + ".1.2 1.2.3.4"]
+    found = {r["i"]: [(s["kind"], s["start"]) for s in r["spans"] if s["kind"] in ("email", "ip")]
+             for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    assert found == {0: [("email", 1_000_002)], 1: [("ip", 1_000_005)]}
+
+
 def test_no_python_on_the_main_path(spark, docs):
     for df in (secrets.find_secrets(docs), pii.find_pii(docs), secrets.redact(docs)):
         assert "Python" not in (plan := df._jdf.queryExecution().toString()) and "Pandas" not in plan

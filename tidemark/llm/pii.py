@@ -13,10 +13,11 @@ from tidemark.llm.common import stored, table
 from tidemark.llm.registry import query
 
 # fixed values: the certain forms. Written without repeated groups, which the engine's matcher follows by recursion:
-# a lookahead for the dot and a lazy run that ends where the repeated group would have.
-EMAIL = (r"[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9-]++\.[A-Za-z0-9-])[A-Za-z0-9-][A-Za-z0-9.-]*?"
+# a lookahead for the dot and a lazy run that ends where the repeated group would have. A match starts where its run of
+# characters does (or right after the match before), so that a long run is tried once and not from each of its characters.
+EMAIL = (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9-]++\.[A-Za-z0-9-])[A-Za-z0-9-][A-Za-z0-9.-]*?"
          r"(?=\.(?:[^A-Za-z0-9-]|\z)|[^A-Za-z0-9.-]|\z)")
-IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9][0-9\x20-]*?(?=[\x20-]{2}|[\x20-]?(?:[^0-9\x20-]|\z))"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
