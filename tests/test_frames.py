@@ -1,7 +1,6 @@
 """The range-cut helpers must equal the plain window, hot keys and ties included."""
 
 import numpy as np
-import pytest
 from pyspark.sql import Window, functions as F
 
 from tidemark import frames as fr
@@ -14,22 +13,16 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k string, at long, v double")
 
 
-@pytest.fixture(params=[50, 10 ** 9], ids=["cut", "whole"])
-def rows_per_range(request, monkeypatch):
-    """Both ways: large panels cut into ranges, and everything in one range."""
-    monkeypatch.setattr(fr, "ROWS_PER_RANGE", request.param)
-
-
-def test_exact_quantiles_equal_numpy(spark, rows_per_range):
+def test_exact_quantiles_equal_numpy(spark):
     df = skewed(spark)
     pdf = df.toPandas()
-    got = {(r["k"], r["p"]): r["q"] for r in fr.exact_quantiles(df, ["k"], "v", [0.0, 0.1, 0.5, 0.99, 1.0], 16).collect()}
+    got = {(r["k"], r["p"]): r["q"] for r in fr.exact_quantiles(df, ["k"], "v", [0.0, 0.1, 0.5, 0.99, 1.0]).collect()}
     for (k, p), q in got.items():
         assert np.isclose(q, np.percentile(pdf[pdf.k == k].v, p * 100)), (k, p)
     assert len(got) == 41 * 5
 
 
-def test_previous_and_running_total_equal_windows(spark, rows_per_range):
+def test_previous_and_running_total_equal_windows(spark):
     df = skewed(spark)
     w = Window.partitionBy("k").orderBy("at")
     want = df.withColumn("p", F.lag("v").over(w)).withColumn("t", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -39,6 +32,22 @@ def test_previous_and_running_total_equal_windows(spark, rows_per_range):
     assert a == b
 
 
+def test_ties_and_null_keys_are_cut_into_ranges(spark):
+    """One value of the order for all rows, and rows without a key: still several ranges, and no row is lost."""
+    df = spark.range(4000).select(F.when(F.col("id") % 4 > 0, F.lit("hot")).alias("k"), F.lit(1).alias("at"), "id")
+    many = df.sparkSession.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert fr._ordered_rows(df, ["k"], "at").where("k = 'hot'").select("_range").distinct().count() > 1
+        got = fr.running_total(df, ["k"], "at", F.lit(1), "n").collect()
+        assert sorted(r["n"] for r in got if r["k"]) == list(range(1, 3001))
+        assert sorted(r["n"] for r in got if not r["k"]) == list(range(1, 1001))
+        before = fr.previous_in_order(df, ["k"], "at", "id", "p").collect()
+        assert sum(r["p"] is None for r in before) == 2 and len({r["p"] for r in before}) == 3999
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", many)
+
+
 def test_wide_and_long(weekly):
     m = weekly(kpi=("kpi", [1, 2, None]), tv=("spend", [3, 4, 5]))
     wide = fr.to_wide(m, ["panel"], ["kpi", "tv"])

@@ -8,7 +8,6 @@ always equi-joins and nothing degenerates to a global window.
 from __future__ import annotations
 
 from functools import reduce
-from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.window import WindowSpec
@@ -103,91 +102,70 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 # --- order over unbounded rows -----------------------------------------------------------
-# A window over all rows of a source would put one source in one task. These helpers cut the
-# order into value ranges first, work inside each range, and carry a one-row summary per
-# range across the cuts.
+# A window over all rows of a source would put one source in one task. These helpers range-sort
+# the rows over all tasks first, work inside each range, and carry a one-row summary per range
+# across the cuts.
 
-RANGES = 1024            # ranges of a large panel, a square number
-ROWS_PER_RANGE = 1_000_000  # panels up to this size stay in one range
 
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` cut into ranges of ``order``, with ``_range`` numbering them; written once and read back.
 
-def range_cuts(df: DataFrame, keys: list[str], order: str, ranges: int = RANGES) -> DataFrame:
-    """Approximate quantiles that cut a large panel's values into ``ranges`` (a square number).
-
-    Panels of ordinary size have no row here; where none is large, adaptive execution drops the
-    quantile pass altogether.
+    Spark samples the cuts; there are as many ranges as the session has shuffle partitions for, so their number
+    follows the data and a hot key is cut like any other. ``_range`` is stored since it is the number of the task
+    that wrote the row: another plan, or a lost task run again, could number otherwise.
     """
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ROWS_PER_RANGE)
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = (df.join(large.select(*keys), keys, "left_semi").groupBy(*keys)
-            .agg(F.percentile_approx(order, steps, 10 * ranges).alias("_cuts")))
-    side = isqrt(ranges)
-    coarse = F.array(*[F.get("_cuts", F.lit(side * i - 1)) for i in range(1, side)])
-    return cuts.withColumn("_coarse", coarse)
-
+    return stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
 
-def range_index(value: str, ranges: int = RANGES) -> Column:
-    """Number of cuts below the value, found in two short steps instead of one long scan."""
-    side = isqrt(ranges)
-    v = F.col(value)
-    a = F.size(F.filter("_coarse", lambda c: c < v))
-    b = F.size(F.filter(F.slice("_cuts", a * side + 1, F.lit(side - 1)), lambda c: c < v))
-    return F.when(F.col("_cuts").isNull(), 0).otherwise(a * side + b)
 
+def _ordered_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Ranges of (keys, order, row number): rows that share one value of ``order`` are told apart and cut too.
 
-def with_range(df: DataFrame, keys: list[str], order: str, ranges: int = RANGES) -> DataFrame:
-    """Add ``_range``: the index of the value range of ``order`` that the row lies in."""
-    cuts = range_cuts(df, keys, order, ranges)
-    return df.join(cuts, keys, "left").withColumn("_range", range_index(order, ranges)).drop("_cuts", "_coarse")
+    ``_key`` is the panel as one value that is never null, so panels with a null key are joined like others.
+    """
+    rows = in_ranges(df.withColumn("_tie", F.monotonically_increasing_id()), *keys, order, "_tie")
+    return rows.withColumn("_key", F.struct(F.lit(0).alias("_"), *keys))
 
 
 def previous_in_order(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
     """``lag(value)`` over ``order`` per panel, for panels of any size."""
-    ranged = with_range(df, keys, order)
-    inside = F.lag(value).over(Window.partitionBy(*keys, "_range").orderBy(order))
-    first = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order)) == 1
-    last = (ranged.groupBy(*keys, "_range").agg(F.max_by(value, order).alias("_last"))
-            .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range")))
-            .drop("_last"))
-    return (ranged.withColumn("_in", inside).withColumn("_first", first)
-            .join(last, [*keys, "_range"], "left")
+    rows = _ordered_rows(df, keys, order)
+    inside = Window.partitionBy("_key", "_range").orderBy(order, "_tie")
+    last = (rows.groupBy("_key", "_range").agg(F.max_by(value, F.struct(order, "_tie")).alias("_last"))
+            .withColumn("_carry", F.lag("_last").over(Window.partitionBy("_key").orderBy("_range"))).drop("_last"))
+    return (rows.withColumns({"_in": F.lag(value).over(inside), "_first": F.row_number().over(inside) == 1})
+            .join(last, ["_key", "_range"], "left")
             .withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_in")))
-            .drop("_in", "_first", "_carry", "_range"))
+            .drop("_in", "_first", "_carry", "_range", "_key", "_tie"))
 
 
 def running_totals(df: DataFrame, keys: list[str], order: str, amounts: dict[str, Column]) -> DataFrame:
     """Cumulative sums in ``order`` per panel, one per entry of ``amounts``, for panels of any size."""
     names = list(amounts)
-    ranged = with_range(df.withColumns({f"_a_{n}": c for n, c in amounts.items()}), keys, order)
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = ranged.groupBy(*keys, "_range").agg(*[F.sum(f"_a_{n}").alias(f"_t_{n}") for n in names])
-    before = before.select(*keys, "_range", *[
+    rows = _ordered_rows(df.withColumns({f"_a_{n}": c for n, c in amounts.items()}), keys, order)
+    earlier = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("_key", "_range").agg(*[F.sum(f"_a_{n}").alias(f"_t_{n}") for n in names])
+    before = before.select("_key", "_range", *[
         F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in names])
-    upto = (Window.partitionBy(*keys, "_range").orderBy(order)
+    upto = (Window.partitionBy("_key", "_range").orderBy(order, "_tie")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = ranged.withColumns({f"_i_{n}": F.sum(f"_a_{n}").over(upto) for n in names})
-    return (inside.join(before, [*keys, "_range"])
+    inside = rows.withColumns({f"_i_{n}": F.sum(f"_a_{n}").over(upto) for n in names})
+    return (inside.join(before, ["_key", "_range"])
             .withColumns({n: F.col(f"_i_{n}") + F.col(f"_b_{n}") for n in names})
-            .drop("_range", *[f"_{x}_{n}" for n in names for x in "aib"]))
+            .drop("_range", "_key", "_tie", *[f"_{x}_{n}" for n in names for x in "aib"]))
 
 
 def running_total(df: DataFrame, keys: list[str], order: str, amount: Column, out: str) -> DataFrame:
     return running_totals(df, keys, order, {out: amount})
 
 
-def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[float],
-                    ranges: int = RANGES) -> DataFrame:
+def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[float]) -> DataFrame:
     """Exact linear quantiles of groups of any size: ``(*group, p, q)``.
 
-    Equal values are counted before anything else, the counts are split into value ranges
-    by an approximate quantile pass, and only the ranges that hold a wanted rank are sorted.
-    No task ever holds a whole group.
+    Equal values are counted before anything else, the counts are range-sorted, and only the ranges
+    that hold a wanted rank are numbered. No task ever holds a whole group.
     """
     rows = df.where(F.col(value).isNotNull()).select(*group, value)
-    cuts = range_cuts(rows, group, value, ranges)
-    counts = (rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-              .join(cuts, group, "left").withColumn("_range", range_index(value, ranges))
-              .drop("_cuts", "_coarse"))
+    counts = in_ranges(rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c")), *group, value)
     in_group = Window.partitionBy(*group)
     spans = (counts.groupBy(*group, "_range").agg(F.sum("_c").alias("_rows"))
              .withColumn("_from", F.coalesce(F.sum("_rows").over(
