@@ -75,8 +75,14 @@ def test_event_log_clips(spark):
 def test_delimiter_and_fallback(spark, tmp_path):
     (tmp_path / "a.csv").write_text("week;spend\n2024-01-01;1,5\n")
     df = rd.read_delimited(spark, str(tmp_path / "a.csv"))
-    assert df.columns == ["week", "spend"] and df.first()["spend"] == "1,5"
-    assert rd.read_delimited(spark, str(tmp_path / "a.csv"), ",").columns == ["week", "spend"]
+    assert df.columns == ["week", "spend", "_corrupt"] and df.first()["spend"] == "1,5"
+    assert rd.read_delimited(spark, str(tmp_path / "a.csv"), ",").columns == ["week", "spend", "_corrupt"]
+
+
+def test_ragged_rows_are_kept_whole(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n3,4,5,6\n7\n")
+    got = {r["a"]: (r["b"], r["_corrupt"]) for r in rd.read_delimited(spark, str(tmp_path / "a.csv")).collect()}
+    assert got == {"1": ("2", None), "3": ("4", "3,4,5,6"), "7": (None, "7")}
 
 
 def test_intake(spark, tmp_path):

@@ -229,10 +229,16 @@ def _(spark, sf):
     return r.join(n, F.col("r_regionkey") == F.col("n_regionkey")).select("r_regionkey", "r_name", "n_nationkey", "n_name")
 
 
-@query("src_csv_read", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment FROM customer")
+RAGGED_SQL = "c_custkey::VARCHAR||';'||c_name||';'||c_mktsegment||CASE WHEN c_custkey%7=0 THEN ';more' ELSE '' END"
+
+
+@query("src_csv_read", f"""SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment, CASE WHEN c_custkey%7=0 THEN {RAGGED_SQL} END AS _corrupt FROM customer""")
 def _(spark, sf):
-    path = scratch(spark, "csv")
-    table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment").write.csv(path, header=True, sep=";")
+    """A file with a field too many in every seventh row."""
+    path, more = scratch(spark, "csv"), F.when(F.col("c_custkey") % 7 == 0, ";more").otherwise("")
+    line = F.concat(F.concat_ws(";", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment"), more)
+    lines = table(spark, sf, "customer").select(line.alias("c_custkey;c_name;c_mktsegment"))
+    lines.write.csv(path, header=True, sep="\t", quote="")
     return rd.read_delimited(spark, path, ",")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark import fixed_values as fx
 
@@ -28,19 +29,22 @@ def detect_separator(spark: SparkSession, path: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """All columns as text, never inferred; bad rows are kept in ``_corrupt``.
+    """All columns as text, never inferred. A row with more or fewer fields than the header is kept whole in ``_corrupt``.
 
     A result of one column is tried again with ``;`` and that is kept when it gives more.
     """
     sep = separator or detect_separator(spark, path)
 
     def read(s: str) -> DataFrame:
-        return spark.read.csv(path, header=True, sep=s, encoding=encoding, mode="PERMISSIVE", inferSchema=False)
+        names = spark.read.csv(path, header=True, sep=s, encoding=encoding, inferSchema=False).columns
+        fields = [StructField(n, StringType()) for n in [*names, "_corrupt"]]
+        return spark.read.schema(StructType(fields)).csv(path, header=True, sep=s, encoding=encoding, mode="PERMISSIVE",
+                                                         columnNameOfCorruptRecord="_corrupt")
 
     df = read(sep)
-    if len(df.columns) == 1 and sep != ";":
+    if len(df.columns) == 2 and sep != ";":
         again = read(";")
-        if len(again.columns) > 1:
+        if len(again.columns) > 2:
             return again
     return df
 
