@@ -119,6 +119,31 @@ def test_rhat_and_ess(spark):
     assert n["good"] > 400 and n["walk"] < 100
 
 
+def test_ess_sees_long_correlation(spark):
+    """AR(1) with 0.99: the true number is draws * 0.01 / 1.99, about 40."""
+    rng, rows = np.random.default_rng(4), []
+    for ch in range(4):
+        v = rng.normal() * 7
+        for i in range(2000):
+            v = 0.99 * v + rng.normal()
+            rows.append(("ar", ch, i, float(v)))
+    rows += [("flat", ch, i, 1.0) for ch in range(4) for i in range(10)]
+    n = {x["run"]: x for x in dr.effective_samples(spark.createDataFrame(rows, "run string, chain int, draw int, value double"), R).collect()}
+    assert 15 < n["ar"]["ess"] < 100 and 15 < n["ar"]["ess_bulk"] < 100 and n["ar"]["ess_tail"] < 400
+    assert n["flat"]["ess"] is None and n["flat"]["ess_tail"] is None
+
+
+def test_predictive_noise_has_its_distribution(spark):
+    e = spark.range(40_000).selectExpr("'a' run", "date'2024-01-01' week_start", "cast(id as int) draw", "20.0 mu", "1.0 y_max", "1.0 s", "5.0 disp")
+    t = [r[0] - 20 for r in dr.predictive_t(e, R, "s", "y_max", 4.0).select("predicted").collect()]
+    assert abs(np.mean(t)) < 0.05 and abs(np.percentile(t, 97.5) - 2.776) < 0.15
+    for disp, var in ((None, 20.0), ("disp", 20 + 400 / 5)):
+        df = dr.predictive_count(e, R, "mu", disp)
+        got = [r[0] for r in df.select("predicted").collect()]
+        assert abs(np.mean(got) - 20) < 0.3 and abs(np.var(got) / var - 1) < 0.08
+        assert got == [r[0] for r in df.select("predicted").collect()]
+
+
 def test_splits_and_holdout(spark):
     p = spark.createDataFrame([("a", 100), ("b", 20)], "run string, n int")
     f = ev.expanding_splits(p, "n", 52, 13).collect()

@@ -7,6 +7,8 @@ bounded by the number of draws (times weeks where said), so exact percentiles ar
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -98,30 +100,48 @@ def weekly_bands(expected: DataFrame, keys: list[str], value: str = "value") ->
     return expected.groupBy(*keys, WEEK).agg(*interval_columns(F.col(value)))
 
 
+def hash_uniform(k: int, ids: list[str], seed: int = 1) -> Column:
+    """A number strictly between 0 and 1 from the row's ids: the first 12 digits of an MD5, which any engine can repeat."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed * 10 + k)), *[F.col(c).cast("string") for c in ids]))
+    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
 def predictive_normal(expected: DataFrame, keys: list[str], sigma: str, y_max: str, seed: int = 1) -> DataFrame:
     """Expected plus Gaussian noise. The noise is a hash of the row, so a rerun repeats it."""
     ids = [*keys, WEEK, "draw"]
+    z = F.sqrt(-2 * F.log(hash_uniform(1, ids, seed))) * F.cos(2 * F.pi() * hash_uniform(2, ids, seed))
+    return expected.withColumn("predicted", F.col("mu") * F.col(y_max) + z * F.col(sigma) * F.col(y_max))
 
-    def uniform(k: int) -> Column:
-        return (F.pmod(F.xxhash64(F.lit(seed * 10 + k), *ids), F.lit(2_147_483_647)) + 0.5) / 2_147_483_647
 
-    z = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * F.pi() * uniform(2))
-    return expected.withColumn("predicted", F.col("mu") * F.col(y_max) + z * F.col(sigma) * F.col(y_max))
+def predictive_t(expected: DataFrame, keys: list[str], sigma: str, y_max: str, nu: float, seed: int = 1) -> DataFrame:
+    """Expected plus Student-t noise of ``nu`` degrees of freedom, in its polar form, from hashes of the row."""
+    ids = [*keys, WEEK, "draw"]
+    t = F.sqrt(nu * (F.pow(hash_uniform(1, ids, seed), F.lit(-2.0 / nu)) - 1)) * F.cos(2 * F.pi() * hash_uniform(2, ids, seed))
+    return expected.withColumn("predicted", F.col("mu") * F.col(y_max) + t * F.col(sigma) * F.col(y_max))
+
 
+def predictive_count(expected: DataFrame, keys: list[str], mean: str, dispersion: str | None = None, seed: int = 1) -> DataFrame:
+    """Counts around ``mean``: negative binomial, or Poisson without a ``dispersion``.
 
-def predictive_count(expected: DataFrame, keys: list[str], mean: str, dispersion: str, seed: int = 1) -> DataFrame:
-    """Negative-binomial counts around ``mean``, with a generator seeded per row batch by hash."""
+    A batch's rows are drawn in one call, in the order of their hashes, by a generator seeded with all of these.
+    """
     ids = [*keys, WEEK, "draw"]
 
     @F.pandas_udf("double")
     def draw(h: pd.Series, m: pd.Series, a: pd.Series) -> pd.Series:
-        out = np.empty(len(h))
-        for i, (s, mu, al) in enumerate(zip(h.to_numpy(), m.to_numpy(), a.to_numpy())):
-            rng = np.random.default_rng(abs(int(s)))
-            out[i] = rng.poisson(rng.gamma(al, mu / al))
+        order = np.argsort(h.to_numpy(), kind="stable")
+        rng = np.random.default_rng(int(np.bitwise_xor.reduce(h.to_numpy().view(np.uint64), initial=0)))
+        mu, al = m.to_numpy(float)[order], a.to_numpy(float)[order]
+        known = np.isfinite(mu) & (mu >= 0)
+        rate = np.where(known, mu, 0.0)
+        spread = np.isfinite(al) & (al > 0)
+        rate = np.where(spread, rng.gamma(np.where(spread, al, 1.0), rate / np.where(spread, al, 1.0)), rate)
+        out = np.empty(len(mu))
+        out[order] = np.where(known, rng.poisson(rate), np.nan)
         return pd.Series(out)
 
-    return expected.withColumn("predicted", draw(F.xxhash64(F.lit(seed), *ids), F.col(mean), F.col(dispersion)))
+    a = F.lit(None).cast("double") if dispersion is None else F.col(dispersion)
+    return expected.withColumn("predicted", draw(F.xxhash64(F.lit(seed), *ids), F.col(mean).cast("double"), a))
 
 
 COVERAGE = {94: (0.03, 0.97), 80: (0.10, 0.90), 50: (0.25, 0.75)}
@@ -183,20 +203,46 @@ def split_rhat(samples: DataFrame, keys: list[str], value: str = "value") -> Dat
     return m.select(*keys, F.when(F.col("within") > 0, F.sqrt(plus / F.col("within"))).alias("r_hat"))
 
 
-def effective_samples(samples: DataFrame, keys: list[str], value: str = "value", max_lag: int = 20) -> DataFrame:
-    """Effective sample size from chain autocorrelations, cut at the first negative pair sum."""
-    w = Window.partitionBy(*keys, "chain")
-    c = samples.withColumn("_c", F.col(value) - F.avg(value).over(w))
-    lagged = c.withColumns({f"_l{k}": F.col("_c") * F.lag("_c", k).over(w.orderBy("draw")) for k in range(1, max_lag + 1)})
-    s = lagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_c") * F.col("_c")).alias("s0"),
-                                  *[F.sum(f"_l{k}").alias(f"s{k}") for k in range(1, max_lag + 1)])
-    rho = [F.lit(1.0)] + [F.coalesce(F.col(f"s{k}") / F.nullif(F.col("s0"), F.lit(0.0)), F.lit(0.0)) for k in range(1, max_lag + 1)]
-    pairs = F.array(*[rho[k] + rho[k + 1] for k in range(0, max_lag, 2)])
-    kept = F.aggregate(pairs, F.struct(F.lit(0.0).alias("t"), F.lit(True).alias("on")),
-                       lambda a, x: F.struct((a["t"] + F.when(a["on"] & (x > 0), x).otherwise(0.0)).alias("t"),
-                                             (a["on"] & (x > 0)).alias("on")))["t"]
-    tau = F.greatest(2 * kept - 1, F.lit(1e-9))
-    return s.select(*keys, F.least(F.col("n") / tau, F.col("n").cast("double") * F.log10(F.col("n").cast("double"))).alias("ess"))
+def _ess(x: np.ndarray) -> float:
+    """Effective samples of chains by draws: autocovariances of every lag, summed in pairs while these are positive and fall."""
+    m, n = x.shape
+    if n < 4 or not np.isfinite(x).all() or np.ptp(x) == 0:
+        return float("nan")
+    c = x - x.mean(axis=1, keepdims=True)
+    f = np.fft.rfft(c, 2 * n, axis=1)
+    acov = (np.fft.irfft(f * np.conj(f), 2 * n, axis=1)[:, :n] / n).mean(axis=0)
+    within = acov[0] * n / (n - 1)
+    plus = acov[0] + (x.mean(axis=1).var(ddof=1) if m > 1 else 0.0)
+    rho = 1 - (within - acov * n / (n - 1)) / plus
+    rho[0] = 1.0
+    pairs = rho[:n // 2 * 2].reshape(-1, 2).sum(axis=1)
+    stop = int(np.argmax(pairs <= 0)) if (pairs <= 0).any() else len(pairs)
+    tau = 2 * np.minimum.accumulate(pairs[:max(stop, 1)]).sum() - 1
+    return float(min(m * n / max(tau, 1e-9), m * n * np.log10(m * n)))
+
+
+def effective_samples(samples: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, ess, ess_bulk, ess_tail) of chains of equal length; longer ones are cut at their ends to the shortest.
+
+    ``ess`` is of the values; ``ess_bulk`` of their normal ranks in half chains, ``ess_tail`` the smaller of those of the 5 and
+    95% marks. A task gets one quantity's draws. Fewer than four draws a chain, or values that never vary, give NULL.
+    """
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        chains = [g.sort_values("draw")[value].to_numpy(float) for _, g in pdf.groupby("chain")]
+        n = min(map(len, chains))
+        x = np.stack([c[:n] for c in chains])
+        half = n // 2
+        halves = np.concatenate([x[:, :half], x[:, n - half:]])
+        ranks = pd.Series(halves.ravel()).rank().to_numpy().reshape(halves.shape)
+        normal = np.vectorize(NormalDist().inv_cdf, otypes=[float])((ranks - 0.375) / (halves.size + 0.25))
+        tails = [_ess((halves <= np.quantile(x, p)).astype(float)) for p in (0.05, 0.95)]
+        row = {k: pdf[k].iloc[0] for k in keys} | {"ess": _ess(x), "ess_bulk": _ess(normal), "ess_tail": min(tails)}
+        return pd.DataFrame([row])
+
+    ids = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema if f.name in keys)
+    rows = samples.select(*keys, "chain", "draw", value).where(F.col(value).isNotNull())
+    out = rows.groupBy(*keys).applyInPandas(run, f"{ids}, ess double, ess_bulk double, ess_tail double")
+    return out.select(*keys, *[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in ("ess", "ess_bulk", "ess_tail")])
 
 
 def sampler_health(stats: DataFrame, keys: list[str], max_depth: int = 10) -> DataFrame:

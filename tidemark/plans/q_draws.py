@@ -127,10 +127,26 @@ def _(spark, sf):
     return rounded(bands.join(rest, PW), 2, "p3", "p50", "p97", "baseline_p50")
 
 
-@query("dr_predictive")
+def unit_sql(k):
+    return f"((('0x'||substr(md5(concat_ws('|', '{10 + k}', panel, CAST(week_start AS DATE)::VARCHAR, draw::VARCHAR)),1,12))::BIGINT+0.5)/281474976710656.0)"
+
+
+def band_sql(noise):
+    e = f"(mu*y_max+0.08*({noise})*cos(2*pi()*{unit_sql(2)})*y_max)"
+    return (f"WITH {DRAWS_SQL} SELECT panel, week_start, round({q(e, '0.03')},2) AS p3, round({q(e, '0.5')},2) AS p50, "
+            f"round({q(e, '0.97')},2) AS p97 FROM expected GROUP BY 1,2")
+
+
+@query("dr_predictive", band_sql(f"sqrt(-2*ln({unit_sql(1)}))"))
 def _(spark, sf):
     e = dr.predictive_normal(expected(spark, sf).withColumn("sigma", F.lit(0.08)), KEYS, "sigma", "y_max")
-    return dr.interval(e, PW, "predicted")
+    return rounded(dr.interval(e, PW, "predicted"), 2, "p3", "p50", "p97")
+
+
+@query("dr_predictive_t", band_sql(f"sqrt(4*(pow({unit_sql(1)},-0.5)-1))"))
+def _(spark, sf):
+    e = dr.predictive_t(expected(spark, sf).withColumn("sigma", F.lit(0.08)), KEYS, "sigma", "y_max", 4.0)
+    return rounded(dr.interval(e, PW, "predicted"), 2, "p3", "p50", "p97")
 
 
 @query("dr_predictive_count")
@@ -139,6 +155,12 @@ def _(spark, sf):
     return dr.interval(dr.predictive_count(e, KEYS, "mean", "disp"), PW, "predicted")
 
 
+@query("dr_predictive_poisson")
+def _(spark, sf):
+    e = expected(spark, sf).withColumn("mean", F.exp("mu") * 10)
+    return dr.interval(dr.predictive_count(e, KEYS, "mean"), PW, "predicted")
+
+
 # noisy draws by fixed arithmetic, so both engines see the same band
 NOISE_SQL = "mu*y_max+0.2*sin(draw*1.3+t)*y_max"
 
@@ -214,7 +236,7 @@ def _(spark, sf):
 
 @query("dr_ess")
 def _(spark, sf):
-    return dr.effective_samples(chains(spark, sf), PS, max_lag=8)
+    return dr.effective_samples(chains(spark, sf), PS)
 
 
 @query("dr_sampler_health", f"""WITH {DRAWS_SQL}, c AS (SELECT panel, series, draw%4 AS chain, draw//4 AS draw, 100*half_sat AS energy, beta>0.024*idx AS diverging, 5+idx AS depth FROM params),
