@@ -16,11 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import fixed_values as fx
-from tidemark.frames import WEEK, over
-from tidemark.functions.response import alpha_from_half_life, hill_effect, logistic_effect, weights
+from tidemark.frames import WEEK, over, stored
+from tidemark.functions.response import hill_effect
 from tidemark.operators.features import fourier
 from tidemark.operators.measure import unpack_gram
-from tidemark.operators.response import convolve, lags
+from tidemark.operators.response import lags
 
 
 def scalers(master: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,28 +62,39 @@ def with_candidates(df: DataFrame, candidates: list[Candidate]) -> DataFrame:
     return df.select(*df.columns, F.inline(F.array(*rows)))
 
 
+def kernel(c: Candidate, l_max: int = fx.L_MAX) -> list[float]:
+    """Normalised weight of each lag of a candidate; without a half-life only the week itself counts."""
+    alpha = 0.5 ** (1 / c.half_life) if c.half_life > 0 else 0.0
+    raw = [alpha ** (i if c.theta is None else (i - c.theta) ** 2) for i in range(l_max)]
+    return [w / (sum(raw) or 1.0) for w in raw]
+
+
 def shaped(spend: DataFrame, keys: list[str], candidates: list[Candidate], l_max: int = fx.L_MAX) -> DataFrame:
-    """(keys, week, series, cand, effect): scaled spend through each candidate's shape.
+    """(keys, week, series, cand, effect, direct): scaled spend through each candidate's shape.
 
-    Lags are taken once, before the rows are repeated per candidate.
+    ``direct`` is the share of the stock that is the week's own spend. Lags are taken once, before the rows are
+    repeated per candidate; the weights are literals, so nothing is computed per row but one sum of products.
     """
     x = spend.withColumn("_lags", F.array(*lags(keys, l_max, "scaled")))
-    wide = with_candidates(x.select(*keys, WEEK, "series", "_lags"), candidates)
-    lagged = [F.col("_lags")[i] for i in range(l_max)]
-    alpha = alpha_from_half_life(F.col("half_life"))
-    geo = convolve(lagged, weights(alpha, l_max))
-    peak = convolve(lagged, weights(alpha, l_max, F.col("theta")))
-    stock = F.when(F.col("theta").isNull(), geo).otherwise(peak)
-    return wide.select(*keys, WEEK, "series", "cand", hill_effect(stock, F.col("half_sat"), F.col("slope")).alias("effect"))
+    rows = [F.struct(F.lit(i).alias("cand"), F.array(*[F.lit(float(w)) for w in kernel(c, l_max)]).alias("_w"),
+                     F.lit(float(c.half_sat)).alias("half_sat"), F.lit(float(c.slope)).alias("slope"))
+            for i, c in enumerate(candidates)]
+    wide = x.select(*keys, WEEK, "series", "_lags", F.inline(F.array(*rows)))
+    stock = F.aggregate(F.zip_with("_lags", "_w", lambda v, w: v * w), F.lit(0.0), lambda total, v: total + v)
+    wide = wide.withColumn("_stock", stock)
+    own = F.when(F.col("_stock") > 0, F.col("_lags")[0] * F.col("_w")[0] / F.col("_stock")).otherwise(0.0)
+    return wide.select(*keys, WEEK, "series", "cand", hill_effect(F.col("_stock"), F.col("half_sat"), F.col("slope")).alias("effect"),
+                       own.alias("direct"))
 
 
 def design_table(master: DataFrame, keys: list[str], kpi: str, channels: list[str], controls: list[str],
-                 candidates: list[Candidate], modes: int = 1) -> tuple[DataFrame, list[str], int]:
-    """One row per (panel, candidate, week): y, base terms, one column per channel effect.
+                 candidates: list[Candidate], modes: int = 1, sizes: DataFrame | None = None) -> tuple[DataFrame, list[str], int]:
+    """One row per (panel, candidate, week): y, base terms, one column per channel effect (x_) and its direct share (d_).
 
-    Returns the table, the design columns, and how many leading ones are unconstrained.
+    ``sizes`` scales by other weeks than the master's own. Returns the table, the design columns, and how many
+    leading ones are unconstrained.
     """
-    sized = scale(master, scalers(master, keys), keys)
+    sized = scale(master, scalers(master, keys) if sizes is None else sizes, keys)
     w = Window.partitionBy(*keys)
     base = sized.groupBy(*keys, WEEK).agg(
         F.max(F.when(F.col("series") == kpi, F.col("scaled"))).alias("y"),
@@ -95,16 +106,35 @@ def design_table(master: DataFrame, keys: list[str], kpi: str, channels: list[st
     base = base.withColumns({"one": F.lit(1.0), "t": over(F.col("idx"), F.col("n_weeks") - 1), **waves})
     spend = sized.where((F.col("role") == "spend") & F.col("series").isin(*channels))
     effects = shaped(spend, keys, candidates).groupBy(*keys, WEEK, "cand").agg(
-        *[F.max(F.when(F.col("series") == c, F.col("effect"))).alias(f"x_{c}") for c in channels])
+        *[F.max(F.when(F.col("series") == c, F.col(v))).alias(f"{n}_{c}") for n, v in (("x", "effect"), ("d", "direct")) for c in channels])
     free = ["one", "t", *waves, *[f"z_{c}" for c in controls]]
     return base.join(effects, [*keys, WEEK]), free + [f"x_{c}" for c in channels], len(free)
 
 
-def gram_sums(df: DataFrame, group: list[str], design: list[str], weight: Column, suffix: str = "") -> list[Column]:
-    xx = [F.sum(weight * F.col(a) * F.col(b)) for a, b in combinations_with_replacement(design, 2)]
-    xy = [F.sum(weight * F.col(a) * F.col("y")) for a in design]
-    return [F.array(*xx).alias(f"xx{suffix}"), F.array(*xy).alias(f"xy{suffix}"),
-            F.sum(weight * F.col("y") * F.col("y")).alias(f"yy{suffix}"), F.sum(weight).alias(f"n{suffix}")]
+def products(columns: list[str]) -> Column:
+    """Products of every pair of the columns and ``y``, row by row of the upper triangle, then 1, in one array.
+
+    Lambdas over one array stay the same short code for any number of columns.
+    """
+    x = F.array(*[F.col(c).cast("double") for c in columns], F.col("y").cast("double"))
+    size = F.lit(len(columns) + 1)
+    upper = F.flatten(F.transform(x, lambda a, i: F.transform(F.slice(x, i + 1, size), lambda b: a * b)))
+    return F.concat(upper, F.array(F.lit(1.0)))
+
+
+def unfold(sums: DataFrame, group: list[str], p: int) -> DataFrame:
+    """(group, xx, xy, yy, n) from summed products in long form (group, pos, s)."""
+    at = {ij: k for k, ij in enumerate(combinations_with_replacement(range(p + 1), 2))}
+    pick = lambda cells: F.transform(F.array(*[F.lit(at[ij]) for ij in cells]), lambda k: F.col("_s")[k])
+    folded = sums.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda e: e["s"]).alias("_s"))
+    return folded.select(*group, pick(combinations_with_replacement(range(p), 2)).alias("xx"), pick([(i, p) for i in range(p)]).alias("xy"),
+                         F.col("_s")[at[p, p]].alias("yy"), F.col("_s")[len(at)].alias("n"))
+
+
+def gram(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
+    """(group, xx, xy, yy, n): sums over the rows, one row per product so that partial sums shrink them in the scan's tasks."""
+    long = df.select(*group, F.posexplode(products(columns)).alias("pos", "v"))
+    return unfold(long.groupBy(*group, "pos").agg(F.sum("v").alias("s")), group, len(columns))
 
 
 def nonneg_solve(xx: np.ndarray, xy: np.ndarray, n_free: int, ridge: float, sweeps: int = 400) -> np.ndarray:
@@ -158,8 +188,7 @@ def grid_fit(design: DataFrame, keys: list[str], columns: list[str], n_free: int
     """Best candidate per panel by error on the last weeks: (keys, cand, coef, holdout_mse)."""
     rows = (design.where(F.col("y").isNotNull() & (F.col("idx") >= burn_in))
             .withColumn("late", F.col("idx") >= F.col("n_weeks") - holdout_weeks))
-    # one set of sums per part; side by side they would be too many columns to compile
-    parts = rows.groupBy(*keys, "cand", "late").agg(*gram_sums(rows, keys, columns, F.lit(1.0)))
+    parts = gram(rows, [*keys, "cand", "late"], columns)
     grams = parts.groupBy(*keys, "cand").agg(
         *[F.max(F.when(F.col("late") == late, F.col(c))).alias(c + suffix)
           for late, suffix in ((False, ""), (True, "_h")) for c in ("xx", "xy", "yy", "n")])
@@ -172,8 +201,7 @@ def refit(design: DataFrame, best: DataFrame, keys: list[str], columns: list[str
           burn_in: int = 0, ridge: float = 1e-6, pulls: DataFrame | None = None) -> DataFrame:
     """Fit the chosen candidate on all weeks. ``pulls``: (keys, pull_xx, pull_xy) from experiments."""
     chosen = design.join(best.select(*keys, "cand"), [*keys, "cand"], "left_semi")
-    w = F.when(F.col("y").isNotNull() & (F.col("idx") >= burn_in), 1.0).otherwise(0.0)
-    grams = chosen.groupBy(*keys, "cand").agg(*gram_sums(chosen, keys, columns, w))
+    grams = gram(chosen.where(F.col("y").isNotNull() & (F.col("idx") >= burn_in)), [*keys, "cand"], columns)
     if pulls is not None:
         grams = grams.join(pulls, keys, "left")
     return _solve_rows(grams, [*keys, "cand"], columns, n_free, ridge, holdout=False).drop("holdout_mse")
@@ -190,11 +218,8 @@ def bootstrap_draws(design: DataFrame, best: DataFrame, keys: list[str], columns
     chosen = (design.join(best.select(*keys, "cand"), [*keys, "cand"], "left_semi")
               .where(F.col("y").isNotNull() & (F.col("idx") >= burn_in))
               .withColumn("block", F.floor(F.col("idx") / block)))
-    p = len(columns)
-    names = [f"m{i}" for i in range(p * (p + 1) // 2 + p)]
-    pairs = [F.col(a) * F.col(b) for a, b in combinations_with_replacement(columns, 2)]
-    pairs += [F.col(a) * F.col("y") for a in columns]
-    blocks = chosen.groupBy(*keys, "cand", "block").agg(*[F.sum(c).alias(n) for n, c in zip(names, pairs)])
+    blocks = (chosen.select(*keys, "cand", "block", F.posexplode(products(columns)).alias("pos", "v"))
+              .groupBy(*keys, "cand", "block", "pos").agg(F.sum("v").alias("v")))
     u = (F.pmod(F.xxhash64(F.lit(seed), "draw", "block", *keys), F.lit(1_000_003)) + 0.5) / 1_000_003
     # a Poisson(1) weight by its inverse distribution; beyond 12 lies less than one step of the uniform number
     poisson = F.lit(0.0)
@@ -202,10 +227,8 @@ def bootstrap_draws(design: DataFrame, best: DataFrame, keys: list[str], columns
         poisson = poisson + (u > math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))).cast("double")
     drawn = (blocks.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
              .withColumn("w", poisson))
-    n_xx = p * (p + 1) // 2
-    sums = drawn.groupBy(*keys, "cand", "draw").agg(
-        F.array(*[F.sum(F.col("w") * F.col(n)) for n in names[:n_xx]]).alias("xx"),
-        F.array(*[F.sum(F.col("w") * F.col(n)) for n in names[n_xx:]]).alias("xy"))
+    group = [*keys, "cand", "draw"]
+    sums = unfold(drawn.groupBy(*group, "pos").agg(F.sum(F.col("w") * F.col("v")).alias("s")), group, len(columns))
     return _solve_rows(sums, [*keys, "cand", "draw"], columns, n_free, 1e-6, holdout=False).drop("holdout_mse")
 
 
@@ -246,3 +269,39 @@ def predict(design: DataFrame, fitted: DataFrame, keys: list[str], columns: list
             media = media + term
     return j.select(*keys, *on, WEEK, "idx", "y", "actual", F.exp(mu).alias("mu") if count_link else mu.alias("mu"),
                     media.alias("media"))
+
+
+def on_unseen_weeks(master: DataFrame, folds: DataFrame, keys: list[str], kpi: str, channels: list[str], controls: list[str],
+                    candidates: list[Candidate], burn_in: int = 0, holdout_weeks: int = 13) -> DataFrame:
+    """(keys, fold, week, actual, fitted) of each fold's test weeks.
+
+    Scaling, choice of shape and fit see the fold's training weeks alone. ``folds``: (keys, fold, train_end, test_end).
+    """
+    at = [*keys, "fold"]
+    weeks = master.select(*keys, WEEK).distinct().withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(WEEK)) - 1)
+    dealt = (master.join(weeks, [*keys, WEEK]).join(folds.select(*at, "train_end", "test_end"), keys)
+             .where(F.col("_i") < F.col("test_end")))
+    sizes = scalers(dealt.where(F.col("_i") < F.col("train_end")), at)
+    design, columns, n_free = design_table(dealt.select(*at, WEEK, "series", "role", "value"), at, kpi, channels, controls, candidates,
+                                           sizes=sizes)
+    rows = stored(design.join(folds.select(*at, "train_end"), at), "folds")
+    train = rows.where(F.col("idx") < F.col("train_end")).withColumn("n_weeks", F.col("train_end"))
+    best = stored(grid_fit(train, at, columns, n_free, burn_in, holdout_weeks), "fold-best")
+    fitted = refit(train, best, at, columns, n_free, burn_in)
+    tests = predict(rows.where((F.col("idx") >= F.col("train_end")) & F.col("y").isNotNull()), fitted, at, columns)
+    size = sizes.where(F.col("series") == kpi).select(*at, "size")
+    return tests.join(size, at).select(*at, WEEK, "actual", (F.col("mu") * F.col("size")).alias("fitted"))
+
+
+def placebo_shares(master: DataFrame, keys: list[str], kpi: str, channels: list[str], controls: list[str],
+                   candidates: list[Candidate], burn_in: int = 0, name: str = "placebo") -> DataFrame:
+    """(keys, series, share of the outcome) after a refit; ``master`` holds the random channel ``name`` as well."""
+    names = [*channels, name]
+    d, columns, n_free = design_table(master, keys, kpi, names, controls, candidates)
+    d = stored(d, "placebo")
+    best = stored(grid_fit(d, keys, columns, n_free, burn_in), "placebo-best")
+    sums = d.join(best.select(*keys, "cand"), [*keys, "cand"], "left_semi").groupBy(*keys).agg(
+        F.sum("y").alias("_y"), *[F.sum(f"x_{c}").alias(f"x_{c}") for c in names])
+    share = F.array(*[F.struct(F.lit(c).alias("series"), over(F.col("coef")[columns.index(f"x_{c}")] * F.col(f"x_{c}"), F.col("_y")).alias("share"))
+                      for c in names])
+    return sums.join(best.select(*keys, "coef"), keys).select(*keys, F.inline(share))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark import fixed_values as fx
 from tidemark.frames import WEEK, stored
 from tidemark.operators import draws as dr, fit, identify as idn, measure as me, planning as pl, verdict as vd
-from tidemark.operators.evaluate import fold_schema, holdout_folds, least_squares_fold, cross_validate
+from tidemark.operators.evaluate import add_placebo, holdout_folds, judge_placebo
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,7 @@ def run_model(master: DataFrame, keys: list[str], kpi: str, channels: list[str],
     refused = me.channel_guard(stats).select(*keys, "series", "refused")
     data = master.join(refused.select(*keys).distinct(), keys, "left_anti")
     design, columns, n_free = fit.design_table(data, keys, kpi, channels, controls, candidates)
+    design = stored(design, "design")
     best = stored(fit.grid_fit(design, keys, columns, n_free, burn_in), "best")
     chosen = stored(design.join(best.select(*keys, "cand"), [*keys, "cand"], "left_semi"), "chosen")
     draws = stored(fit.bootstrap_draws(chosen, best, keys, columns, n_free, replicates, burn_in=burn_in), "coefs")
@@ -56,13 +57,13 @@ def run_model(master: DataFrame, keys: list[str], kpi: str, channels: list[str],
 
     observed = chosen.where(F.col("idx") >= burn_in)
     expected = (fit.predict(observed, draws, keys, columns, ["draw"]).where(F.col("actual").isNotNull()).join(maxima, keys))
-    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("series"), F.col(f"x_{c}").alias("effect")) for c in channels]))
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("series"), F.col(f"x_{c}").alias("effect"), F.col(f"d_{c}").alias("direct_fraction")) for c in channels]))
     effects = observed.where(F.col("actual").isNotNull()).select(*keys, WEEK, cells)
     spend = data.where(F.col("role") == "spend").select(*keys, WEEK, "series", F.col("value").alias("spend"))
     contributions = stored(effects.join(spend, [*keys, WEEK, "series"])
                            .join(params.select(*keys, "series", "draw", "beta", "y_max"), [*keys, "series"])
                            .select(*keys, WEEK, "series", "draw", (F.col("effect") * F.col("beta")).alias("contrib"), "spend", "y_max",
-                                   (F.col("effect") * F.col("beta") * F.col("y_max")).alias("value"), F.lit(1.0).alias("direct_fraction")), "contributions")
+                                   (F.col("effect") * F.col("beta") * F.col("y_max")).alias("value"), "direct_fraction"), "contributions")
     totals = observed.groupBy(*keys).agg(F.sum("actual").alias("kpi_total"))
     results = dr.channel_results(contributions, totals, keys)
 
@@ -73,18 +74,19 @@ def run_model(master: DataFrame, keys: list[str], kpi: str, channels: list[str],
     sums = contributions.groupBy(*keys, "series", "draw").agg(F.sum("value").alias("total"))
     parts = (dr.attribute_additive(expected, contributions, keys).groupBy(*keys, WEEK).agg((F.sum("value") / replicates).alias("parts")))
     whole = dr.decomposition_check(weeks.join(parts, [*keys, WEEK]), keys, "fitted", "parts")
-    held = cross_validate(chosen, holdout_folds(chosen.groupBy(*keys).agg(F.max("n_weeks").cast("int").alias("n")), "n", burn_in), keys,
-                          least_squares_fold(keys, columns, n_free), fold_schema(chosen, keys))
+    weeks_of = data.groupBy(*keys).agg(F.count_distinct(WEEK).cast("int").alias("n"))
+    held = dr.goodness(fit.on_unseen_weeks(data, holdout_folds(weeks_of, "n", burn_in), keys, kpi, channels, controls, candidates, burn_in), keys)
+    fake = judge_placebo(fit.placebo_shares(add_placebo(data, keys), keys, kpi, channels, controls, candidates, burn_in), keys)
     d = dr.goodness(weeks, keys).join(dr.lag1_autocorrelation(weeks.withColumn("_r", residual), keys, "_r"), keys)
     for part in (cover, whole.select(*keys, F.col("ok").alias("decomposition_ok"))):
         d = d.join(part, keys)
     d = d.join(held.select(*keys, F.col("mape").alias("holdout_mape")), keys, "left")
+    d = d.join(fake.select(*keys, "placebo_share"), keys, "left")
     # bootstrap draws are independent: as many effective samples as draws. There are no chains and no sampler, so
     # what only those can show is not measured and stays NULL
     diagnostics = stored(d.withColumnRenamed("lag1_autocorrelation", "autocorrelation").withColumns({
         "max_r_hat": F.lit(None).cast("double"), "n_divergences": F.lit(None).cast("int"), "n_samples": F.lit(replicates), "min_ess_bulk": F.lit(float(replicates)),
-        "min_ess_tail": F.lit(None).cast("double"), "min_e_bfmi": F.lit(None).cast("double"),
-        "placebo_share": F.lit(None).cast("double")}), "diagnostics")
+        "min_ess_tail": F.lit(None).cast("double"), "min_e_bfmi": F.lit(None).cast("double")}), "diagnostics")
     found = stored(idn.identifiability(dr.interval(sums, [*keys, "series"], "total"),
                                        idn.contribution_correlations(sums, keys, channels), keys), "identified")
     checks = vd.validity_checks(diagnostics, keys, found, results.select(*keys, "series", F.col("share_p50").alias("share")))

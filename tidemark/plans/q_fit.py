@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.frames import WEEK
+from tidemark.frames import WEEK, stored
 from tidemark.operators import draws as dr, evaluate as ev, fit as ft, weekly as wk
 from tidemark.plans.inputs import CHANNELS, CONTROLS, KEYS, master
 from tidemark.plans.model import run_model
@@ -24,7 +24,8 @@ def design(spark, sf, channels=CHANNELS, extra=None):
 
 def fitted(spark, sf):
     d, cols, free = design(spark, sf)
-    best = ft.grid_fit(d, KEYS, cols, free, BURN_IN).persist()  # one row per panel, read again by the refit
+    d = stored(d, "design")  # read by the choice of a shape and by the fits after it
+    best = stored(ft.grid_fit(d, KEYS, cols, free, BURN_IN), "best")
     return d, cols, free, best
 
 
@@ -74,20 +75,20 @@ def panel_weeks(d):
     return d.groupBy("panel").agg(F.max("n_weeks").cast("int").alias("n_weeks"))
 
 
+def unseen(spark, sf, folds):
+    m = prepared(spark, sf)
+    weeks = m.groupBy("panel").agg(F.count_distinct(WEEK).cast("int").alias("n_weeks"))
+    return dr.goodness(ft.on_unseen_weeks(m, folds(weeks), KEYS, "revenue", CHANNELS, CONTROLS, GRID, BURN_IN), ["panel", "fold"])
+
+
 @query("ev_cv")
 def _(spark, sf):
-    d, cols, free = one_candidate(spark, sf)
-    folds = ev.expanding_splits(panel_weeks(d), "n_weeks", 156, 52)
-    model = ev.least_squares_fold(KEYS, cols, free)
-    return ev.cv_means(ev.cross_validate(d, folds, KEYS, model, ev.fold_schema(d, KEYS)), KEYS)
+    return ev.cv_means(unseen(spark, sf, lambda w: ev.expanding_splits(w, "n_weeks", 156, 52)), KEYS)
 
 
 @query("ev_holdout")
 def _(spark, sf):
-    d, cols, free = one_candidate(spark, sf)
-    folds = ev.holdout_folds(panel_weeks(d), "n_weeks", BURN_IN)
-    scores = ev.cross_validate(d, folds, KEYS, ev.least_squares_fold(KEYS, cols, free), ev.fold_schema(d, KEYS))
-    return scores.select("panel", F.col("mape").alias("holdout_mape"))
+    return unseen(spark, sf, lambda w: ev.holdout_folds(w, "n_weeks", BURN_IN)).select("panel", F.col("mape").alias("holdout_mape"))
 
 
 @query("ev_placebo_add")
@@ -98,15 +99,8 @@ def _(spark, sf):
 @query("ev_placebo_refit")
 def _(spark, sf):
     """Refit with the random channel and judge the share it is given."""
-    names = [*CHANNELS, "placebo"]
-    d, cols, free = design(spark, sf, names, lambda m: ev.add_placebo(m, KEYS))
-    best = ft.grid_fit(d, KEYS, cols, free, BURN_IN).persist()
-    effects = d.join(best.select("panel", "cand"), ["panel", "cand"], "left_semi").groupBy("panel").agg(
-        F.sum("y").alias("y"), *[F.sum(f"x_{c}").alias(f"x_{c}") for c in names])
-    at = {c: cols.index(f"x_{c}") for c in names}
-    share = F.array(*[F.struct(F.lit(c).alias("series"), (F.col("coef")[at[c]] * F.col(f"x_{c}") / F.col("y")).alias("share")) for c in names])
-    shares = effects.join(best.select("panel", "coef"), "panel").select("panel", F.inline(share))
-    return ev.judge_placebo(shares, KEYS)
+    m = ev.add_placebo(prepared(spark, sf), KEYS)
+    return ev.judge_placebo(ft.placebo_shares(m, KEYS, "revenue", CHANNELS, CONTROLS, GRID, BURN_IN), KEYS)
 
 
 @query("udf_fit_predict")
