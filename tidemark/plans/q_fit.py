@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.frames import WEEK, stored
 from tidemark.operators import draws as dr, evaluate as ev, fit as ft, weekly as wk
-from tidemark.plans.inputs import CHANNELS, CONTROLS, KEYS, master
+from tidemark.plans.inputs import CHANNELS, CONTROLS, KEYS, MASTER_SQL, master
 from tidemark.plans.model import run_model
 from tidemark.plans.registry import query
 
@@ -29,10 +29,19 @@ def fitted(spark, sf):
     return d, cols, free, best
 
 
-@query("fit_candidates")
+OVER_WEEKS = "OVER (PARTITION BY panel, series ORDER BY week_start)"
+SHAPED_SQL = f"""WITH {MASTER_SQL}, x AS (SELECT panel, week_start, series, value/nullif(max(value) OVER (PARTITION BY panel, series),0) AS v FROM master WHERE role='spend'),
+ l AS (SELECT panel, week_start, series, [{', '.join(f"coalesce(lag(v,{i}) {OVER_WEEKS},0)" if i else "coalesce(v,0)" for i in range(12))}] AS lags FROM x),
+ c(cand, h, k) AS (VALUES {', '.join(f"({i},{c.half_life}::DOUBLE,{c.half_sat}::DOUBLE)" for i, c in enumerate(GRID))}),
+ w AS (SELECT cand, k, list_transform(range(0,12), lambda i: pow(pow(0.5::DOUBLE,1/h),i)) AS raw FROM c),
+ s AS (SELECT panel, week_start, series, cand, k, list_dot_product(lags, raw)/list_sum(raw) AS stock, lags[1]*raw[1]/list_sum(raw) AS own FROM l CROSS JOIN w)
+ SELECT panel, week_start, series, cand, round((stock+1e-6)/(k+stock+1e-6)-1e-6/(k+1e-6),9) AS effect, round(CASE WHEN stock>0 THEN own/stock ELSE 0 END,9) AS direct FROM s"""
+
+
+@query("fit_candidates", SHAPED_SQL)
 def _(spark, sf):
     spend = ft.scale(master(spark, sf).data, ft.scalers(master(spark, sf).data, KEYS), KEYS).where(F.col("role") == "spend")
-    return ft.shaped(spend, KEYS, GRID)
+    return ft.shaped(spend, KEYS, GRID).withColumns({c: F.round(c, 9) for c in ("effect", "direct")})
 
 
 @query("fit_grid")

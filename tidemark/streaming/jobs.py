@@ -12,9 +12,10 @@ from tidemark import fixed_values as fx
 from tidemark.sources.event_log import clean_events
 
 
-def read_stream(spark: SparkSession, folder: str, schema, file_glob: str = "*.parquet", files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+def read_stream(spark: SparkSession, folder: str, schema, file_glob: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
+    """Files of a folder as they come. A batch takes all there are; ``files_per_trigger`` makes batches of so many."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(folder)
 
 
 def run_available(stream: DataFrame, out: str, mode: str, each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
