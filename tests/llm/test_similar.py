@@ -147,6 +147,24 @@ def test_decontamination_finds_whole_and_edited_items(spark, leaks, empty):
     assert decontaminate.drop_contaminated(docs, items.limit(0)).count() == docs.count()
 
 
+def test_decontamination_whatever_the_edits_break(spark):
+    rng = np.random.default_rng(4)
+    count = iter(range(10**6))
+    words = lambda k: [f"w{next(count)}x" for _ in range(k)]
+    items = [words(30) for _ in range(12)]
+    copies = [(i, {k for k in range(30) if k % 7 == i % 7}) for i in range(7)] + [(7 + i % 5, set(rng.choice(30, 4, replace=False).tolist())) for i in range(40)]
+    docs = [words(20) + w + words(20) for w in items for _ in range(3)]  # whole copies make intact and broken seeds alike
+    for i, gone in copies:
+        edited = [words(1)[0] if k in gone else x for k, x in enumerate(items[i])]
+        assert brute_align(items[i], edited) >= 36
+        docs.append(words(20) + edited + words(20))
+    want = {(k, k // 3) for k in range(36)} | {(36 + k, i) for k, (i, _) in enumerate(copies)}
+    frame = lambda rows, name: spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], f"{name} long, text string")
+    got = decontaminate.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).select("id", "item", "score").collect()
+    assert {(r[0], r[1]) for r in got} == want
+    assert all(abs(r[2] - brute_align(items[r[1]], docs[r[0]]) / 60) < 1e-12 for r in got)
+
+
 def test_decontamination_of_the_table(spark, docs, folder):
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.op9_decontaminate(spark, folder).collect()}
     plain = lambda t: f" {' '.join((t or '').lower().split())} "

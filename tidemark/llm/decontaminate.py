@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, local alignment scores them."""
+"""Benchmark decontamination: n-gram seeds find passages, local alignment scores them."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, table
@@ -12,7 +12,6 @@ from tidemark.llm.registry import query
 from tidemark.llm.words import grams, hashed, plain_words
 
 SEED_WORDS = 3
-WINDOW = 8              # of so many seeds in a row the rarest is always used
 THRESHOLD = 0.6         # of the score of the whole item, unedited
 BITS = 22               # the sieve has 2**22 bits, whatever the number of seeds
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -70,39 +69,25 @@ def _passing(text: str | None, n: int, sieve: np.ndarray) -> tuple[np.ndarray, n
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                 item_column: str = "item_id", item_text_column: str = "text", n: int = SEED_WORDS, window: int = WINDOW,
+                 item_column: str = "item_id", item_text_column: str = "text", n: int = SEED_WORDS,
                  threshold: float = THRESHOLD) -> DataFrame:
     """(id, text_hash, item, score, first_word, end_word): documents that hold a test item, whole, edited or in part.
 
-    Seeds are the items' runs of ``n`` words. A first pass counts in how many documents each occurs; of every
-    ``window`` seeds in a row an item keeps the rarest, and all that are no more common than the commonest of these,
-    so that any untouched stretch of window + n - 1 words holds one. A second pass cuts the passages around the kept
-    seeds, widened by the longest item; each passage is aligned with the items whose seeds it holds. The score is
-    the best local alignment over that of the item with itself; a document and item are reported once, with the
-    best, where it reaches ``threshold``.
+    Seeds are the items' runs of ``n`` words, all of them, common or not: which of them an edited copy still holds
+    is up to the edits, so any choice by count could leave just the broken ones. Any ``n`` words of an item in a row
+    that a document holds lead to an alignment. Passages around the seeds are widened by the longest item and
+    aligned with each item whose seeds they hold, unless too few of the item's words occur in them to reach the
+    threshold in any order. The score is the best local alignment over that of the item with itself; a document and
+    item are reported once, with the best, where it reaches ``threshold``.
 
     A null text has no words. Items with a null id or fewer than ``n`` words have no seed and are never reported.
     Rows that repeat an id are told apart by ``text_hash``. Without items or documents there are no rows. Extra
     columns are not read.
     """
     tests = stored(item_seeds(items, item_column, item_text_column, n), "items")
-    seeds = stored(tests.select("item", F.posexplode("seeds").alias("pos", "seed")), "seeds")
+    seeds = stored(tests.select("item", F.explode("seeds").alias("seed")).distinct(), "seeds")
     reach = tests.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0]
-    every = _sieve(seeds)
-
-    def count(batches):
-        for b in batches:
-            found = [np.unique(_passing(t, n, every)[2]) for t in b["text"]]
-            both, times = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pd.DataFrame({"seed": both.view(np.int64), "docs": times})
-
-    texts = docs.select(F.col(text_column).alias("text"))
-    docs_with = texts.mapInPandas(count, "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs"))
-    ahead = Window.partitionBy("item").orderBy("pos").rowsBetween(0, window - 1)
-    known = seeds.join(docs_with, "seed", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
-    enough = (known.withColumn("rarest", F.min("docs").over(ahead)).groupBy("item").agg(F.max("rarest").alias("most")))
-    rare = stored(known.join(enough, "item").where("docs <= most").select("item", "seed").distinct(), "rare-seeds")
-    sieve = _sieve(rare)
+    sieve = _sieve(seeds)
 
     def cut(batches):
         for b in batches:
@@ -121,12 +106,15 @@ def contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", t
                        F.col(text_column).alias("text"))
     passages = stored(rows.mapInPandas(cut, f"id {kind}, text_hash long, lo int, passage array<long>, seeds array<long>")
                       .withColumn("passage_id", F.monotonically_increasing_id()), "passages")
-    pairs = (passages.select("passage_id", F.explode("seeds").alias("seed")).join(rare, "seed")
+    pairs = (passages.select("passage_id", F.explode("seeds").alias("seed")).join(seeds, "seed")
              .select("passage_id", "item").distinct())
     work = pairs.join(tests.select("item", "words"), "item").join(passages.drop("seeds"), "passage_id")
 
     def score(batches):
         for b in batches:
+            # no more words can match than occur in the passage at all: what that rules out is not aligned
+            most = [MATCH * np.isin(w, p).sum() / (MATCH * len(w)) for w, p in zip(b["words"], b["passage"])]
+            b = b[np.array(most) >= threshold].copy()
             out = [align(np.asarray(w), np.asarray(p)) for w, p in zip(b["words"], b["passage"])]
             b["score"] = [s / (MATCH * len(w)) for (s, _, _), w in zip(out, b["words"])]
             b["first_word"] = [lo + f for (_, f, _), lo in zip(out, b["lo"])]
