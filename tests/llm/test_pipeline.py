@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from tidemark.llm import catalog
 from tidemark.llm.common import table
@@ -31,3 +33,27 @@ def test_run_is_the_stages_one_after_the_other(spark, folder):
 
 def test_every_operator_has_a_query():
     assert {n.split("_")[0] for n in catalog.queries()} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_near_copies_of_similarity_four_fifths_go(spark, folder):
+    rng = random.Random(3)
+    docs, sets = [], []
+    for g in range(30):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(15, 400))]
+        for c in range(6):
+            words = list(base)
+            for k in rng.sample(range(len(words)), rng.randrange(1 + len(words) // 30)) if c else []:
+                words[k] = f"n{rng.randrange(10**9)}"
+            docs.append((len(docs), " ".join(words)))
+            sets.append({tuple(words[i:i + 5]) for i in range(len(words) - 4)})
+    root = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                hi, lo = max(root[a], root[b]), min(root[a], root[b])
+                root = [lo if r == hi else r for r in root]
+    assert 30 < len(set(root)) < 120
+    docs += [(900, "one id and a text"), (900, "one id and another text"), (900, "one id and a text")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    kept = sorted(map(tuple, corpus_pipeline.near_dedup(spark, df, folder).collect()))
+    assert kept == sorted([docs[k] for k in set(root)] + docs[180:182])
