@@ -1,4 +1,3 @@
-import datetime as dt
 import sys
 from pathlib import Path
 
@@ -6,10 +5,9 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from testkit import monday  # noqa: E402
 from tidemark.session import local_session  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -19,10 +17,6 @@ def spark():
     s.stop()
 
 
-def monday(n, start=dt.date(2024, 1, 1)):
-    return start + dt.timedelta(days=7 * n)
-
-
 @pytest.fixture
 def weekly(spark):
     """Build a weekly long table: series(name=(role, values)) for two panels, the second shifted by 100."""

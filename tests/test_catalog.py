@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_queries import TABLES, rows
-from conftest import SF
+from testkit import SF
 
 SOME = ["as_geometric", "cast_locale_number", "profile_missing_runs", "profile_stats", "dr_channel_result", "pl_allocate",
         "lc_staleness", "st_week_agg", "st_dedupe", "st_stale_heartbeat", "st_run_state", "id_groups", "text_number_check"]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import draws as dr, evaluate as ev, identify as idn, verdict as vd
-from conftest import monday
+from testkit import monday
 
 R = ["run"]
 HEALTHY = dict(run="r", max_r_hat=1.0, n_divergences=0, n_samples=1000, min_ess_bulk=900.0, min_ess_tail=850.0, min_e_bfmi=0.9,

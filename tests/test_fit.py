@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate as ev, fit as ft, measure as me
-from conftest import monday
+from testkit import monday
 
 K = ["panel"]
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import planning as pl, reporting as rp
-from conftest import monday
+from testkit import monday
 
 K = ["panel"]
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import lifecycle as lc, profile as pf, roles as rl
 from tidemark.sources import event_log as el, readers as rd, sinks as sk
-from conftest import monday
+from testkit import monday
 
 S = ["series"]
 
