@@ -1,6 +1,6 @@
 """All queries of this subpackage. Importing an operator registers its query."""
 
-from tidemark.llm import (clustering, decontaminate, lm_score, packing, pii, secrets, simhash, token_counts, token_files, topk,  # noqa: F401
+from tidemark.llm import (chat_format, chat_repair, clustering, decontaminate, lm_score, packing, pii, secrets, simhash, token_counts, token_files, topk,  # noqa: F401
                           toxicity)
 from tidemark.llm.registry import QUERIES, TWINS
 
