@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import fixed_values as fx
-from tidemark.frames import WEEK, over
+from tidemark.frames import WEEK, exact_quantiles, over, running_total, stored
+from tidemark.functions.normal import gamma_draw, hash_uniform, normal_score, poisson_draw
 
 BAND = (0.03, 0.5, 0.97)
 
@@ -100,12 +101,6 @@ def weekly_bands(expected: DataFrame, keys: list[str], value: str = "value") ->
     return expected.groupBy(*keys, WEEK).agg(*interval_columns(F.col(value)))
 
 
-def hash_uniform(k: int, ids: list[str], seed: int = 1) -> Column:
-    """A number strictly between 0 and 1 from the row's ids: the first 12 digits of an MD5, which any engine can repeat."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed * 10 + k)), *[F.col(c).cast("string") for c in ids]))
-    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-
-
 def predictive_normal(expected: DataFrame, keys: list[str], sigma: str, y_max: str, seed: int = 1) -> DataFrame:
     """Expected plus Gaussian noise. The noise is a hash of the row, so a rerun repeats it."""
     ids = [*keys, WEEK, "draw"]
@@ -121,27 +116,19 @@ def predictive_t(expected: DataFrame, keys: list[str], sigma: str, y_max: str, n
 
 
 def predictive_count(expected: DataFrame, keys: list[str], mean: str, dispersion: str | None = None, seed: int = 1) -> DataFrame:
-    """Counts around ``mean``: negative binomial, or Poisson without a ``dispersion``.
+    """Counts around ``mean``: negative binomial, or Poisson without a ``dispersion`` (or where it is NULL, 0 or infinite).
 
-    A batch's rows are drawn in one call, in the order of their hashes, by a generator seeded with all of these.
+    Both are columns of hashes of the row, so the draws do not depend on partitions or batches.
     """
     ids = [*keys, WEEK, "draw"]
-
-    @F.pandas_udf("double")
-    def draw(h: pd.Series, m: pd.Series, a: pd.Series) -> pd.Series:
-        order = np.argsort(h.to_numpy(), kind="stable")
-        rng = np.random.default_rng(int(np.bitwise_xor.reduce(h.to_numpy().view(np.uint64), initial=0)))
-        mu, al = m.to_numpy(float)[order], a.to_numpy(float)[order]
-        known = np.isfinite(mu) & (mu >= 0)
-        rate = np.where(known, mu, 0.0)
-        spread = np.isfinite(al) & (al > 0)
-        rate = np.where(spread, rng.gamma(np.where(spread, al, 1.0), rate / np.where(spread, al, 1.0)), rate)
-        out = np.empty(len(mu))
-        out[order] = np.where(known, rng.poisson(rate), np.nan)
-        return pd.Series(out)
-
-    a = F.lit(None).cast("double") if dispersion is None else F.col(dispersion)
-    return expected.withColumn("predicted", draw(F.xxhash64(F.lit(seed), *ids), F.col(mean).cast("double"), a))
+    rate = F.col(mean).cast("double")
+    if dispersion is not None:
+        a = F.col(dispersion).cast("double")
+        spread = (a > 0) & (a < float("inf"))
+        shape = F.when(spread, a).otherwise(1.0)
+        rate = F.when(F.coalesce(spread, F.lit(False)), rate / shape * gamma_draw(shape, ids, seed)).otherwise(rate)
+    e = expected.withColumn("_rate", rate)
+    return e.withColumn("predicted", poisson_draw(F.col("_rate"), ids, seed)).drop("_rate")
 
 
 COVERAGE = {94: (0.03, 0.97), 80: (0.10, 0.90), 50: (0.25, 0.75)}
@@ -203,6 +190,34 @@ def split_rhat(samples: DataFrame, keys: list[str], value: str = "value") -> Dat
     return m.select(*keys, F.when(F.col("within") > 0, F.sqrt(plus / F.col("within"))).alias("r_hat"))
 
 
+def _normal_scores(samples: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """Normal scores of the values' ranks over all chains; equal values share their mean rank.
+
+    Values are counted first and the counts are summed in ranges, so a quantity may have any number of draws.
+    """
+    counts = samples.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running_total(counts, keys, value, F.col("_c"), "_to")
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_s"))
+    rank = F.col("_to") - F.col("_c") + (F.col("_c") + 1) / 2
+    scores = ranked.join(sizes, keys).select(*keys, value, normal_score((rank - 0.375) / (F.col("_s") + 0.25)).alias(out))
+    return samples.join(scores, [*keys, value])
+
+
+def rank_rhat(samples: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, r_hat_bulk, r_hat_tail, r_hat): split R-hat of normal scores, of the same for distances from the median, and
+    the larger of the two. Chains that agree in place but not in spread show in the second one alone.
+
+    Missing values are left out; a quantity that never varies has no R-hat.
+    """
+    rows = samples.select(*keys, "chain", "draw", F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    rows = stored(rows, "samples")
+    middle = exact_quantiles(rows, keys, "_v", [0.5]).select(*keys, F.col("q").alias("_mid"))
+    folded = rows.join(middle, keys).select(*keys, "chain", "draw", F.abs(F.col("_v") - F.col("_mid")).alias("_v"))
+    bulk, tail = (split_rhat(_normal_scores(r, keys, "_v", "_z"), keys, "_z").withColumnRenamed("r_hat", name)
+                  for r, name in ((rows, "r_hat_bulk"), (folded, "r_hat_tail")))
+    return bulk.join(tail, keys).withColumn("r_hat", F.greatest("r_hat_bulk", "r_hat_tail"))
+
+
 def _ess(x: np.ndarray) -> float:
     """Effective samples of chains by draws: autocovariances of every lag, summed in pairs while these are positive and fall."""
     m, n = x.shape

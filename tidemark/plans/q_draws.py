@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from tidemark import fixed_values as fx
 from tidemark.frames import WEEK
-from tidemark.functions import response as rf
+from tidemark.functions import normal as nm, response as rf
 from tidemark.operators import draws as dr, evaluate as ev, identify as idn, response as rs, verdict as vd
 from tidemark.plans.inputs import (CHANNELS, DRAWS, DRAWS_SQL, KEYS, MASTER_SQL, baselines, contributions, expected, master, params)
 from tidemark.plans.registry import query
@@ -149,16 +149,42 @@ def _(spark, sf):
     return rounded(dr.interval(e, PW, "predicted"), 2, "p3", "p50", "p97")
 
 
-@query("dr_predictive_count")
+def later_unit_sql(k):
+    return (f"((('0x'||substr(md5(concat_ws('|', CAST({k}+1000 AS VARCHAR), panel, CAST(week_start AS DATE)::VARCHAR, draw::VARCHAR)),1,12))::BIGINT+0.5)"
+            "/281474976710656.0)")
+
+
+def counts_sql(rate, before=""):
+    """Counts drawn by the same hashes: small rates by summing probabilities, others by transformed rejection."""
+    return f"""WITH {DRAWS_SQL}{before}, ra AS (SELECT panel, week_start, draw, {rate} AS rate, {later_unit_sql(91)} AS u0 FROM {'gam' if before else 'expected'}),
+ inv AS (SELECT *, list_reduce(list_transform(range(0,61), lambda k: {{'n':0.0::DOUBLE,'p':exp(-least(rate,10)),'cum':exp(-least(rate,10)),'k':k::DOUBLE}}),
+   lambda acc, e: {{'n':acc.n+CASE WHEN u0>acc.cum THEN 1.0 ELSE 0.0 END,'p':acc.p*least(rate,10)/e.k,'cum':acc.cum+acc.p*least(rate,10)/e.k,'k':e.k}}).n AS small,
+   greatest(rate,10) AS l, 0.931+2.53*sqrt(greatest(rate,10)) AS b FROM ra),
+ con AS (SELECT *, -0.059+0.02483*b AS a, 1.1239+1.1328/(b-3.4) AS ia, 0.9277-3.6224/(b-2) AS vr FROM inv),
+ tr AS (SELECT *, list_transform(range(0,12), lambda i: {{'u':{later_unit_sql('i*2+100')}-0.5,'v':{later_unit_sql('i*2+101')}}}) AS t FROM con),
+ tx AS (SELECT *, list_transform(t, lambda e: {{'us':0.5-abs(e.u),'v':e.v,'x':floor((2*a/(0.5-abs(e.u))+b)*e.u+l+0.43)}}) AS c FROM tr),
+ ok AS (SELECT *, list_filter(c, lambda e: (e.us>=0.07 AND e.v<=vr) OR (e.x>=0 AND (e.us>=0.013 OR e.v<=e.us)
+   AND ln(e.v)+ln(ia)-ln(a/(e.us*e.us)+b)<=-l+greatest(e.x,0)*ln(l)-lgamma(greatest(e.x,0)+1))) AS f FROM tx),
+ dr AS (SELECT panel, week_start, CASE WHEN rate<10 THEN small ELSE coalesce(f[1].x, round(l)) END AS v FROM ok)
+ SELECT panel, week_start, {', '.join(f"round({q('v', p)},4) AS p{n}" for n, p in (('3', '0.03'), ('50', '0.5'), ('97', '0.97')))} FROM dr GROUP BY 1,2"""
+
+
+GAMMA_SQL = f""", ga AS (SELECT *, list_transform(range(0,12), lambda i: {{'z':sqrt(-2*ln({later_unit_sql('i*3+1')}))*cos(2*pi()*{later_unit_sql('i*3+2')}),'u':{later_unit_sql('i*3+3')}}}) AS g,
+   5-1.0/3::DOUBLE AS d FROM expected),
+ gam AS (SELECT panel, week_start, draw, mu, coalesce(d*list_filter(list_transform(g, lambda e: {{'z':e.z,'u':e.u,'v':pow(1+e.z/sqrt(9*d),3)}}),
+   lambda e: e.v>0 AND ln(e.u)<0.5*e.z*e.z+d-d*e.v+d*ln(CASE WHEN e.v>0 THEN e.v ELSE 1 END))[1].v, 5) AS g FROM ga)"""
+
+
+@query("dr_predictive_count", counts_sql("exp(mu)*10/5*g", GAMMA_SQL))
 def _(spark, sf):
     e = expected(spark, sf).withColumns({"mean": F.exp("mu") * 10, "disp": F.lit(5.0)})
-    return dr.interval(dr.predictive_count(e, KEYS, "mean", "disp"), PW, "predicted")
+    return rounded(dr.interval(dr.predictive_count(e, KEYS, "mean", "disp"), PW, "predicted"), 4, "p3", "p50", "p97")
 
 
-@query("dr_predictive_poisson")
+@query("dr_predictive_poisson", counts_sql("exp(mu)*10"))
 def _(spark, sf):
     e = expected(spark, sf).withColumn("mean", F.exp("mu") * 10)
-    return dr.interval(dr.predictive_count(e, KEYS, "mean"), PW, "predicted")
+    return rounded(dr.interval(dr.predictive_count(e, KEYS, "mean"), PW, "predicted"), 4, "p3", "p50", "p97")
 
 
 # noisy draws by fixed arithmetic, so both engines see the same band
@@ -234,6 +260,35 @@ def _(spark, sf):
     return rounded(dr.split_rhat(chains(spark, sf), PS), 7, "r_hat")
 
 
+def polynomial_sql(x, terms):
+    out = repr(terms[0]) + "::DOUBLE"
+    for t in terms[1:]:
+        out = f"({out}*{x}+({t!r}))"
+    return out
+
+
+def score_sql(p):
+    """The inverse normal distribution function as SQL."""
+    tail = lambda x: f"{polynomial_sql(x, nm.TAIL_UP)}/{polynomial_sql(x, nm.TAIL_DOWN)}"
+    square = f"(({p}-0.5)*({p}-0.5))"
+    return (f"CASE WHEN {p}<{nm.TAIL} THEN {tail(f'sqrt(-2*ln({p}))')} WHEN {p}>1-{nm.TAIL} THEN -{tail(f'sqrt(-2*ln(1-{p}))')} "
+            f"ELSE ({p}-0.5)*{polynomial_sql(square, nm.CENTRAL_UP)}/{polynomial_sql(square, nm.CENTRAL_DOWN)} END")
+
+
+def rank_rhat_sql(source, name):
+    of = "(PARTITION BY panel, series)"
+    return f"""{name}r AS (SELECT *, (rank() OVER (PARTITION BY panel, series ORDER BY v)+(count(*) OVER (PARTITION BY panel, series, v)-1)/2.0-0.375)/(count(*) OVER {of}+0.25) AS p FROM {source}),
+ {name}h AS (SELECT panel, series, chain, draw*2>=10 AS hf, avg({score_sql('p')}) AS m, var_samp({score_sql('p')}) AS s, count(*) AS n FROM {name}r GROUP BY 1,2,3,4),
+ {name} AS (SELECT panel, series, sqrt(((avg(n)-1)/avg(n)*avg(s)+var_samp(m))/avg(s)) AS r FROM {name}h GROUP BY 1,2)"""
+
+
+@query("dr_rhat_rank", f"""WITH {DRAWS_SQL}, c AS (SELECT panel, series, draw%4 AS chain, draw//4 AS draw, beta AS v FROM params),
+ f AS (SELECT panel, series, chain, draw, abs(v-quantile_cont(v,0.5) OVER (PARTITION BY panel, series)) AS v FROM c), {rank_rhat_sql('c', 'bulk')}, {rank_rhat_sql('f', 'tail')}
+ SELECT bulk.panel, bulk.series, round(bulk.r,6) AS r_hat_bulk, round(tail.r,6) AS r_hat_tail, round(greatest(bulk.r,tail.r),6) AS r_hat FROM bulk JOIN tail ON bulk.panel=tail.panel AND bulk.series=tail.series""")
+def _(spark, sf):
+    return rounded(dr.rank_rhat(chains(spark, sf), PS), 6, "r_hat_bulk", "r_hat_tail", "r_hat")
+
+
 @query("dr_ess")
 def _(spark, sf):
     return dr.effective_samples(chains(spark, sf), PS)
