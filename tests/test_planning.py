@@ -68,6 +68,60 @@ def test_the_whole_budget_is_spent(spark, steps):
         assert len(r) == 5 and all(np.isclose(x["s"], x["f"]) and x["m"] <= 1200 + 1e-6 for x in r)
 
 
+def smooth_params(spark):
+    """Six panels of channels that only flatten: Hill of slope 1 and below, logistic, one without effect."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for p in range(6):
+        for c in range(4):
+            kind = "logistic" if (p + c) % 3 == 2 else "hill"
+            slope = 1.0 if (p + c) % 3 == 0 else 0.7
+            beta = 0.0 if (p, c) == (5, 0) else float(rng.uniform(0.05, 0.6))
+            rows.append((f"p{p}", f"c{c}", beta, float(rng.uniform(0.1, 1.0)), slope, float(rng.uniform(1, 6)), kind, float(rng.uniform(200, 2000)), 50000.0))
+    return spark.createDataFrame(rows, "panel string, series string, beta double, half_sat double, slope double, lam double, saturation string, x_max double, y_max double")
+
+
+def test_smooth_allocation_beats_every_grid(spark):
+    p = smooth_params(spark).persist()
+    budgets = [(f"p{i}", s, b) for i in range(6) for s, b in (("tiny", 3.0), ("some", 700.0), ("much", 3000.0), ("all", 1e6))]
+    b = spark.createDataFrame(budgets, "panel string, scenario string, budget double")
+    limits = spark.createDataFrame([(f"p{i}", "c1", 50.0, 300.0) for i in range(3)], "panel string, series string, min_spend double, max_spend double")
+    for lim in (None, limits):
+        fine, coarse = (pl.allocation_ranges(p, b, K, lim, n) for n in (400, 40))
+
+        def worth(split):
+            v = F.sum(pl.own_effect(F.col("spend"), True) * F.col("y_max"))
+            j = split.join(p, ["panel", "series"]).groupBy("panel", "scenario").agg(v.alias("v"), F.sum("spend").alias("s"), F.max("feasible").alias("f"))
+            return {(r["panel"], r["scenario"]): r for r in j.collect()}
+
+        smooth, greedy, exact = worth(pl.allocate_smooth(fine, K)), worth(pl.allocate(fine, K)), worth(pl.allocate_exact(coarse, K))
+        assert smooth.keys() == greedy.keys() == exact.keys() and len(smooth) == 24
+        for k, r in smooth.items():
+            assert np.isclose(r["s"], r["f"], rtol=1e-6), k
+            assert r["v"] >= max(greedy[k]["v"], exact[k]["v"]) * (1 - 1e-9), k
+        bounds = pl.allocate_smooth(fine, K).join(fine.select("panel", "scenario", "series", "low", "high"), ["panel", "scenario", "series"])
+        assert bounds.where("spend < low - 1e-9 OR spend > high * (1 + 1e-9)").count() == 0
+
+
+def test_steep_curves_are_left_to_the_exact_allocator(spark):
+    p = make_params(spark, (2.5, 1.0, 1.0))
+    b = spark.createDataFrame([("p1", "s", 500.0)], "panel string, scenario string, budget double")
+    assert pl.allocate_smooth(pl.allocation_ranges(pl.median_params(p, K), b, K), K).count() == 0
+
+
+def test_refusals(spark):
+    p = make_params(spark).where("draw = 0")
+    b = spark.createDataFrame([("p1", "none", 0.0), ("p1", "below", -5.0), ("p1", "unknown", None), ("p1", "small", 100.0), ("p1", "fine", 900.0)],
+                              "panel string, scenario string, budget double")
+    lim = spark.createDataFrame([("p1", "c1", 1300.0, None), ("p1", "c2", 60.0, 50.0)], "panel string, series string, min_spend double, max_spend double")
+    got = {(r["scenario"], r["series"], r["code"]) for r in pl.allocation_refusals(p, b, K, lim).collect()}
+    names = ("none", "below", "unknown", "small", "fine")
+    want = {(s, c, "minimum_above_cap") for s in names for c in ("c1", "c2")}
+    want |= {(s, None, "budget_not_positive") for s in names[:3]} | {(s, None, "minimums_above_budget") for s in ("small", "fine")}
+    assert got == want
+    assert pl.allocation_refusals(p, b.where("scenario = 'fine'"), K).count() == 0
+
+
 def test_curve_is_monotone_and_marks_extrapolation(spark):
     c = pl.response_curve(make_params(spark), K).where("panel='p1' and series='c0'").orderBy("step").collect()
     assert len(c) == 25 and c[0]["p50"] == 0 and all(a["p50"] < b["p50"] for a, b in zip(c, c[1:]))

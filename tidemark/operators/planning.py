@@ -24,12 +24,17 @@ def own_effect(spend: Column, logistic: bool = False) -> Column:
     return F.col("beta") * shape
 
 
+def has_logistic(df: DataFrame) -> bool:
+    """Whether rows say which saturation they have; without that all are Hill curves."""
+    return "saturation" in df.columns
+
+
 def contribution(spend: Column, other_log: Column | None = None, logistic: bool = False) -> Column:
-    """KPI from a weekly spend; under a log link on top of what else drives the KPI."""
+    """KPI from a weekly spend; under a log link on top of what else drives the KPI. A row without ``other_log`` is additive."""
     own = own_effect(spend, logistic)
     if other_log is None:
         return own * F.col("y_max")
-    return F.exp(other_log + own) - F.exp(other_log)
+    return F.when(other_log.isNull(), own * F.col("y_max")).otherwise(F.exp(other_log + own) - F.exp(other_log))
 
 
 def steady_references(expected: DataFrame, contributions: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -52,7 +57,7 @@ def response_curve(params: DataFrame, keys: list[str], points: int = fx.CURVE_PO
     other = F.col("other_log") if "other_log" in params.columns else None
     out = grid.groupBy(*keys, "series", "step").agg(
         F.max("weekly_spend").alias("weekly_spend"), F.max("x_max").alias("_top"),
-        *interval_columns(contribution(F.col("weekly_spend"), other)))
+        *interval_columns(contribution(F.col("weekly_spend"), other, has_logistic(params))))
     return out.withColumn("extrapolated", F.col("weekly_spend") > F.col("_top")).drop("_top")
 
 
@@ -61,12 +66,13 @@ def marginal_return(params: DataFrame, keys: list[str], spend: str) -> DataFrame
     h = F.greatest(F.col("x_max") * fx.MARGINAL_STEP, F.lit(fx.SHAPE_EPS))
     hi, lo = F.col(spend) + h, F.greatest(F.col(spend) - h, F.lit(0.0))
     other = F.col("other_log") if "other_log" in params.columns else None
-    slope = (contribution(hi, other) - contribution(lo, other)) / (hi - lo)
+    logistic = has_logistic(params)
+    slope = (contribution(hi, other, logistic) - contribution(lo, other, logistic)) / (hi - lo)
     return params.groupBy(*keys, "series").agg(*interval_columns(slope))
 
 
 def average_return(params: DataFrame, keys: list[str], spend: str) -> DataFrame:
-    ratio = F.when(F.col(spend) > 0, contribution(F.col(spend)) / F.col(spend))
+    ratio = F.when(F.col(spend) > 0, contribution(F.col(spend), logistic=has_logistic(params)) / F.col(spend))
     return params.groupBy(*keys, "series").agg(*interval_columns(ratio))
 
 
@@ -74,23 +80,24 @@ def total_contribution(params: DataFrame, allocation: DataFrame, keys: list[str]
                        baseline_log: DataFrame | None = None) -> DataFrame:
     """Interval of the joint contribution of an allocation ``(keys, scenario, series, spend)``.
 
-    With ``baseline_log`` the link is the exponential and channels act together.
+    With ``baseline_log`` the link of the panels in it is the exponential and channels act together.
     """
     j = params.join(allocation.select(*keys, *scenario, "series", "spend"), [*keys, "series"])
-    effect = own_effect(F.col("spend"))
-    if baseline_log is None:
-        per_draw = j.groupBy(*keys, *scenario, "draw").agg(F.sum(effect * F.col("y_max")).alias("_t"))
-    else:
-        own = j.groupBy(*keys, *scenario, "draw").agg(F.sum(effect).alias("_own")).join(baseline_log, [*keys, "draw"])
-        per_draw = own.withColumn("_t", F.exp(F.col("baseline_log") + F.col("_own")) - F.exp("baseline_log"))
+    effect = own_effect(F.col("spend"), has_logistic(params))
+    per_draw = j.groupBy(*keys, *scenario, "draw").agg(F.sum(effect).alias("_own"), F.sum(effect * F.col("y_max")).alias("_t"))
+    if baseline_log is not None:
+        joint = F.exp(F.col("baseline_log") + F.col("_own")) - F.exp("baseline_log")
+        per_draw = per_draw.join(baseline_log, [*keys, "draw"], "left").withColumn("_t", F.when(F.col("baseline_log").isNull(), F.col("_t")).otherwise(joint))
     return per_draw.groupBy(*keys, *scenario).agg(*interval_columns(F.col("_t")))
 
 
 # --- allocation on a step grid --------------------------------------------------------------
 
 def median_params(params: DataFrame, keys: list[str]) -> DataFrame:
-    med = {c: F.percentile(c, F.lit(0.5)).alias(c) for c in ("beta", "half_sat", "slope")}
-    return params.groupBy(*keys, "series").agg(*med.values(), F.max("x_max").alias("x_max"), F.max("y_max").alias("y_max"))
+    names = ("beta", "half_sat", "slope") + (("lam",) if has_logistic(params) else ())
+    kind = [F.max("saturation").alias("saturation")] if has_logistic(params) else []
+    return params.groupBy(*keys, "series").agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in names], *kind,
+                                               F.max("x_max").alias("x_max"), F.max("y_max").alias("y_max"))
 
 
 def allocation_ranges(medians: DataFrame, budgets: DataFrame, keys: list[str], limits: DataFrame | None = None,
@@ -139,7 +146,8 @@ def allocate(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """
     k = ranges.where(F.col("n_fit") > 0).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n_fit"))))
     at = F.col("low") + F.col("k") * F.col("delta")
-    gain = (own_effect(at) - own_effect(at - F.col("delta"))) * F.col("y_max")
+    logistic = has_logistic(ranges)
+    gain = (own_effect(at, logistic) - own_effect(at - F.col("delta"), logistic)) * F.col("y_max")
     w = Window.partitionBy(*keys, "scenario").orderBy(F.desc("gain"), "series", "k")
     picks = (k.withColumn("gain", F.round(gain, 9)).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("steps"))
              .groupBy(*keys, "scenario", "series").agg(F.count(F.lit(1)).alias("taken")))
@@ -152,7 +160,8 @@ def _allocated(ranges: DataFrame, picks: DataFrame, keys: list[str]) -> DataFram
     j = ranges.join(picks, on, "left").withColumn("_spend", F.col("low") + F.coalesce("taken", F.lit(0)) * F.col("delta"))
     j = j.withColumn("_room", F.greatest(F.col("high") - F.col("_spend"), F.lit(0.0)))
     j = j.withColumn("_left", F.greatest(F.col("feasible") - F.sum("_spend").over(Window.partitionBy(*at)), F.lit(0.0)))
-    gain = (own_effect(F.col("_spend") + F.least("_room", "_left")) - own_effect(F.col("_spend"))) * F.col("y_max")
+    logistic = has_logistic(ranges)
+    gain = (own_effect(F.col("_spend") + F.least("_room", "_left"), logistic) - own_effect(F.col("_spend"), logistic)) * F.col("y_max")
     before = Window.partitionBy(*at).orderBy(F.desc("_gain"), "series").rowsBetween(Window.unboundedPreceding, -1)
     j = j.withColumn("_gain", F.round(gain, 9)).withColumn("_before", F.coalesce(F.sum("_room").over(before), F.lit(0.0)))
     spend = F.col("_spend") + F.least(F.greatest(F.col("_left") - F.col("_before"), F.lit(0.0)), F.col("_room"))
@@ -167,7 +176,7 @@ def allocate_exact(ranges: DataFrame, keys: list[str]) -> DataFrame:
     of channels x steps^2 inside the row, no shuffle beyond gathering the channels.
     """
     at = [*keys, "scenario"]
-    effects = F.transform(F.sequence(F.lit(0), F.col("n_fit")), lambda k: own_effect(F.col("low") + k * F.col("delta")) * F.col("y_max"))
+    effects = F.transform(F.sequence(F.lit(0), F.col("n_fit")), lambda k: own_effect(F.col("low") + k * F.col("delta"), has_logistic(ranges)) * F.col("y_max"))
     rows = ranges.select(*at, "series", "steps", effects.alias("v")).groupBy(*at).agg(
         F.array_sort(F.collect_list(F.struct("series", "v"))).alias("_ch"), F.max("steps").alias("steps"))
     kind = "array<struct<best:double,picks:array<int>>>"
@@ -191,6 +200,94 @@ def allocate_exact(ranges: DataFrame, keys: list[str]) -> DataFrame:
     return _allocated(ranges, picks, keys)
 
 
+def allocation_refusals(medians: DataFrame, budgets: DataFrame, keys: list[str], limits: DataFrame | None = None,
+                        cap: float = fx.CAP_FACTOR) -> DataFrame:
+    """(keys, scenario, series, code) of what makes a budget impossible to split; a panel without rows here may be allocated.
+
+    ``budget_not_positive`` (or missing) and ``minimums_above_budget`` concern the whole budget, their series is NULL;
+    ``minimum_above_cap`` names the channel whose minimum is above what it may take.
+    """
+    m = medians if limits is None else medians.join(limits, [*keys, "series"], "left")
+    low = F.greatest(F.coalesce("min_spend", F.lit(0.0)), F.lit(0.0)) if limits is not None else F.lit(0.0)
+    top = F.col("x_max") * cap
+    high = F.least(top, F.coalesce("max_spend", top)) if limits is not None else top
+    j = m.select(*keys, "series", low.alias("_low"), high.alias("_high")).join(budgets, keys)
+    above = j.where(F.col("_low") > F.col("_high") * (1 + 1e-9)).select(*keys, "scenario", "series", F.lit("minimum_above_cap").alias("code"))
+    whole = j.groupBy(*keys, "scenario", "budget").agg(F.sum("_low").alias("_low"))
+    code = (F.when(~F.coalesce(F.col("budget") > 0, F.lit(False)), "budget_not_positive")
+            .when(F.col("_low") > F.col("budget") * (1 + 1e-9), "minimums_above_budget"))
+    return above.unionByName(whole.select(*keys, "scenario", F.lit(None).cast("string").alias("series"), code.alias("code")).where("code IS NOT NULL"))
+
+
+BISECTIONS = 100
+
+
+def _spend_where(slope: Column, c: Column) -> Column:
+    """The spend at which a channel's next unit still brings ``slope``, for curves that only flatten; within its bounds.
+
+    Hill curves of slope 1 and logistic ones are solved; Hill curves of a smaller slope are halved in on.
+    """
+    x, eps = c["x_max"], F.lit(fx.SHAPE_EPS)
+    hill = (F.sqrt(c["value"] * c["half_sat"] / (slope * x)) - c["half_sat"] - eps) * x
+    # d/du of (1 - e)/(1 + e), e = exp(-lam u), is 2 lam e/(1 + e)^2: a quadratic in e
+    ratio = 2 * c["value"] * c["lam"] / (slope * x) - 2
+    e = (ratio - F.sqrt(F.greatest(ratio * ratio - 4, F.lit(0.0)))) / 2
+    logistic = F.when(ratio > 2, -F.log(F.greatest(e, F.lit(1e-300))) / c["lam"] * x).otherwise(0.0)
+
+    def marginal(spend):
+        u = spend / x + eps
+        p, k = F.pow(u, c["slope"]), F.pow(c["half_sat"], c["slope"])
+        return c["value"] * c["slope"] * k * p / (u * (k + p) * (k + p)) / x
+
+    halved = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(c["low"].alias("a"), c["high"].alias("b")), lambda s, _: F.when(
+        marginal((s["a"] + s["b"]) / 2) > slope, F.struct(((s["a"] + s["b"]) / 2).alias("a"), s["b"].alias("b"))).otherwise(
+        F.struct(s["a"].alias("a"), ((s["a"] + s["b"]) / 2).alias("b"))))["a"]
+    spend = F.when(c["value"] <= 0, c["low"]).when(c["logistic"], logistic).when(c["slope"] == 1, hill).otherwise(halved)
+    return F.least(F.greatest(spend, c["low"]), c["high"])
+
+
+def allocate_smooth(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Best split of each budget without a step grid: (keys, scenario, series, spend, feasible, at_cap).
+
+    At the best split every channel that is at neither bound brings the same for its next unit. One row per budget holds
+    its channels; that common return is halved in on over its logarithm, and each channel's spend follows from it. What
+    the last halving leaves goes to channels with room, so that spend adds up to ``feasible``. Curves must only flatten:
+    Hill of slope 1 or below, or logistic; panels with a steeper Hill curve give no row and belong to
+    :func:`allocate_exact`. Channels without an effect take money only when no other has room.
+    """
+    at = [*keys, "scenario"]
+    logistic = F.coalesce(F.col("saturation") == "logistic", F.lit(False)) if has_logistic(ranges) else F.lit(False)
+    lam = F.col("lam") if has_logistic(ranges) else F.lit(None).cast("double")
+    cell = F.struct("series", "low", "high", (F.col("beta") * F.col("y_max")).alias("value"), F.coalesce("half_sat", F.lit(1.0)).alias("half_sat"),
+                    F.coalesce(F.col("slope").cast("double"), F.lit(1.0)).alias("slope"), F.coalesce(lam, F.lit(1.0)).alias("lam"), logistic.alias("logistic"), "x_max")
+    rows = ranges.groupBy(*at).agg(F.array_sort(F.collect_list(cell)).alias("_c"), F.max("feasible").alias("feasible"))
+    rows = rows.where(~F.exists("_c", lambda c: ~c["logistic"] & (c["slope"] > 1)))
+
+    def spent(slope):
+        return F.aggregate("_c", F.lit(0.0), lambda total, c: total + _spend_where(slope, c))
+
+    # the return of a first unit is largest at no spend; an infinite one (slope below 1) is cut off by the shapes' epsilon
+    steepest = F.array_max(F.transform("_c", lambda c: F.when(c["logistic"], c["value"] * c["lam"] / 2).otherwise(
+        c["value"] * c["slope"] * F.pow(F.lit(fx.SHAPE_EPS), c["slope"] - 1) / F.pow(c["half_sat"], c["slope"])) / c["x_max"]))
+    top = F.log(F.greatest(steepest, F.lit(1e-200))) + 1.0
+    rows = rows.withColumn("_top", top)
+    halved = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), F.struct((F.col("_top") - 80.0).alias("a"), F.col("_top").alias("b")),
+                         lambda s, _: F.when(spent(F.exp((s["a"] + s["b"]) / 2)) > F.col("feasible"),
+                                             F.struct(((s["a"] + s["b"]) / 2).alias("a"), s["b"].alias("b"))).otherwise(
+                                             F.struct(s["a"].alias("a"), ((s["a"] + s["b"]) / 2).alias("b"))))
+    rows = rows.withColumn("_slope", F.exp(halved["b"]))
+    split = rows.select(*at, "feasible", "_slope", F.explode("_c").alias("c")).select(
+        *at, "feasible", F.col("c.series").alias("series"), F.col("c.high").alias("high"), (F.col("c.value") > 0).alias("_live"),
+        _spend_where(F.col("_slope"), F.col("c")).alias("_spend"))
+    w = Window.partitionBy(*at)
+    split = split.withColumn("_left", F.greatest(F.col("feasible") - F.sum("_spend").over(w), F.lit(0.0))).withColumn(
+        "_room", F.greatest(F.col("high") - F.col("_spend"), F.lit(0.0)))
+    before = w.orderBy(F.desc("_live"), F.desc("_room"), "series").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.least(F.greatest(F.col("_left") - F.coalesce(F.sum("_room").over(before), F.lit(0.0)), F.lit(0.0)), F.col("_room"))
+    spend = F.col("_spend") + taken
+    return split.select(*at, "series", spend.alias("spend"), "feasible", (spend >= F.col("high") * (1 - 1e-9)).alias("at_cap"))
+
+
 def scaled_budgets(current: DataFrame, keys: list[str], factors: tuple = fx.FRONTIER_FACTORS) -> DataFrame:
     """(keys, scenario, budget): the current total times each factor."""
     f = F.explode(F.array(*[F.lit(float(x)) for x in factors]))

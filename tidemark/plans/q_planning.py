@@ -117,6 +117,37 @@ def _(spark, sf):
     return split.groupBy("panel", "scenario").agg(F.round(F.sum("spend"), 0).alias("spent"))
 
 
+SPENT_SQL = "least(greatest((sqrt(c.v*c.k/(exp({s})*c.x))-c.k-1e-6)*c.x,0),c.x*1.2)"
+SMOOTH_SQL = f"""WITH RECURSIVE {DRAWS_SQL}, md AS (SELECT panel, series, {q('beta', '0.5')} AS beta, {q('half_sat', '0.5')} AS half_sat, max(x_max) AS x_max, max(y_max) AS y_max, max(current) AS current FROM params GROUP BY 1,2),
+ f AS (SELECT unnest([0.5,1.0,1.5,2.0]::DOUBLE[]) AS factor),
+ bis AS (SELECT panel, factor, least(sum(current)*factor, sum(x_max)*1.2) AS feasible, list({{'series':series,'v':beta*y_max,'k':half_sat,'x':x_max}}) AS cs,
+   ln(max(beta*y_max/half_sat/x_max))+1-80 AS lo, ln(max(beta*y_max/half_sat/x_max))+1 AS hi, 0 AS n FROM md, f GROUP BY panel, factor
+  UNION ALL SELECT panel, factor, feasible, cs, CASE WHEN list_sum(list_transform(cs, lambda c: {SPENT_SQL.format(s='(lo+hi)/2')}))>feasible THEN (lo+hi)/2 ELSE lo END,
+   CASE WHEN list_sum(list_transform(cs, lambda c: {SPENT_SQL.format(s='(lo+hi)/2')}))>feasible THEN hi ELSE (lo+hi)/2 END, n+1 FROM bis WHERE n<100),
+ sp AS (SELECT panel, factor, feasible, hi, unnest(cs) AS c FROM bis WHERE n=100)
+ SELECT panel, CAST(factor AS VARCHAR) AS scenario, c.series AS series, round(greatest({SPENT_SQL.format(s='hi')},0)/feasible,7) AS share FROM sp"""
+
+
+@query("pl_allocate_smooth", SMOOTH_SQL)
+def _(spark, sf):
+    budgets = pl.scaled_budgets(current(spark, sf), KEYS, (0.5, 1.0, 1.5, 2.0))
+    split = pl.allocate_smooth(pl.allocation_ranges(pl.median_params(params(spark, sf), KEYS), budgets, KEYS), KEYS)
+    return split.select("panel", "scenario", "series", (F.round(F.col("spend") / F.col("feasible"), 7) + F.lit(0.0)).alias("share"))
+
+
+@query("pl_refusals", f"""WITH {DRAWS_SQL}, md AS (SELECT panel, series, max(x_max) AS x_max, max(current) AS current FROM params GROUP BY 1,2),
+ b AS (SELECT panel, CAST(f AS VARCHAR) AS scenario, sum(current)*f AS budget FROM md, (SELECT unnest([-1.0,0.0,0.2,1.0]::DOUBLE[]) AS f) GROUP BY panel, f),
+ l AS (SELECT panel, series, CASE WHEN series='ch_a_f' AND panel<'B' THEN 2*x_max ELSE current*0.4::DOUBLE END AS lo, x_max*1.2 AS hi FROM md)
+ SELECT l.panel, scenario, series, 'minimum_above_cap' AS code FROM l JOIN b ON l.panel=b.panel WHERE lo>hi*(1+1e-9)
+ UNION ALL SELECT panel, scenario, NULL, CASE WHEN budget<=0 THEN 'budget_not_positive' ELSE 'minimums_above_budget' END FROM (SELECT b.panel, scenario, budget, sum(lo) AS lo FROM b JOIN l ON b.panel=l.panel GROUP BY 1,2,3)
+  WHERE budget<=0 OR lo>budget*(1+1e-9)""")
+def _(spark, sf):
+    med, now = pl.median_params(params(spark, sf), KEYS), current(spark, sf)
+    low = F.when((F.col("series") == "ch_a_f") & (F.col("panel") < "B"), F.col("x_max") * 2).otherwise(F.col("spend") * 0.4)
+    limits = med.join(now, PS).select(*PS, low.alias("min_spend"), F.lit(None).cast("double").alias("max_spend"))
+    return pl.allocation_refusals(med, pl.scaled_budgets(now, KEYS, (-1.0, 0.0, 0.2, 1.0)), KEYS, limits)
+
+
 @query("pl_allocate_exact", f"""WITH {ALLOC_SQL} SELECT al.panel, al.scenario, round(sum({effect('al.spend','md.beta','md.half_sat','md.slope','md.x_max')}*md.y_max),2) AS best FROM al JOIN md ON al.panel=md.panel AND al.series=md.series GROUP BY 1,2""")
 def _(spark, sf):
     out = pl.allocate_exact(ranges(spark, sf), KEYS)
