@@ -449,16 +449,17 @@ def fit_draws(chosen: DataFrame, fitted: DataFrame, keys: list[str], free: list[
     columns = [*free, *[f"x_{c}" for c in channels]]
     n_free, p = len(free), len(columns)
     specs = fitted.select(*keys, "coef", "sigma", "dispersion")
-    if terms is not None:
+    stated = terms is not None
+    if stated:
         specs = specs.join(terms, keys)
 
     def run(key, pdf, spec):
         row = next(spec.itertuples(index=False), None)
-        kind = likelihood if terms is None or row is None else row.likelihood
+        kind = row.likelihood if stated and row is not None else likelihood
         rows = _observed(pdf, burn_in, kind) if len(pdf) else pdf
         if row is None or not len(rows):
             return pd.DataFrame(columns=[*keys, "draw", "coef"])
-        prior = Prior.of(row if terms is not None else None, n_free, len(channels), len(row.penalty) // max(len(channels), 1) if terms is not None else 1)
+        prior = Prior.of(row if stated else None, n_free, len(channels), len(row.penalty) // max(len(channels), 1) if stated else 1)
         like = Likelihood(kind, _outcome(rows, kind), prior)
         like.scale = float(row.dispersion if like.count else row.sigma)
         x, b = rows[columns].to_numpy(float), np.asarray(row.coef, float)

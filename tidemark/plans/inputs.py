@@ -83,6 +83,14 @@ def built(spark, sf, name: str, build) -> DataFrame:
     return _BUILT[key]
 
 
+def once(spark, sf, name: str, build):
+    """What ``build`` gives, built on first use; for results that store their own tables."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def forget() -> None:
     """Drop what was built, so that the next query pays for it again."""
     _BUILT.clear()
