@@ -15,13 +15,29 @@ def _check(code: str, passed: Column, severity: str, value: Column | None = None
     return cell if when is None else F.when(when, cell)
 
 
+SAMPLER = ("max_r_hat", "n_divergences", "min_ess_bulk")
+FITTED = ("decomposition_ok", "r2", "coverage_94")
+
+
+def _missing(d: DataFrame, names: tuple[str, ...]) -> Column:
+    """How many of these were not measured. Rows whose ``sampled`` is false have independent draws, no chains: R-hat and
+    divergences do not exist for them and are not missing."""
+    chains = F.coalesce(F.col("sampled"), F.lit(True)) if "sampled" in d.columns else F.lit(True)
+    out = F.lit(0)
+    for n in names:
+        gone = F.col(n).isNull()
+        out = out + (gone & chains if n in SAMPLER[:2] else gone).cast("int")
+    return out
+
+
 def validity_checks(diagnostics: DataFrame, keys: list[str], channels: DataFrame | None = None,
                     shares: DataFrame | None = None) -> DataFrame:
     """One row per named check that applies: (keys, code, passed, severity, value).
 
     ``diagnostics``: one row per run with max_r_hat, n_divergences, n_samples, min_ess_bulk,
     min_ess_tail, min_e_bfmi, decomposition_ok, r2, coverage_94/80/50, mape, autocorrelation,
-    holdout_mape, placebo_share; what was not measured is NULL and its check is left out.
+    holdout_mape, placebo_share; what was not measured is NULL and its check is left out. What a verdict needs at least
+    and is missing is counted in ``all_measured``, a warning. ``sampled`` may say false for draws without chains.
     ``channels``: (keys, series, verdict); ``shares``: (keys, series, share).
     """
     d = diagnostics
@@ -36,6 +52,7 @@ def validity_checks(diagnostics: DataFrame, keys: list[str], channels: DataFrame
         d = d.join(typical, keys, "left")
     else:
         d = d.withColumn("typical_share", F.lit(None).cast("double"))
+    d = d.withColumn("_missing", _missing(d, SAMPLER + FITTED))
     c = F.col
     div = c("n_divergences") / F.greatest(c("n_samples"), F.lit(1))
     off = [F.coalesce(F.abs(c(f"coverage_{b}") - b / 100) > fx.COVERAGE_TOLERANCE, F.lit(False)) for b in (94, 80, 50)]
@@ -51,10 +68,11 @@ def validity_checks(diagnostics: DataFrame, keys: list[str], channels: DataFrame
         _check("enough_effective_samples", c("min_ess_bulk") >= fx.ESS_MIN, "warning", c("min_ess_bulk"), c("min_ess_bulk").isNotNull()),
         _check("enough_tail_samples", c("min_ess_tail") >= fx.ESS_MIN, "warning", c("min_ess_tail"), c("min_ess_tail").isNotNull()),
         _check("energy_ok", c("min_e_bfmi") >= fx.EBFMI_MIN, "warning", c("min_e_bfmi"), c("min_e_bfmi").isNotNull()),
-        _check("decomposition_adds_up", c("decomposition_ok"), "blocking"),
-        _check("explains_the_data", c("r2") >= fx.R2_BLOCKING, "blocking", c("r2")),
+        _check("all_measured", F.lit(False), "warning", c("_missing"), c("_missing") > 0),
+        _check("decomposition_adds_up", c("decomposition_ok"), "blocking", None, c("decomposition_ok").isNotNull()),
+        _check("explains_the_data", c("r2") >= fx.R2_BLOCKING, "blocking", c("r2"), c("r2").isNotNull()),
         _check("explains_the_data_weakly", F.lit(False), "warning", c("r2"), (c("r2") >= fx.R2_BLOCKING) & (c("r2") < fx.R2_WARN)),
-        _check("uncertainty_is_calibrated", ~(off[0] | off[1] | off[2]), "warning", c("coverage_94")),
+        _check("uncertainty_is_calibrated", ~(off[0] | off[1] | off[2]), "warning", c("coverage_94"), c("coverage_94").isNotNull()),
         _check("prediction_error_ok", c("mape") <= fx.MAPE_LIMIT, "warning", c("mape"), c("mape").isNotNull()),
         _check("no_leftover_structure", F.abs("autocorrelation") <= fx.AUTOCORR_LIMIT, "warning", c("autocorrelation"),
                c("autocorrelation").isNotNull()),
@@ -100,15 +118,27 @@ def allowed_outputs(levels: DataFrame, keys: list[str]) -> DataFrame:
     return levels.select(*keys, "level", F.explode(out).alias("output"))
 
 
+GRADES = ("good", "unmeasured", "caution", "weak")
+
+
 def trust_layers(diagnostics: DataFrame, keys: list[str]) -> DataFrame:
-    """Trust in the sampler and in the fit, graded apart, and the worse of the two."""
+    """Trust in the sampler and in the fit, graded apart, and the worse of the two.
+
+    ``unmeasured`` is no ``good``: nothing speaks against the layer, but part of what would is NULL. What was measured
+    and is bad still makes it ``caution`` or ``weak``.
+    """
     c = F.col
-    sampler_note = (c("max_r_hat") > fx.RHAT_WARN) | (c("n_divergences") > 0) | (c("min_ess_bulk") < fx.ESS_MIN)
-    fit_note = (((F.abs(c("coverage_94") - 0.94)) > fx.COVERAGE_TOLERANCE) | ~c("decomposition_ok") | (c("r2") < fx.R2_WARN)
-                | F.coalesce(c("mape") > fx.TRUST_MAPE, F.lit(False)))
-    rank = {"sampler": F.when(c("max_r_hat") > fx.RHAT_BLOCKING, 2).when(sampler_note, 1).otherwise(0),
-            "fit": F.when(~c("decomposition_ok") | (c("r2") < fx.R2_BLOCKING), 2).when(fit_note, 1).otherwise(0)}
-    names = F.array(F.lit("good"), F.lit("caution"), F.lit("weak"))
-    d = diagnostics.withColumn("_s", rank["sampler"]).withColumn("_f", rank["fit"])
+
+    def some(test: Column) -> Column:
+        return F.coalesce(test, F.lit(False))
+
+    sampler_note = some(c("max_r_hat") > fx.RHAT_WARN) | some(c("n_divergences") > 0) | some(c("min_ess_bulk") < fx.ESS_MIN)
+    fit_note = (some(F.abs(c("coverage_94") - 0.94) > fx.COVERAGE_TOLERANCE) | some(c("r2") < fx.R2_WARN) | some(c("mape") > fx.TRUST_MAPE))
+    weak = {"sampler": some(c("max_r_hat") > fx.RHAT_BLOCKING), "fit": some(~c("decomposition_ok")) | some(c("r2") < fx.R2_BLOCKING)}
+    layers = {}
+    for name, note, needed in (("sampler", sampler_note, SAMPLER), ("fit", fit_note, FITTED)):
+        layers[name] = F.when(weak[name], 3).when(note, 2).when(_missing(diagnostics, needed) > 0, 1).otherwise(0)
+    names = F.array(*[F.lit(g) for g in GRADES])
+    d = diagnostics.withColumn("_s", layers["sampler"]).withColumn("_f", layers["fit"])
     return d.select(*keys, F.element_at(names, c("_s") + 1).alias("sampler"), F.element_at(names, c("_f") + 1).alias("fit"),
                     F.element_at(names, F.greatest("_s", "_f") + 1).alias("overall"))

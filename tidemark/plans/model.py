@@ -213,10 +213,10 @@ def run_model(master: DataFrame, keys: list[str], kpi: str, channels: list[str],
     d = d.join(placebo.select(*keys, "placebo_share"), keys, "left").join(gate.select(*keys, F.col("passed").alias("prior_gate_ok")), keys, "left")
     d = d.join(sensitivity.groupBy(*keys).agg(F.max("shift").alias("max_prior_shift")), keys, "left").join(kinds, keys)
     # bootstrap draws are independent: as many effective samples as draws. There are no chains and no sampler, so
-    # what only those can show is not measured and stays NULL
+    # what only those can show stays NULL, and ``sampled`` says that nothing is missing there
     diagnostics = stored(d.withColumnRenamed("lag1_autocorrelation", "autocorrelation").withColumns({
         "max_r_hat": F.lit(None).cast("double"), "n_divergences": F.lit(None).cast("int"), "n_samples": F.lit(replicates), "min_ess_bulk": F.lit(float(replicates)),
-        "min_ess_tail": F.lit(None).cast("double"), "min_e_bfmi": F.lit(None).cast("double")}), "diagnostics")
+        "min_ess_tail": F.lit(None).cast("double"), "min_e_bfmi": F.lit(None).cast("double"), "sampled": F.lit(False)}), "diagnostics")
     overlaps = idn.overlap(idn.prior_samples(chan, keys, replicates), params.select(*keys, "series", F.col("beta").alias("value")), [*keys, "series"])
     found = stored(idn.identifiability(dr.interval(sums, [*keys, "series"], "total"), idn.contribution_correlations(sums, keys, channels), keys,
                                        overlaps, sensitivity), "identified")

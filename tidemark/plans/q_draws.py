@@ -511,6 +511,35 @@ def _(spark, sf):
     return vd.trust_layers(diagnostics(spark, sf), ["run"])
 
 
+UNMEASURED = {"max_r_hat": 5, "n_divergences": 7, "min_ess_bulk": 9, "decomposition_ok": 11, "r2": 13, "coverage_94": 15}
+GAPS_SQL = DIAG_SQL.replace("dg AS (", "full_dg AS (", 1).replace(" chv AS (", f""" dg AS (SELECT * REPLACE ({', '.join(
+    f"CASE WHEN run%{m}<>0 THEN {c} END AS {c}" for c, m in UNMEASURED.items())}), run%2=0 AS sampled FROM full_dg),
+ chv AS (""", 1)
+MISSING_SQL = "+".join(f"CASE WHEN {c} IS NULL{' AND sampled' if c in ('max_r_hat', 'n_divergences') else ''} THEN 1 ELSE 0 END" for c in UNMEASURED)
+
+
+def diagnostics_with_gaps(spark, sf):
+    gaps = {c: F.when(F.col("run") % m != 0, F.col(c)) for c, m in UNMEASURED.items()}
+    return diagnostics(spark, sf).withColumns({**gaps, "sampled": F.col("run") % 2 == 0})
+
+
+@query("vd_trust_unmeasured", f"""WITH {GAPS_SQL}, r AS (SELECT run, CASE WHEN max_r_hat>1.1 THEN 3 WHEN max_r_hat>1.05 OR n_divergences>0 OR min_ess_bulk<400 THEN 2
+   WHEN (max_r_hat IS NULL OR n_divergences IS NULL) AND sampled OR min_ess_bulk IS NULL THEN 1 ELSE 0 END AS s,
+  CASE WHEN NOT decomposition_ok OR r2<0.3 THEN 3 WHEN abs(coverage_94-0.94)>0.1 OR r2<0.5 OR mape>0.2 THEN 2 WHEN decomposition_ok IS NULL OR r2 IS NULL OR coverage_94 IS NULL THEN 1 ELSE 0 END AS f FROM dg)
+ SELECT run, ['good','unmeasured','caution','weak'][s+1] AS sampler, ['good','unmeasured','caution','weak'][f+1] AS fit, ['good','unmeasured','caution','weak'][greatest(s,f)+1] AS overall FROM r""")
+def _(spark, sf):
+    return vd.trust_layers(diagnostics_with_gaps(spark, sf), ["run"])
+
+
+@query("vd_unmeasured", f"WITH {GAPS_SQL} SELECT run, ({MISSING_SQL})::DOUBLE AS n_missing, false AS at_top FROM dg WHERE ({MISSING_SQL})>0")
+def _(spark, sf):
+    """Runs that lack a measure a verdict needs, how many, and that none of them reaches the top level."""
+    checks = vd.validity_checks(diagnostics_with_gaps(spark, sf), ["run"], channel_verdicts(spark, sf))
+    levels = vd.verdict_level(checks, ["run"], channel_verdicts(spark, sf))
+    found = checks.where("code = 'all_measured'").select("run", F.col("value").alias("n_missing"))
+    return found.join(levels, "run").select("run", "n_missing", (F.col("level") == "usable_for_decisions").alias("at_top"))
+
+
 @query("ev_placebo_judge", f"""WITH {DIAG_SQL}, s AS (SELECT run, CASE series WHEN 'P' THEN 'placebo' ELSE series END AS series, share FROM chv),
  g AS (SELECT run, max(abs(share)) FILTER (series='placebo') AS placebo_share, quantile_cont(abs(share),0.5) FILTER (series<>'placebo') AS typical_share FROM s GROUP BY 1)
  SELECT *, placebo_share<=0.05 AND coalesce(placebo_share<typical_share,true) AS clean FROM g""")

@@ -29,20 +29,25 @@ def local_session(cpus: int | str | None = None, memory: str = "8g") -> SparkSes
     return spark
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session, where all tasks share one machine, gets a folder of its own.
+    Only a local session, where all tasks share one machine, gets a folder of its own; it is remembered here, since the
+    setting cannot be changed in a running session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    import tempfile
-    folder = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    key = spark.sparkContext.applicationId
+    if key not in _OWN:
+        import tempfile
+        _OWN[key] = tempfile.mkdtemp(prefix="tidemark-")
+    return _OWN[key]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
