@@ -9,7 +9,7 @@ from tidemark.plans.inputs import KEYS, MASTER_SQL, RAW_SQL, WEEKLY_SQL, master,
 from tidemark.plans.registry import query
 from tidemark.session import scratch
 from tidemark.sources import event_log as el, readers as rd, sinks as sk
-from tidemark.streaming import jobs as st
+from tidemark.streaming import jobs as st, stateful as sful
 
 # customers are projects, orders are runs, dataset versions and files; the SQL says the same
 LIFE_SQL = """runs AS (SELECT o_orderkey AS run, o_custkey AS project, o_orderdate AS created_at, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'sampling' ELSE 'failed' END AS state FROM orders),
@@ -363,6 +363,78 @@ def _(spark, sf):
     return st.merge_states(written)
 
 
+# --- streams fed batch by batch: each step adds files and starts the stream again from its checkpoint ----
+
+def fed(spark, rows, batch, n, name, start):
+    """Hand a table to a stream in ``n`` batches, by the number in ``batch``; ``start(folder, schema, out)`` runs what is there."""
+    path, out = scratch(spark, name), scratch(spark, f"{name}-out")
+    numbered = rows.withColumn("_batch", batch)
+    for k in range(n):
+        numbered.where(F.col("_batch") == k).drop("_batch").write.parquet(f"{path}/batch-{k}")
+        start(f"{path}/*", rows.schema, out)
+    return out
+
+
+SPAN = "(epoch_us(ts)-epoch_us((SELECT min(ts) FROM events)))/(epoch_us((SELECT max(ts) FROM events))-epoch_us((SELECT min(ts) FROM events)))"
+
+
+@query("st_heartbeat_timers", f"""WITH e AS (SELECT user_id||'-'||week(ts) AS run, ts, event_type='purchase' AND value>20 AS final, least(4, floor(5*{SPAN})) AS b FROM events),
+ m AS (SELECT k, (SELECT max(ts) FROM e WHERE b<=k) - INTERVAL 1 MINUTE AS mark FROM range(0,5) r(k)),
+ h AS (SELECT run, k, mark, max(ts) AS last_heartbeat, bool_or(final) AS ended FROM e JOIN m ON b<=k GROUP BY 1,2,3)
+ SELECT run, arg_min(last_heartbeat, k) AS last_heartbeat, 'TIMEOUT' AS code FROM h WHERE NOT ended AND epoch_us(last_heartbeat)//1000+600000 <= epoch_us(mark)//1000 GROUP BY 1""")
+def _(spark, sf):
+    """Timeouts of attempts over five batches in order of time."""
+    e = table(spark, sf, "events")
+    state = F.when((F.col("event_type") == "purchase") & (F.col("value") > 20), "completed").otherwise("sampling")
+    run = F.concat_ws("-", F.col("user_id").cast("string"), F.weekofyear("ts").cast("string"))
+    beats = e.select(run.alias("run"), state.alias("state"), F.col("ts").alias("heartbeat_at"))
+    at = F.unix_micros(F.col("heartbeat_at").cast("timestamp"))
+    lo, hi = beats.agg(F.min(at), F.max(at)).first()
+    part = F.least(F.lit(4), F.floor(5 * ((at - F.lit(lo)) / F.lit(hi - lo)))).cast("int")
+
+    def start(folder, schema, out):
+        sful.run_batches(lambda: sful.heartbeat_timeouts(st.read_stream(spark, folder, schema)), out, "append")
+
+    return spark.read.parquet(f"{fed(spark, beats, part, 5, 'beats', start)}/data").drop("batch")
+
+
+@query("st_states_held", """WITH c AS (SELECT o_custkey AS run, CASE o_orderstatus WHEN 'F' THEN 7 WHEN 'O' THEN 4 ELSE 0 END AS rank, CAST(o_orderkey%2 AS INTEGER) AS attempt, o_orderdate AS "at" FROM orders)
+ SELECT run, attempt, CASE rank WHEN 7 THEN 'completed' WHEN 4 THEN 'sampling' ELSE 'queued' END AS state, "at" FROM c QUALIFY row_number() OVER (PARTITION BY run ORDER BY attempt DESC, rank DESC, CASE WHEN rank=7 THEN -epoch_us("at") ELSE epoch_us("at") END DESC)=1""")
+def _(spark, sf):
+    """Run states held by the stream after four batches in no order, the first of them known before it starts."""
+    state = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "sampling").otherwise("queued")
+    changes = table(spark, sf, "orders").select(F.col("o_custkey").cast("long").alias("run"), (F.col("o_orderkey") % 2).cast("int").alias("attempt"),
+                                                state.alias("state"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderkey").alias("key"))
+    part = F.pmod(F.xxhash64("key"), F.lit(5)).cast("int") - 1
+    known = changes.where(part < 0)
+
+    def start(folder, schema, out):
+        sful.run_batches(lambda: sful.run_states(st.read_stream(spark, folder, schema), known), out, "append")
+
+    return sful.held_states(spark, fed(spark, changes, part, 4, "changes", start)).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("st_week_late", """WITH o AS (SELECT o_orderstatus AS panel, o_orderpriority AS series, o_orderdate AS ts, round(o_totalprice*100) AS value, CAST(date_trunc('week', o_orderdate) AS DATE) AS week_start,
+   CASE WHEN o_orderkey%3=0 AND o_orderdate<TIMESTAMP '1997-06-01' THEN 0 WHEN o_orderkey%3=1 AND o_orderdate<TIMESTAMP '1999-06-01' THEN 1 ELSE 2 END AS b FROM orders),
+ m AS (SELECT r.b, max(ts) - INTERVAL 35 DAY AS mark FROM range(1,3) r(b) JOIN o ON o.b<r.b GROUP BY 1),
+ l AS (SELECT o.*, coalesce(week_start + INTERVAL 7 DAY<=mark, false) AS late FROM o LEFT JOIN m ON o.b=m.b)
+ SELECT panel, week_start, series, sum(value) AS total, avg(value) AS mean, count(*) AS n, count(*) FILTER (late) AS n_late FROM l GROUP BY 1,2,3""")
+def _(spark, sf):
+    """Weekly sums over three batches, the rows that came too late added again, and how many these were."""
+    day, key = F.col("o_orderdate"), F.col("o_orderkey") % 3
+    part = (F.when((key == 0) & (day < F.to_timestamp_ntz(F.lit("1997-06-01"))), 0).when((key == 1) & (day < F.to_timestamp_ntz(F.lit("1999-06-01"))), 1).otherwise(2))
+    rows = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("panel"), F.col("o_orderpriority").alias("series"), F.col("o_orderdate").alias("ts"),
+                                             F.round(F.col("o_totalprice") * 100).alias("value"), part.alias("part"))
+
+    def start(folder, schema, out):
+        sful.week_batches(lambda: st.read_stream(spark, folder, schema), out, ["panel"])
+
+    out = fed(spark, rows, F.col("part"), 3, "orders", start)
+    late = sful.late_rows(spark, out).groupBy("panel", "week_start", "series").agg(F.count(F.lit(1)).alias("n_late"))
+    sums = sful.week_sums(spark, out, ["panel"], with_late=True)
+    return sums.join(late, ["panel", "week_start", "series"], "left").withColumn("n_late", F.coalesce("n_late", F.lit(0)))
+
+
 @query("st_quality")
 def _(spark, sf):
     def rules(batch):
