@@ -26,6 +26,22 @@ def test_encoder_gives_the_library_ids(texts):
     assert [a.tolist() for a in enc.encode(texts)] == [ids(t) for t in texts]
 
 
+WORDS = st.text(st.sampled_from("aZé Ünœ Ǆİıſ.,;:!?)\"]([<|'09-\u0301\u00d7\u00df\u0149\x01"), max_size=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(WORDS, max_size=8))
+def test_words_without_the_splitter_give_the_library_ids(texts):
+    enc = Encoder("word_bpe_49k.json", memory=30)
+    assert enc.model is not None
+    assert [a.tolist() for a in enc.encode(texts)] == [ids(t) for t in texts]
+
+
+def test_all_letters_of_simple_words():
+    every = [f'("{chr(c)}a{chr(c)}".' for c in range(0x21, 0x250)] + [chr(c) * 3 for c in range(0x21, 0x250)]
+    assert [a.tolist() for a in Encoder("word_bpe_49k.json").encode(every)] == [ids(t) for t in every]
+
+
 def test_encoder_cuts_very_long_texts_at_white_space():
     text = ("Über–straße <|endoftext|> x\x01y " * 60_000)[:1_500_000]
     assert Encoder("word_bpe_49k.json").encode([text])[0].tolist() == ids(text)

@@ -15,6 +15,10 @@ SLICE = 1 << 20
 PART = 5000                          # words encoded in one go, parted by a control character of their own
 MARK = b"\x01"
 SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+# pieces that the normaliser only lower-cases and the splitter parts into punctuation, letters and punctuation:
+# Latin letters that are composed already and whose small letter is one letter, no apostrophe, no part of a special token
+LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+SIMPLE = re.compile(rf'([("\[]*)([{LETTERS}]+)([.,;:!?)"\]]*)').fullmatch
 
 
 def file_of(name: str) -> str:
@@ -25,6 +29,26 @@ def file_of(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _lowers_and_splits(tokenizer) -> bool:
+    """Whether a tokenizer composes, lower-cases, parts letters from all else and then works on bytes, as ``SIMPLE`` needs."""
+    import json
+    made = json.loads(tokenizer.to_str())
+    normal = [n["type"] for n in (made.get("normalizer") or {}).get("normalizers", [])]
+    split = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if made["model"]["type"] != "BPE" or normal != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in split] != ["Split", "ByteLevel"]:
+        return False
+    parts = set(split[0]["pattern"].get("Regex", "").split("|"))
+    return ({r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"} <= parts and all(p[0] == "'" or p[0] == "[" for p in parts) and split[0]["invert"]
+            and not split[1]["add_prefix_space"] and not split[1]["use_regex"])
+
+
+def _byte_letters() -> dict[int, str]:
+    """What stands for each Latin letter and mark in a byte-level vocabulary."""
+    from tokenizers.pre_tokenizers import ByteLevel
+    level = ByteLevel(add_prefix_space=False, use_regex=False)
+    return {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x250)}
+
+
 class Encoder:
     """Ids of texts as the tokenizers library gives them without special tokens.
 
@@ -40,6 +64,33 @@ class Encoder:
         self.whole, self.memory, self.known = whole, memory, {}
         mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else -1
+        self.runs: dict[str, bytes] = {}
+        self.model, self.letters = (self.tokenizer.model, _byte_letters()) if _lowers_and_splits(self.tokenizer) else (None, {})
+
+    def _run(self, run: str) -> bytes:
+        """Ids of a run of small letters or of punctuation, by the model itself."""
+        raw = self.runs.get(run)
+        if raw is None:
+            if len(self.runs) > self.memory:
+                self.runs.clear()
+            size = self.kind.itemsize
+            raw = self.runs[run] = b"".join([t.id.to_bytes(size, "little") for t in self.model.tokenize(run.translate(self.letters))])
+        return raw
+
+    def _learn_simple(self, words: list[bytes]) -> list[bytes]:
+        """Learn the words that fall into runs without the library's normaliser and splitter; the others are returned."""
+        rest, run = [], self._run
+        for w in words:
+            m = SIMPLE(w.decode())
+            if m is None:
+                rest.append(w)
+                continue
+            before, letters, after = m.groups()
+            raw = run(letters.lower())
+            if before:
+                raw = run(before) + raw
+            self.known[w] = raw + run(after) if after else raw
+        return rest
 
     def _learn(self, words: set[bytes]) -> None:
         known = self.known
@@ -47,6 +98,8 @@ class Encoder:
         if len(self.known) + len(new) > self.memory:  # words learned early are the common ones: these stay, with those in use
             early = dict(itertools.islice(self.known.items(), self.memory // 2))
             self.known = early | {w: self.known[w] for w in words & self.known.keys()}
+        if self.model is not None:
+            new = self._learn_simple(new)
         plain = [w for w in new if MARK not in w and b"<|" not in w]
         for i in range(0, len(plain), PART):
             part = plain[i:i + PART]
