@@ -17,7 +17,7 @@ MARK = b"\x01"
 SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 # pieces that the normaliser only lower-cases and the splitter parts into punctuation, letters and punctuation:
 # Latin letters that are composed already and whose small letter is one letter, no apostrophe, no part of a special token
-LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 SIMPLE = re.compile(rf'([("\[]*)([{LETTERS}]+)([.,;:!?)"\]]*)').fullmatch
 
 
@@ -46,7 +46,7 @@ def _byte_letters() -> dict[int, str]:
     """What stands for each Latin letter and mark in a byte-level vocabulary."""
     from tokenizers.pre_tokenizers import ByteLevel
     level = ByteLevel(add_prefix_space=False, use_regex=False)
-    return {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x250)}
+    return {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x180)}
 
 
 class Encoder:
