@@ -1,8 +1,10 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import weekly as wk
 from tidemark.plans import recipe as rc
 
 K = ["panel"]
@@ -64,3 +66,73 @@ def test_names_used_twice_are_prefixed(spark):
 def test_recipe_without_sources():
     with pytest.raises(ValueError):
         rc.parse_recipe({"sources": []})
+
+
+def weekly_source(spark, values, start=dt.date(2022, 1, 3), name="v"):
+    """One source of a panel: a row a week."""
+    rows = [("p", (start + dt.timedelta(days=7 * i)).isoformat(), float(v)) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, f"panel string, date string, {name} double")
+
+
+def dataset(spark, **sources):
+    """(role, frame, column) by source name, built with a date column named ``date``."""
+    doc = {"sources": [{"name": n, "date_column": "date", "columns": [{"name": c, "role": role}]} for n, (role, _, c) in sources.items()]}
+    return rc.build_dataset({n: f for n, (_, f, _) in sources.items()}, rc.parse_recipe(doc), K)
+
+
+def test_window_edges_and_lost_weeks_are_reported(spark):
+    wiggle = [100 + (i * 37) % 23 for i in range(40)]
+    ds = dataset(spark, rev=("kpi", weekly_source(spark, wiggle, name="revenue"), "revenue"),
+                 google=("spend", weekly_source(spark, wiggle[4:38], dt.date(2022, 1, 31), "spend"), "spend"))
+    found = {(r["code"], r["source"], r["column"]) for r in ds.issues.where("code IN ('window_boundary', 'source_window_trimmed')").collect()}
+    assert found == {("window_boundary", "google", "start"), ("window_boundary", "google", "end"), ("source_window_trimmed", "rev", None)}
+    assert ds.data.agg(F.min("week_start")).first()[0] == dt.date(2022, 1, 31)
+
+
+def test_dependent_channels_are_flagged_and_others_not(spark):
+    rng = np.random.default_rng(1)
+    a, b, noise, kpi = rng.uniform(10, 100, 40), rng.uniform(10, 100, 40), rng.normal(0, 0.01, 40), 1000 + rng.normal(0, 20, 40)
+    for c, flagged in ((a + b + noise, True), (rng.uniform(10, 100, 40), False)):
+        ds = dataset(spark, rev=("kpi", weekly_source(spark, kpi, name="revenue"), "revenue"),
+                     **{n: ("spend", weekly_source(spark, x, name=f"spend_{n}"), f"spend_{n}") for n, x in (("a", a), ("b", b), ("c", c))})
+        assert (ds.issues.where("code = 'multicollinearity'").count() > 0) == flagged
+
+
+def test_a_flag_booked_as_spend_stops_the_build_and_a_hint_does_not(spark):
+    kpi = weekly_source(spark, [100 + (i * 37) % 23 for i in range(60)], name="revenue")
+    flag = weekly_source(spark, [i % 2 for i in range(60)], name="campaign")
+    ds = dataset(spark, rev=("kpi", kpi, "revenue"), flag=("spend", flag, "campaign"))
+    issue = ds.issues.where("code = 'binary_column_as_spend' AND `column` = 'campaign'").first()
+    assert issue["severity"] == "error" and ds.verdict.first()["verdict"] == "not_usable"
+    rising = weekly_source(spark, range(1000, 1060), name="revenue")
+    ds = dataset(spark, rev=("kpi", rising, "revenue"), ads=("spend", weekly_source(spark, [5 + (i * 31) % 17 for i in range(60)], name="ads"), "ads"))
+    hint = ds.issues.where("code = 'looks_like_identifier'").first()
+    assert hint["severity"] == "warning" and ds.verdict.first()["verdict"] != "not_usable"
+
+
+def test_copies_count_by_cadence(spark):
+    """Identical rows are bookings where rows are daily, and copies where they are weekly."""
+    days = [("daily", (dt.date(2022, 1, 3) + dt.timedelta(days=i)).isoformat(), 1.0) for i in range(70) for _ in range(2)]
+    weeks = [("weekly", (dt.date(2022, 1, 3) + dt.timedelta(days=7 * i)).isoformat(), 5.0 + i) for i in range(10) for _ in range(3)]
+    nulls = [("weekly", "2022-01-03", None), ("weekly", "2022-01-03", None), (None, "2022-01-03", 4.0)]
+    df = spark.createDataFrame(days + weeks + nulls, "panel string, date string, revenue double")
+    ds = dataset(spark, rev=("kpi", df, "revenue"))
+    got = {(r["panel"], r["week_start"]): r["value"] for r in ds.data.collect()}
+    assert got["daily", dt.date(2022, 1, 10)] == 14.0 and got["weekly", dt.date(2022, 1, 10)] == 6.0 and got["weekly", dt.date(2022, 1, 3)] == 5.0
+    codes = {(r["panel"], r["code"]) for r in ds.issues.collect()}
+    assert ("daily", "duplicate_rows") in codes and ("weekly", "duplicate_rows_dropped") in codes
+
+
+def test_a_source_is_read_once(spark, tmp_path):
+    weekly_source(spark, [100 + (i * 37) % 23 for i in range(30)], name="revenue").write.parquet(f"{tmp_path}/rev")
+    source = spark.read.parquet(f"{tmp_path}/rev")
+    ds = dataset(spark, rev=("kpi", source, "revenue"))
+    for part in (ds.data, ds.issues, ds.verdict):
+        assert str(tmp_path) not in part._jdf.queryExecution().executedPlan().toString()
+
+
+def test_different_rows_tell_nulls_apart(spark):
+    rows = [("p", "a", None, 1), ("p", None, "a", 1), ("p", "a", None, 1), ("p", "", None, 1)]
+    df = spark.createDataFrame(rows, "panel string, x string, y string, ts int")
+    got = sorted((r["x"] or "-", r["y"] or "-", r["_copies"]) for r in wk.different_rows(df, K, "ts", ["panel", "x", "y", "ts"], ["x", "y"]).collect())
+    assert got == [("-", "-", 1), ("-", "a", 1), ("a", "-", 2)]

@@ -15,8 +15,8 @@ from tidemark.operators.weekly import median_day_gap
 
 
 def duplicate_dates(raw: DataFrame, keys: list[str], ts: str, columns: list[str]) -> DataFrame:
-    """Dates that carry more than one distinct row."""
-    distinct = raw.select(*columns).distinct()
+    """Dates that carry more than one distinct row; rows of ``weekly.different_rows`` are distinct already."""
+    distinct = raw if "_copies" in raw.columns else raw.select(*columns).distinct()
     per_day = (distinct.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("rows"))
                .where(F.col("rows") > 1))
     return (per_day.groupBy(*keys).agg(F.sum("rows").alias("n_rows"), F.count(F.lit(1)).alias("n_dates"))
@@ -25,7 +25,8 @@ def duplicate_dates(raw: DataFrame, keys: list[str], ts: str, columns: list[str]
 
 def partial_edge_weeks(raw: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """First or last week with far fewer rows than the typical inner week."""
-    per_week = raw.groupBy(*keys, week_start(F.col(ts)).alias(WEEK)).agg(F.count(F.lit(1)).alias("rows"))
+    rows = F.sum("_copies") if "_copies" in raw.columns else F.count(F.lit(1))
+    per_week = raw.groupBy(*keys, week_start(F.col(ts)).alias(WEEK)).agg(rows.alias("rows"))
     w = Window.partitionBy(*keys)
     marked = (per_week.withColumn("first", F.col(WEEK) == F.min(WEEK).over(w))
               .withColumn("last", F.col(WEEK) == F.max(WEEK).over(w)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import fixed_values as fx
-from tidemark.frames import previous_in_order, union_all
+from tidemark.frames import previous_in_order, stored, union_all
 from tidemark.functions.dates import parse_date
 from tidemark.functions.numbers import to_number
 
@@ -59,7 +59,8 @@ def numeric_share(cells: DataFrame, keys: list[str], raw: str = "raw") -> DataFr
 
 def looks_like_identifier(cells: DataFrame, keys: list[str], order: str, raw: str = "raw") -> DataFrame:
     """Near-unique whole numbers that only go up in row order."""
-    values = (cells.withColumn("_v", to_number(F.col(raw))).where(F.col("_v").isNotNull())
+    number = F.col(raw) if dict(cells.dtypes)[raw] == "double" else to_number(F.col(raw))
+    values = (cells.withColumn("_v", number).where(F.col("_v").isNotNull())
               .select(*keys, order, "_v"))
     stepped = previous_in_order(values, keys, order, "_v", "_p")
     rising = F.coalesce(F.min((F.col("_v") > F.col("_p")).cast("int")), F.lit(1))
@@ -72,22 +73,31 @@ def looks_like_identifier(cells: DataFrame, keys: list[str], order: str, raw: st
 def column_facts(cells: DataFrame, keys: list[str], order: str, raw: str = "raw") -> DataFrame:
     """Everything the role rules need per column, from partial aggregates.
 
-    ``few``: up to six distinct values decide every "barely varies" rule, so exact distinct
-    counting of a large column is never needed.
+    Values are put in row order only for columns that may rise all the way: whole, as wide as they are long, the first
+    the least and the last the largest. Rows of ``weekly.different_rows`` count once; a value whose row was repeated does
+    not rise.
     """
-    v = to_number(F.col(raw))
-    year = F.col("_year")
-    parsed = cells.withColumn("_v", v).withColumn("_year", F.year(parse_date(F.col(raw))))
+    number = dict(cells.dtypes)[raw] == "double"
+    v = F.col(raw) if number else to_number(F.col(raw))
+    year = F.lit(None).cast("int") if number else F.year(parse_date(F.col(raw)))
+    copies = F.col("_copies") if "_copies" in cells.columns else F.lit(1)
+    parsed = cells.select(*keys, order, raw, v.alias("_v"), year.alias("_year"), copies.alias("_n"))
+    whole = F.min((F.col("_v") == F.round("_v")).cast("int")) == 1
+    place = F.when(F.col("_v").isNotNull(), F.struct(F.col(order), F.col("_v")))   # of one place the least, or largest, counts
     base = parsed.groupBy(*keys).agg(
         F.count(raw).alias("n"), F.count("_v").alias("n_num"),
         F.min("_v").alias("lo"), F.max("_v").alias("hi"),
         F.count_if(F.col("_v") < 0).alias("n_negative"),
         F.count_if(F.col("_v").isNotNull() & ~F.col("_v").isin(0.0, 1.0)).alias("n_not_binary"),
-        F.count_if(F.coalesce(year.between(fx.DATE_MIN_YEAR, fx.DATE_MAX_YEAR), F.lit(False))).alias("n_date"))
-    distinct = (cells.withColumn("_v", v).where(F.col("_v").isNotNull()).select(*keys, "_v").distinct()
+        F.count_if(F.coalesce(F.col("_year").between(fx.DATE_MIN_YEAR, fx.DATE_MAX_YEAR), F.lit(False))).alias("n_date"),
+        (whole & (F.count("_v") >= fx.ID_MIN_ROWS) & (F.max("_v") - F.min("_v") >= F.count("_v") - 1) & (F.min_by("_v", place) == F.min("_v"))
+         & (F.max_by("_v", place) == F.max("_v")) & (F.max(F.when(F.col("_v").isNotNull(), F.col("_n"))) == 1)).alias("_may_rise"))
+    base = stored(base, "facts")
+    distinct = (parsed.where(F.col("_v").isNotNull()).select(*keys, "_v").distinct()
                 .groupBy(*keys).agg(F.count(F.lit(1)).alias("n_distinct")))
-    return (base.join(distinct, keys, "left")
-            .join(looks_like_identifier(cells, keys, order, raw), keys, "left")
+    rising = cells.join(base.where("_may_rise").select(*keys), keys, "left_semi")
+    return (base.drop("_may_rise").join(distinct, keys, "left")
+            .join(looks_like_identifier(rising, keys, order, raw), keys, "left")
             .withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
             .withColumn("is_identifier", F.coalesce("is_identifier", F.lit(False))))
 

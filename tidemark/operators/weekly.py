@@ -18,8 +18,37 @@ def drop_bad_dates(df: DataFrame, ts: str) -> DataFrame:
     return df.where(F.col(ts).isNotNull())
 
 
+def different_rows(df: DataFrame, keys: list[str], ts: str, whole: list[str], kept: list[str]) -> DataFrame:
+    """Every different raw row once: (keys, ts, kept, _copies, _first).
+
+    Rows are told apart by two hashes of the columns ``whole`` within their panel and moment, so that only the columns
+    ``kept`` travel; copies are folded inside tasks before anything moves. ``_first`` is the place of the first copy.
+    One read of a source ends here: dates, copies, edges, cadence, roles and weekly sums all follow from these rows.
+    """
+    # hashes pass over nulls, so where these stand is hashed too
+    cells = [F.col(c) for c in whole] + [F.concat_ws("", *[F.col(c).isNull().cast("string") for c in whole])]
+    rows = df.select(*keys, ts, *[c for c in kept if c not in (*keys, ts)], F.xxhash64(*cells).alias("_h1"), F.hash(*cells).alias("_h2"),
+                     F.monotonically_increasing_id().alias("_first"))
+    cells = [F.any_value(c).alias(c) for c in kept if c not in (*keys, ts)]
+    return (rows.groupBy(*keys, ts, "_h1", "_h2").agg(*cells, F.count(F.lit(1)).alias("_copies"), F.min("_first").alias("_first")).drop("_h1", "_h2"))
+
+
+def keeps_copies(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """(keys, keeps): whether a panel's rows are daily, so that identical ones are bookings of their own."""
+    gaps = median_day_gap(df, keys, ts)
+    return gaps.select(*keys, F.coalesce(F.col("median_gap") < fx.DAILY_GAP_DAYS, F.lit(False)).alias("keeps"))
+
+
+def copy_issues(rows: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """As :func:`identical_row_issues`, from :func:`different_rows`."""
+    extra = rows.groupBy(*keys).agg(F.sum(F.col("_copies") - 1).alias("n")).where(F.col("n") > 0)
+    code = F.when(F.coalesce("keeps", F.lit(False)), "duplicate_rows").otherwise("duplicate_rows_dropped")
+    return extra.join(keeps_copies(rows, keys, ts), keys, "left").select(*keys, code.alias("code"), "n")
+
+
 def bad_date_issues(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    n = df.groupBy(*keys).agg(F.count_if(F.col(ts).isNull()).alias("n"))
+    copies = F.col("_copies") if "_copies" in df.columns else F.lit(1)
+    n = df.groupBy(*keys).agg(F.sum(F.when(F.col(ts).isNull(), copies).otherwise(0)).alias("n"))
     return n.where(F.col("n") > 0).withColumn("code", F.lit("unparseable_dates"))
 
 
@@ -107,6 +136,18 @@ def window_trim_report(weekly: DataFrame, window: DataFrame, keys: list[str]) ->
         (F.min(WEEK) == start).alias("pins_start"), (F.max(WEEK) == end).alias("pins_end"))
 
 
+def window_issues(weekly: DataFrame, window: DataFrame, keys: list[str], essential: list[str]) -> DataFrame:
+    """(keys, source, column, n, code, severity): which essential source sets which edge of the window, and the weeks of
+    each source that lie outside."""
+    r = window_trim_report(weekly, window, keys)
+    outside = F.col("weeks_before") + F.col("weeks_after")
+    lost = r.where(outside > 0).select(*keys, "source", F.lit(None).cast("string").alias("column"), outside.alias("n"), F.lit("source_window_trimmed").alias("code"))
+    edges = F.array_compact(F.array(F.when(F.col("pins_start"), "start"), F.when(F.col("pins_end"), "end")))
+    pins = r.where(F.col("source").isin(*essential)).select(*keys, "source", F.explode(edges).alias("column"), F.lit(None).cast("long").alias("n"),
+                                                            F.lit("window_boundary").alias("code"))
+    return lost.unionByName(pins).withColumn("severity", F.lit("info"))
+
+
 def reindex_grid(weekly: DataFrame, window: DataFrame, keys: list[str]) -> DataFrame:
     """Every series on every week of its panel's window; absent weeks are NULL."""
     weeks = F.explode(F.sequence("window_start", "window_end", F.expr("interval 7 days")))

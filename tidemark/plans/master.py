@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from tidemark.frames import WEEK, union_all
+from tidemark.frames import WEEK, stored, union_all
 from tidemark.operators import quality as ql, weekly as wk
 
 
@@ -30,18 +29,19 @@ def from_weekly(weekly: DataFrame, keys: list[str], essential: list[str]) -> Mas
 
 def weekly_master(raw: DataFrame, keys: list[str], essential: list[str], ts: str = "ts",
                   null_weeks: str = "zero") -> Master:
-    """From raw rows. The scan and the one large shuffle end in the weekly table; it is persisted
+    """From raw rows. The scan and the one large shuffle end in the weekly table; it is stored
     so that the spans, the series list and the grid do not scan the sources again.
     """
-    weekly = wk.aggregate_weeks(raw, keys, ts, null_weeks).persist(StorageLevel.MEMORY_AND_DISK)
+    weekly = stored(wk.aggregate_weeks(raw, keys, ts, null_weeks), "weekly")
     return from_weekly(weekly, keys, essential)
 
 
 def build_master(raw: DataFrame, keys: list[str], essential: list[str], fills: dict[str, str] | None = None,
-                 events: DataFrame | None = None, null_weeks: str = "zero") -> tuple[Master, DataFrame]:
+                 events: DataFrame | None = None, null_weeks: str = "zero", predictors: list[str] | None = None) -> tuple[Master, DataFrame]:
     """Master table and its issues: fills, event dummies, then every quality rule.
 
-    ``fills`` maps a control series to one of the six fills.
+    ``fills`` maps a control series to one of the six fills. ``predictors`` names the channels and controls whose
+    collinearity is judged (pairs of channels that move together, variance inflation of all); without it both are left out.
     """
     fills = fills or {}
     m = weekly_master(raw, keys, essential, null_weeks=null_weeks)
@@ -62,13 +62,17 @@ def build_master(raw: DataFrame, keys: list[str], essential: list[str], fills: d
         _issue(ql.outlier_weeks(data, keys, kpi=False), keys),
         _issue(ql.degenerate_columns(data, keys), keys),
         _issue(ql.over_parameterised(data, keys), keys),
+        _issue(wk.window_issues(m.weekly, m.window, keys, essential).withColumnRenamed("source", "series"), keys),
     ]
+    if predictors and len(predictors) > 1:
+        spend = data.where((F.col("role") == "spend") & F.col("series").isin(*predictors))
+        parts.append(_issue(ql.near_identical(spend, keys, predictors).withColumnRenamed("a", "series"), keys))
+    if predictors and len(predictors) > 2:
+        parts.append(_issue(ql.multicollinearity(data, keys, predictors), keys))
     return Master(m.weekly, m.window, m.gappy, data), union_all(parts)
 
 
 def _issue(df: DataFrame, keys: list[str], severity: str | None = None) -> DataFrame:
-    from pyspark.sql import functions as F
-
     series = F.col("series") if "series" in df.columns else F.lit(None).cast("string")
     level = F.col("severity") if "severity" in df.columns else F.lit(severity or "warning")
     return df.select(*keys, F.col("code"), level.alias("severity"), series.alias("series")).distinct()
@@ -76,7 +80,5 @@ def _issue(df: DataFrame, keys: list[str], severity: str | None = None) -> DataF
 
 def quality_verdict(issues: DataFrame, panels: DataFrame, keys: list[str]) -> DataFrame:
     """Verdict of every panel; one without issues is usable."""
-    from pyspark.sql import functions as F
-
     return (panels.select(*keys).distinct().join(wk.verdict(issues, keys), keys, "left")
             .withColumn("verdict", F.coalesce("verdict", F.lit("usable"))))

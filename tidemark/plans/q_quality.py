@@ -8,7 +8,8 @@ from tidemark import fixed_values as fx
 from tidemark.frames import WEEK
 from tidemark.functions.dates import week_start
 from tidemark.operators import quality as ql, weekly as wk
-from tidemark.plans.inputs import CHANNELS, CONTROLS, KEYS, MASTER_SQL, RAW_SQL, master, media, raw_long, shop, table
+from tidemark.plans.inputs import CHANNELS, CONTROLS, ESSENTIAL, KEYS, MASTER_SQL, RAW_SQL, master, media, raw_long, shop, table
+from tidemark.plans import master as ms
 from tidemark.plans.q_features import WIDE_SQL
 from tidemark.plans.registry import query
 
@@ -142,3 +143,47 @@ def _(spark, sf):
     parts = [wk.gap_report(g.where(F.col("role") == "control"), KEYS).select("panel", "series", "code", "n"),
              wk.imputation_report(g, KEYS).select("panel", "series", "code", "n")]
     return ql.collect_issues(parts)
+
+
+JUDGED = ["ch_a_f", "ch_n_o", "ch_r_f"]       # three predictors: their variance inflation has a closed form
+R = {(a, b): f"corr({a},{b})" for a in JUDGED for b in JUDGED}
+
+
+def _inflation(a, b, c):
+    ab, ac, bc = R[a, b], R[a, c], R[b, c]
+    return f"1/(1-({ab}*{ab}+{ac}*{ac}-2*{ab}*{ac}*{bc})/(1-{bc}*{bc}))"
+
+
+VIF_SQL = " UNION ALL ".join(f"SELECT panel, '{a}' AS series, {_inflation(a, b, c)} AS vif FROM wide GROUP BY panel"
+                             for a, b, c in (JUDGED, JUDGED[1:] + JUDGED[:1], JUDGED[2:] + JUDGED[:2]))
+
+
+@query("q_vif_three", f"WITH {WIDE_SQL}, v AS ({VIF_SQL}) SELECT panel, series, round(vif,6) AS vif FROM v")
+def _(spark, sf):
+    return ql.vif(master(spark, sf).data, KEYS, JUDGED).withColumn("vif", F.round("vif", 6))
+
+
+DEGENERATE_SQL = """SELECT panel, 'negative_spend' AS code, 'warning' AS severity, series FROM s WHERE role='spend' AND neg>0
+ UNION ALL SELECT panel, 'all_zero_channel', 'warning', series FROM s WHERE role='spend' AND coalesce(lo=0 AND hi=0, true)
+ UNION ALL SELECT panel, 'binary_column_as_spend', 'error', series FROM s WHERE role='spend' AND n>0 AND other=0 AND lo<hi
+ UNION ALL SELECT panel, 'zero_variance_column', 'warning', series FROM s WHERE role<>'spend' AND n>=2 AND lo=hi"""
+
+
+@query("master_issues", f"""WITH {WIDE_SQL}, {Z_SQL}, {LOCAL_SQL}, v AS ({VIF_SQL}), p AS ({PAIRS}),
+ s AS (SELECT panel, series, role, count(value) AS n, count(*) FILTER (value<0) AS neg, min(value) AS lo, max(value) AS hi, count(*) FILTER (value IS NOT NULL AND value NOT IN (0,1)) AS other FROM master GROUP BY 1,2,3),
+ t AS (SELECT w.panel, source, count(*) FILTER (week_start<window_start OR week_start>window_end) AS lost, min(week_start)=any_value(window_start) AS a, max(week_start)=any_value(window_end) AS z
+   FROM (SELECT DISTINCT panel, source, week_start FROM weekly) w JOIN win ON w.panel=win.panel GROUP BY 1,2)
+ SELECT DISTINCT * FROM (SELECT panel, role||'_gaps' AS code, 'warning' AS severity, series FROM gappy WHERE value IS NULL AND role<>'spend'
+  UNION ALL SELECT panel, 'spend_imputed_zero', 'info', series FROM gappy WHERE value IS NULL AND role='spend'
+  UNION ALL SELECT panel, 'year_end_anomaly', 'warning', series FROM rz WHERE role='kpi' AND abs(robust_z)>5 AND n_values>=8 AND week(week_start) IN (1,52,53)
+  UNION ALL SELECT panel, CASE WHEN role='kpi' THEN 'kpi_outlier_weeks' ELSE 'predictor_outlier_weeks' END, CASE WHEN role='kpi' THEN 'warning' ELSE 'info' END, series FROM loc WHERE is_outlier AND n_values>=8
+  UNION ALL {DEGENERATE_SQL}
+  UNION ALL SELECT panel, 'too_many_parameters', CASE WHEN w<4*c THEN 'error' ELSE 'warning' END, NULL FROM (SELECT panel, count(DISTINCT week_start) AS w, count(DISTINCT series) FILTER (role='spend') AS c FROM master GROUP BY 1) WHERE w<8*c
+  UNION ALL SELECT panel, 'source_window_trimmed', 'info', source FROM t WHERE lost>0
+  UNION ALL SELECT panel, 'window_boundary', 'info', source FROM t WHERE (a OR z) AND source IN ('shop','media')
+  UNION ALL SELECT panel, 'near_identical_channels', 'warning', a FROM p WHERE abs(r)>=0.95 AND a IN ('{"','".join(JUDGED)}') AND b IN ('{"','".join(JUDGED)}')
+  UNION ALL SELECT panel, 'multicollinearity', 'warning', series FROM v WHERE vif>=10)""")
+def _(spark, sf):
+    """Every finding of a master build, with the collinearity of three channels."""
+    _built, issues = ms.build_master(raw_long(spark, sf), KEYS, ESSENTIAL, predictors=JUDGED)
+    return issues.select("panel", "code", "severity", "series").distinct()

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark import fixed_values as fx
 from tidemark.frames import WEEK, to_wide
 from tidemark.functions.dates import iso_week, iso_year, parse_date, week_start
 from tidemark.operators import quality as ql, weekly as wk
@@ -183,3 +184,35 @@ RECIPE = {
 def _(spark, sf):
     frames = {"shop": shop(spark, sf).select("panel", "order_id", "ts", "cents"), "media": media(spark, sf).drop("channel", "line")}
     return rc.build_dataset(frames, rc.parse_recipe(RECIPE), KEYS).data
+
+
+def _raw_rules(name, rows):
+    """The rules on the raw rows of one source as SQL; ``rows`` is its table."""
+    return f"""{name}_m AS (SELECT *, count(*) AS copies FROM {rows} GROUP BY ALL),
+ {name}_g AS (SELECT panel, CASE WHEN count(*)>=3 THEN quantile_cont(gap::DOUBLE,0.5) END AS g FROM (SELECT panel, day-lag(day) OVER (PARTITION BY panel ORDER BY day) AS gap FROM (SELECT DISTINCT panel, CAST(ts AS DATE) AS day FROM {name}_m)) GROUP BY 1),
+ {name}_d AS (SELECT panel, sum(k) AS n FROM (SELECT panel, CAST(ts AS DATE) AS day, count(*) AS k FROM {name}_m GROUP BY 1,2 HAVING count(*)>1) GROUP BY 1),
+ {name}_w AS (SELECT panel, CAST(date_trunc('week', ts) AS DATE) AS week_start, sum(copies) AS k FROM {name}_m GROUP BY 1,2),
+ {name}_e AS (SELECT *, week_start=min(week_start) OVER (PARTITION BY panel) AS f, week_start=max(week_start) OVER (PARTITION BY panel) AS l FROM {name}_w),
+ {name}_t AS (SELECT panel, count(*) AS n, quantile_cont(k::DOUBLE,0.5) FILTER (NOT f AND NOT l) AS md FROM {name}_e GROUP BY 1),
+ {name}_i AS (SELECT m.panel, CASE WHEN g<5 THEN 'duplicate_rows' ELSE 'duplicate_rows_dropped' END AS code FROM (SELECT panel, sum(copies-1) AS x FROM {name}_m GROUP BY 1 HAVING x>0) m JOIN {name}_g g ON m.panel=g.panel
+   UNION ALL SELECT panel, 'duplicate_dates_aggregated' FROM {name}_d
+   UNION ALL SELECT e.panel, 'partial_edge_week' FROM {name}_e e JOIN {name}_t t ON e.panel=t.panel WHERE (f OR l) AND n>=3 AND md>=2 AND k<0.6*md
+   UNION ALL SELECT panel, 'coarse_cadence' FROM {name}_g WHERE g>10)"""
+
+
+RAW_CODES = ("duplicate_rows", "duplicate_rows_dropped", "duplicate_dates_aggregated", "partial_edge_week", "coarse_cadence", "unparseable_dates", "source_window_trimmed",
+             "window_boundary", *fx.BLOCKING_ROLE_CODES)
+
+
+@query("recipe_raw_issues", f"""WITH {RAW_SQL}, sr AS (SELECT panel, order_id, ts, cents FROM shop), mr AS (SELECT panel, ts, spend, qty, tax FROM media), {_raw_rules('sh', 'sr')}, {_raw_rules('me', 'mr')},
+ sp AS (SELECT panel, 'shop' AS source, week_start FROM sh_w UNION ALL SELECT panel, 'media', week_start FROM me_w),
+ wi AS (SELECT panel, max(lo) AS a, min(hi) AS z FROM (SELECT panel, source, min(week_start) AS lo, max(week_start) AS hi FROM sp GROUP BY 1,2) GROUP BY 1 HAVING a<=z),
+ ed AS (SELECT sp.panel, source, count(*) FILTER (week_start<a OR week_start>z) AS lost, min(week_start)=any_value(a) AS pa, max(week_start)=any_value(z) AS pz FROM sp JOIN wi ON sp.panel=wi.panel GROUP BY 1,2)
+ SELECT panel, code, CASE WHEN code LIKE '%window%' THEN 'info' ELSE 'warning' END AS severity, source, "column" FROM (
+  SELECT DISTINCT panel, code, 'shop' AS source, NULL AS "column" FROM sh_i UNION ALL SELECT DISTINCT panel, code, 'media', NULL FROM me_i
+  UNION ALL SELECT panel, 'source_window_trimmed', source, NULL FROM ed WHERE lost>0 UNION ALL SELECT panel, 'window_boundary', source, 'start' FROM ed WHERE pa UNION ALL SELECT panel, 'window_boundary', source, 'end' FROM ed WHERE pz)""")
+def _(spark, sf):
+    """What a recipe build finds in the raw rows, the declared columns and the shared window."""
+    frames = {"shop": shop(spark, sf).select("panel", "order_id", "ts", "cents"), "media": media(spark, sf).drop("channel", "line")}
+    found = rc.build_dataset(frames, rc.parse_recipe(RECIPE), KEYS).issues
+    return found.where(F.col("code").isin(*RAW_CODES)).select("panel", "code", "severity", "source", "column").distinct()

@@ -99,8 +99,25 @@ def numeric_columns(df: DataFrame, columns: list[str], keys: list[str]) -> tuple
     return out, cs.style_issues(styles, keys, "column")
 
 
+def role_findings(rows: DataFrame, roles: dict[str, str], keys: list[str], order: str) -> DataFrame:
+    """Findings about declared columns, as issues: those that are a plain statement about the values stop a build, hints
+    (a column that looks like an identifier) warn. ``rows`` holds the columns as they were read."""
+    names = list(roles)
+    extra = [c for c in ("_copies",) if c in rows.columns]
+    cells = rows.select(*keys, order, *extra, *[F.col(c).cast("string").alias(c) for c in names]).unpivot([*keys, order, *extra], names, "column", "raw")
+    panels = rows.select(*keys).distinct()
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(r).alias("role")) for c, r in roles.items()]))
+    at = [*keys, "column"]
+    found = rl.role_gate(rl.validate_roles(panels.select(*keys, each), rl.column_facts(cells, at, order), at))
+    return found.select(*at, "code", "severity")
+
+
 def prepare_source(df: DataFrame, spec: SourceSpec, keys: list[str]) -> tuple[DataFrame, list[DataFrame]]:
-    """One source to weekly long rows: transforms, dates, copies, numbers, one wide aggregate."""
+    """One source to weekly long rows: transforms, dates, copies, roles, numbers, one wide aggregate.
+
+    The source is read once, into a stored table of its different rows; every rule and the weekly sums follow from that.
+    Sums are taken with and without copies, and which counts is decided on weekly rows.
+    """
     df, notes = apply_transforms(df, list(spec.transforms), spec.name)
     date = spec.date_column or find_date_column(df, keys)
     if date not in df.columns:
@@ -108,19 +125,30 @@ def prepare_source(df: DataFrame, spec: SourceSpec, keys: list[str]) -> tuple[Da
     present = [c for c in spec.columns if c.name in df.columns]
     absent = [("missing_column", "error", spec.name, c.name, None, None) for c in spec.columns if c.name not in df.columns]
     dated = df.withColumn("_ts", as_timestamp(df, date))
-    issues = [notes, wk.bad_date_issues(dated, keys, "_ts")]
-    good = wk.drop_bad_dates(dated, "_ts")
-    whole = [c for c in good.columns if c not in ("ingest_id",)]
-    issues += [wk.identical_row_issues(good, keys, "_ts", whole), ql.duplicate_dates(good.select(*whole), keys, "_ts", whole),
-               ql.partial_edge_weeks(good, keys, "_ts"), ql.coarse_cadence(good, keys, "_ts")]
-    once = wk.drop_identical_rows(good, keys, "_ts", whole)
-    numbers, styles = numeric_columns(once, [c.name for c in present], keys)
+    whole = [c for c in dated.columns if c not in ("ingest_id",)]
+    rows = stored(wk.different_rows(dated, keys, "_ts", whole, list(dict.fromkeys([date, *[c.name for c in present]]))), "rows")
+    good = wk.drop_bad_dates(rows, "_ts")
+    issues = [notes, wk.bad_date_issues(rows, keys, "_ts"), wk.copy_issues(good, keys, "_ts"), ql.duplicate_dates(good, keys, "_ts", whole),
+              ql.partial_edge_weeks(good, keys, "_ts"), ql.coarse_cadence(good, keys, "_ts"),
+              role_findings(rows, {**{c.name: c.role for c in present}, date: "date"}, keys, "_first")]
+    numbers, styles = numeric_columns(good, [c.name for c in present], keys)
     if styles is not None:
         issues.append(styles)
     if absent:
         issues.append(issue_frame(df.sparkSession, absent))
-    totals = {"kpi": lambda c: F.coalesce(F.sum(c), F.lit(0.0)), "spend": lambda c: F.coalesce(F.sum(c), F.lit(0.0)), "control": F.avg}
-    weekly = numbers.groupBy(*keys, week_start(F.col("_ts")).alias(WEEK)).agg(*[totals[c.role](c.name).alias(c.series) for c in present])
+    n = F.col("_copies").cast("double")
+
+    def sums(c: ColumnSpec) -> list[Column]:
+        v = F.col(c.name)
+        seen = F.when(v.isNotNull(), n)
+        if c.role == "control":
+            return [F.avg(v).alias(f"_one_{c.series}"), (F.sum(v * n) / F.sum(seen)).alias(f"_all_{c.series}")]
+        return [F.coalesce(F.sum(v), F.lit(0.0)).alias(f"_one_{c.series}"), F.coalesce(F.sum(v * n), F.lit(0.0)).alias(f"_all_{c.series}")]
+
+    weekly = numbers.groupBy(*keys, week_start(F.col("_ts")).alias(WEEK)).agg(*[x for c in present for x in sums(c)])
+    weekly = weekly.join(wk.keeps_copies(good, keys, "_ts"), keys, "left")
+    weekly = weekly.select(*keys, WEEK, *[F.when(F.coalesce("keeps", F.lit(False)), F.col(f"_all_{c.series}")).otherwise(F.col(f"_one_{c.series}")).alias(c.series)
+                                          for c in present])
     long = to_long(weekly, keys, {c.series: c.role for c in present}).withColumn("source", F.lit(spec.name))
     return long, [i.withColumn("source", F.lit(spec.name)) for i in issues]
 
@@ -157,7 +185,8 @@ def build_dataset(frames: dict[str, DataFrame], recipe: Recipe, keys: list[str])
     m = from_weekly(weekly, keys, [s.name for s in recipe.sources if s.essential])
     issues += [m.window.where(F.col("problem").isNotNull()).select(*keys, F.col("problem").alias("code"), F.lit("error").alias("severity")),
                wk.gap_report(m.gappy, keys, list(fills)).withColumn("severity", F.lit("warning")),
-               wk.imputation_report(m.gappy, keys).withColumn("severity", F.lit("info"))]
+               wk.imputation_report(m.gappy, keys).withColumn("severity", F.lit("info")),
+               wk.window_issues(weekly, m.window, keys, [s.name for s in recipe.sources if s.essential])]
     data = m.data
     for series, strategy in fills.items():
         data = wk.fill_missing(data, keys, strategy, [series])
@@ -183,6 +212,9 @@ def build_dataset(frames: dict[str, DataFrame], recipe: Recipe, keys: list[str])
               ql.degenerate_columns(data, keys), ql.over_parameterised(data, keys)]
     if len(spend) > 1:
         checks.append(ql.near_identical(data, keys, spend))
+    predictors = [n for n, r in roles.items() if r in ("spend", "control")]
+    if len(predictors) > 2:
+        checks.append(ql.multicollinearity(data, keys, predictors))
     flat = union_all([_flat(i, keys) for i in [*issues, *checks]])
     return Dataset(data, m.window, flat, quality_verdict(flat, weekly.select(*keys), keys), roles)
 
