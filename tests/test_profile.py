@@ -12,7 +12,7 @@ S = ["series"]
 def test_missing_runs(spark):
     v = [100.0, None, None, 120.0, None, 90.0]
     df = spark.createDataFrame([("a", i, monday(i, dt.date(2025, 1, 6)), x) for i, x in enumerate(v)], "series string, at int, day date, value double")
-    runs = pf.kept_runs(pf.missing_runs(df, S, "at", label="day"), S)
+    runs = pf.kept_runs(pf.missing_runs(df, S, "at", label="day"), S, 24)
     assert sorted((r["start"], r["length"], str(r["start_label"])) for r in runs.collect()) == [(1, 2, "2025-01-13"), (4, 1, "2025-02-03")]
     assert pf.longest_gap(runs, S).first()["longest_missing_run"] == 2
 
@@ -68,7 +68,7 @@ def test_staleness_is_transitive(spark):
 def test_event_log_clips(spark):
     long = "x" * 2500
     df = spark.createDataFrame([("s" * 80, "info", "e" * 200, long, None, 1), ("s", "loud", "e", "m", None, 2)], "session_id string, level string, event string, message string, detail string, id int")
-    r = el.clean_events(df).collect()
+    r = el.clean_events(df, clip=True).collect()
     assert len(r) == 1 and len(r[0]["session_id"]) == 64 and len(r[0]["event"]) == 120 and r[0]["message"] == "x" * 2000 + "… [afgekapt, 2500 tekens]"
 
 
@@ -96,7 +96,7 @@ def test_upload_rules(spark):
     rows = [("p", "a.csv", 1, 10, "csv", "h"), ("p", "b.csv", 2, 10, "csv", "h"), ("q", "c.csv", 3, 10, "csv", "h"),
             ("p", "d.csv", 4, 0, "csv", None), ("p", "e.csv", 5, 60 * 2 ** 20, "csv", None)]
     df = spark.createDataFrame(rows, "project string, path string, created_at int, length bigint, extension string, sha256 string")
-    r = {x["path"]: x["refused"] for x in rd.judge_uploads(df).collect()}
+    r = {x["path"]: x["refused"] for x in rd.judge_uploads(df, 50 * 1024 * 1024).collect()}
     assert r == {"a.csv": None, "b.csv": "duplicate_upload", "c.csv": None, "d.csv": "empty", "e.csv": "too_large"}
 
 

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates as dt, numbers as nm, text as tx
 from tidemark.operators import casting as cs, transforms as tf
-from tidemark.types import ColumnSpec, SourceSpec, Transform
+from tidemark.plans.recipe import parse_recipe
+from tidemark.types import ColumnSpec, SourceSpec, Transform, spec_problems
 
 
 @pytest.fixture
@@ -121,9 +122,15 @@ def test_number_check_matches_brute_force(spark):
     assert got == want
 
 
-def test_source_spec_refuses_double_names():
-    with pytest.raises(ValueError):
-        SourceSpec("s", (ColumnSpec("a", "kpi", "x"), ColumnSpec("b", "spend", "x")))
+def test_problems_of_declared_sources():
+    good = SourceSpec("s", (ColumnSpec("a", "kpi"), ColumnSpec("b", "control", fill="mean")))
+    bad = SourceSpec("s", (ColumnSpec("a", "kpi", "x"), ColumnSpec("b", "spend", "x", "mean"), ColumnSpec("c", "price"), ColumnSpec("d", "control", fill="guess")))
+    assert spec_problems([good]) == []
+    assert spec_problems([good, bad, SourceSpec("e", ())]) == [
+        ("source_named_twice", "s", None), ("output_named_twice", "s", "a"), ("fill_needs_control", "s", "b"), ("output_named_twice", "s", "b"),
+        ("unknown_role", "s", "c"), ("unknown_fill", "s", "d"), ("source_without_columns", "e", None)]
+    with pytest.raises(ValueError, match="fill_needs_control: s.b"):
+        parse_recipe({"sources": [{"name": "s", "columns": [{"name": "b", "role": "spend", "fill": "zero"}]}]})
 
 
 def test_declared_columns_and_collisions(spark):

@@ -23,7 +23,7 @@ from tidemark import fixed_values as fx
 from tidemark.frames import WEEK, over
 from tidemark.functions.response import alpha_from_half_life, hill_effect, logistic_effect
 from tidemark.operators.features import fourier
-from tidemark.operators.fit import kernel, scale, scalers
+from tidemark.operators.fit import block_repeats, kernel, nonnegative, scale, scalers, weighted_systems
 from tidemark.operators.response import lags
 
 COUNTS = ("negative_binomial", "poisson")
@@ -172,33 +172,6 @@ def prior_terms(panel: DataFrame, priors: DataFrame, keys: list[str], free: list
 
 # --- small solves --------------------------------------------------------------------------------
 
-def nonnegative(a: np.ndarray, r: np.ndarray, n_free: int) -> np.ndarray:
-    """The b that makes b'ab/2 - r'b least with the coefficients after ``n_free`` at 0 or above.
-
-    Block exchange of the bounded set, one coefficient at a time once it stops shrinking; ``a`` is positive definite.
-    """
-    p, fixed = len(r), np.zeros(len(r), bool)
-    best, tries = p + 1, 3
-    tol = 1e-10 * (1 + np.abs(r).max(initial=0.0))
-    while True:
-        b = np.zeros(p)
-        on = ~fixed
-        b[on] = np.linalg.solve(a[np.ix_(on, on)], r[on])
-        g = a @ b - r
-        wrong = (on & (b < 0)) | (fixed & (g < -tol))
-        wrong[:n_free] = False
-        n = int(wrong.sum())
-        if not n:
-            return b
-        if n < best:
-            best, tries = n, 3
-        elif tries:
-            tries -= 1
-        else:
-            wrong[:np.flatnonzero(wrong)[-1]] = False
-        fixed ^= wrong
-
-
 @dataclass
 class Prior:
     """Prior of one panel; without stated priors nothing but a trace of ridge is added."""
@@ -447,7 +420,7 @@ def fit_draws(chosen: DataFrame, fitted: DataFrame, keys: list[str], free: list[
     scale stays the fit's.
     """
     columns = [*free, *[f"x_{c}" for c in channels]]
-    n_free, p = len(free), len(columns)
+    n_free = len(free)
     specs = fitted.select(*keys, "coef", "sigma", "dispersion")
     stated = terms is not None
     if stated:
@@ -463,17 +436,9 @@ def fit_draws(chosen: DataFrame, fitted: DataFrame, keys: list[str], free: list[
         like = Likelihood(kind, _outcome(rows, kind), prior)
         like.scale = float(row.dispersion if like.count else row.sigma)
         x, b = rows[columns].to_numpy(float), np.asarray(row.coef, float)
-        blocks = (rows["idx"].to_numpy() // block).astype(int)
-        _, blocks = np.unique(blocks, return_inverse=True)
-        rng = np.random.default_rng([seed, zlib.crc32("|".join(map(str, key)).encode())])
-        repeats = rng.poisson(1.0, (replicates, blocks.max() + 1)).astype(float)
-        if kind == "normal":                          # sums of products by block, weighted for all draws at once
-            w = 1 / like.scale ** 2
-            xx, xz = np.zeros((blocks.max() + 1, p, p)), np.zeros((blocks.max() + 1, p))
-            np.add.at(xx, blocks, w * x[:, :, None] * x[:, None, :])
-            np.add.at(xz, blocks, w * x * like.y[:, None])
-            systems = zip((repeats @ xx.reshape(len(xx), -1)).reshape(replicates, p, p), repeats @ xz)
-            coefs = [nonnegative(*prior.system(a, r), n_free) for a, r in systems]
+        blocks, repeats = block_repeats(rows["idx"], key, replicates, block, seed)
+        if kind == "normal":
+            coefs = [nonnegative(*prior.system(a, r), n_free) for a, r in weighted_systems(x / like.scale, like.y / like.scale, blocks, repeats)]
         else:
             coefs = [climb(x, like, prior, b, n_free, weights=m[blocks], rounds=25, rescale=False)[0] for m in repeats]
         return pd.DataFrame({**{k: [v] * replicates for k, v in zip(keys, key)}, "draw": range(replicates), "coef": [c.tolist() for c in coefs]})

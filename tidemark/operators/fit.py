@@ -7,7 +7,7 @@ receives one p-by-p system per (panel, candidate) and nothing that grows with th
 
 from __future__ import annotations
 
-import math
+import zlib
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
@@ -137,25 +137,57 @@ def gram(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
     return unfold(long.groupBy(*group, "pos").agg(F.sum("v").alias("s")), group, len(columns))
 
 
-def nonneg_solve(xx: np.ndarray, xy: np.ndarray, n_free: int, ridge: float, sweeps: int = 400) -> np.ndarray:
-    """Ridge least squares with the trailing coefficients kept >= 0, by coordinate descent."""
-    a = xx + ridge * np.eye(len(xy)) * max(np.trace(xx) / len(xy), 1e-12)
-    b = np.linalg.lstsq(a, xy, rcond=None)[0]
-    b[n_free:] = np.maximum(b[n_free:], 0.0)
-    for _ in range(sweeps):
-        moved = 0.0
-        for j in range(len(b)):
-            if a[j, j] <= 0:
-                continue
-            step = b[j] + (xy[j] - a[j] @ b) / a[j, j]
-            step = max(step, 0.0) if j >= n_free else step
-            moved = max(moved, abs(step - b[j]))
-            b[j] = step
-        if moved < 1e-10:
-            break
+def nonnegative(a: np.ndarray, r: np.ndarray, n_free: int) -> np.ndarray:
+    """The b that makes b'ab/2 - r'b least with the coefficients after ``n_free`` at 0 or above.
+
+    Block exchange of the bounded set, one coefficient at a time once it stops shrinking; ``a`` is positive definite.
+    """
+    p, fixed = len(r), np.zeros(len(r), bool)
+    best, tries = p + 1, 3
+    tol = 1e-10 * (1 + np.abs(r).max(initial=0.0))
+    for _ in range(100 + 20 * p):
+        b = np.zeros(p)
+        on = ~fixed
+        b[on] = np.linalg.solve(a[np.ix_(on, on)], r[on])
+        g = a @ b - r
+        wrong = (on & (b < 0)) | (fixed & (g < -tol))
+        wrong[:n_free] = False
+        n = int(wrong.sum())
+        if not n:
+            return b
+        if n < best:
+            best, tries = n, 3
+        elif tries:
+            tries -= 1
+        else:
+            wrong[:np.flatnonzero(wrong)[-1]] = False
+        fixed ^= wrong
+    b[n_free:] = np.maximum(b[n_free:], 0.0)      # only rounding can bring the exchange here
     return b
 
 
+def nonneg_solve(xx: np.ndarray, xy: np.ndarray, n_free: int, ridge: float) -> np.ndarray:
+    """Ridge least squares with the trailing coefficients kept >= 0."""
+    return nonnegative(xx + ridge * np.eye(len(xy)) * max(np.trace(xx) / len(xy), 1e-12), xy, n_free)
+
+
+def block_repeats(idx: pd.Series, key: tuple, replicates: int, block: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(each week's block, how often each draw repeats each block): Poisson(1) counts of a generator seeded by the panel's
+    key, so a task that runs again, or another layout, draws the same."""
+    _, blocks = np.unique((idx.to_numpy() // block).astype(int), return_inverse=True)
+    rng = np.random.default_rng([seed, zlib.crc32("|".join(map(str, key)).encode())])
+    return blocks, rng.poisson(1.0, (replicates, blocks.max() + 1)).astype(float)
+
+
+def weighted_systems(x: np.ndarray, y: np.ndarray, blocks: np.ndarray, repeats: np.ndarray):
+    """(X'X, X'y) of every draw: sums of products are taken by block and weighted for all draws at once."""
+    n, p = repeats.shape[1], x.shape[1]
+    xx, xy = np.zeros((n, p, p)), np.zeros((n, p))
+    np.add.at(xx, blocks, x[:, :, None] * x[:, None, :])
+    np.add.at(xy, blocks, x * y[:, None])
+    return zip((repeats @ xx.reshape(n, -1)).reshape(-1, p, p), repeats @ xy)
+
+
 def _solve_rows(grams: DataFrame, ids: list[str], design: list[str], n_free: int, ridge: float,
                 holdout: bool) -> DataFrame:
     """Solve one system per row, streaming; score it on held-out sums when they are there."""
@@ -211,25 +243,22 @@ def bootstrap_draws(design: DataFrame, best: DataFrame, keys: list[str], columns
                     replicates: int, block: int = 4, burn_in: int = 0, seed: int = 1) -> DataFrame:
     """Draws of the coefficients from block-bootstrap weights: (keys, cand, draw, coef).
 
-    Each (draw, block of weeks) gets a Poisson(1) weight read off a hash, so a lost task
-    recomputes the very same draws. Product sums are taken per block first; only blocks are
-    repeated per draw.
+    A panel's weeks, bounded by the calendar, meet in one task; panels are dealt over the cluster and nothing is
+    repeated per draw but p-by-p systems inside it.
     """
     chosen = (design.join(best.select(*keys, "cand"), [*keys, "cand"], "left_semi")
-              .where(F.col("y").isNotNull() & (F.col("idx") >= burn_in))
-              .withColumn("block", F.floor(F.col("idx") / block)))
-    blocks = (chosen.select(*keys, "cand", "block", F.posexplode(products(columns)).alias("pos", "v"))
-              .groupBy(*keys, "cand", "block", "pos").agg(F.sum("v").alias("v")))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", "block", *keys), F.lit(1_000_003)) + 0.5) / 1_000_003
-    # a Poisson(1) weight by its inverse distribution; beyond 12 lies less than one step of the uniform number
-    poisson = F.lit(0.0)
-    for k in range(12):
-        poisson = poisson + (u > math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))).cast("double")
-    drawn = (blocks.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-             .withColumn("w", poisson))
-    group = [*keys, "cand", "draw"]
-    sums = unfold(drawn.groupBy(*group, "pos").agg(F.sum(F.col("w") * F.col("v")).alias("s")), group, len(columns))
-    return _solve_rows(sums, [*keys, "cand", "draw"], columns, n_free, 1e-6, holdout=False).drop("holdout_mse")
+              .where(F.col("y").isNotNull() & (F.col("idx") >= burn_in)))
+    group = [*keys, "cand"]
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        blocks, repeats = block_repeats(pdf["idx"], key[:-1], replicates, block, seed)
+        systems = weighted_systems(pdf[columns].to_numpy(float), pdf["y"].to_numpy(float), blocks, repeats)
+        coefs = [nonneg_solve(a, r, n_free, 1e-6).tolist() for a, r in systems]
+        return pd.DataFrame({**{k: [v] * replicates for k, v in zip(group, key)}, "draw": range(replicates), "coef": coefs})
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name in group)
+    return chosen.select(*group, "idx", "y", *columns).groupBy(*group).applyInPandas(run, f"{types}, draw int, coef array<double>")
 
 
 def calibration_pulls(design: DataFrame, best: DataFrame, spend_totals: DataFrame, experiments: DataFrame,

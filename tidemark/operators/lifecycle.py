@@ -12,10 +12,11 @@ from tidemark import fixed_values as fx
 from tidemark.frames import previous_in_order, running_total
 
 
-def latest_runs(runs: DataFrame, results: DataFrame, verdicts: DataFrame, keep: int = fx.RUNS_SHOWN) -> DataFrame:
-    """The newest runs per project with their result and verdict, if any."""
+def latest_runs(runs: DataFrame, results: DataFrame, verdicts: DataFrame, keep: int | None = None) -> DataFrame:
+    """All runs per project, or the ``keep`` newest, numbered from the newest, with their result and verdict, if any."""
     w = Window.partitionBy("project").orderBy(F.desc("created_at"), F.desc("run"))
-    top = runs.withColumn("run_no", F.row_number().over(w)).where(F.col("run_no") <= keep)
+    top = runs.withColumn("run_no", F.row_number().over(w))
+    top = top if keep is None else top.where(F.col("run_no") <= keep)
     return top.join(results, "run", "left").join(verdicts, "run", "left")
 
 
@@ -162,7 +163,7 @@ def after_failure(code: Column, attempt: Column, max_attempts: Column) -> Column
             .when(code == "CANCELLED", "cancelled").otherwise("failed"))
 
 
-def log_tail(log: DataFrame, n: int = fx.LOG_TAIL) -> DataFrame:
+def log_tail(log: DataFrame, n: int) -> DataFrame:
     """The newest events with the number of problems among them."""
     tail = log.orderBy(F.desc("at"), F.desc("event_id")).limit(n)
     # at most n rows reach this window

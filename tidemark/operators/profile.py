@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark import fixed_values as fx
-from tidemark.frames import exact_quantiles, running_totals
+from tidemark.frames import exact_quantiles, running_totals, to_wide
 from tidemark.operators.quality import column_pairs
 
 
@@ -41,8 +41,8 @@ def missing_runs(cells: DataFrame, keys: list[str], order: str, value: str = "va
             .drop("_seen"))
 
 
-def kept_runs(runs: DataFrame, keys: list[str], keep: int = fx.MISSING_RUNS_KEPT) -> DataFrame:
-    """The longest runs per column, in row order."""
+def kept_runs(runs: DataFrame, keys: list[str], keep: int) -> DataFrame:
+    """The ``keep`` longest runs per column, for a display."""
     w = Window.partitionBy(*keys).orderBy(F.desc("length"), "start")
     return runs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep).drop("_rn")
 
@@ -51,20 +51,23 @@ def longest_gap(runs: DataFrame, keys: list[str]) -> DataFrame:
     return runs.groupBy(*keys).agg(F.max("length").alias("longest_missing_run"))
 
 
-def outliers(cells: DataFrame, keys: list[str], order: str, value: str = "value") -> DataFrame:
-    """|z| >= 3.5 on the population std, the six largest per column."""
+def outliers(cells: DataFrame, keys: list[str], order: str, value: str = "value", top: int | None = None) -> DataFrame:
+    """|z| >= 3.5 on the population std, numbered from the largest; all of them, or the ``top`` largest per column."""
     stats = cells.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
     z = (F.col(value) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))
     far = (cells.join(stats, keys).withColumn("z", z).where(F.abs("z") >= fx.OUTLIER_Z).drop("_m", "_s"))
     w = Window.partitionBy(*keys).orderBy(F.desc(F.abs("z")), order)
-    return far.withColumn("outlier_no", F.row_number().over(w)).where(F.col("outlier_no") <= fx.OUTLIER_TOP)
+    ranked = far.withColumn("outlier_no", F.row_number().over(w))
+    return ranked if top is None else ranked.where(F.col("outlier_no") <= top)
 
 
 def correlations(wide: DataFrame, keys: list[str], columns: list[str],
-                 minimum: float = fx.CORRELATION_MIN, top: int = fx.CORRELATION_TOP) -> DataFrame:
+                 minimum: float = fx.CORRELATION_MIN, top: int | None = None) -> DataFrame:
+    """Column pairs of at least ``minimum``, numbered from the strongest; all of them, or the ``top`` strongest."""
     pairs = column_pairs(wide, keys, columns, minimum)
     w = Window.partitionBy(*keys).orderBy(F.desc(F.abs("r")), "a", "b")
-    return pairs.withColumn("pair_no", F.row_number().over(w)).where(F.col("pair_no") <= top)
+    ranked = pairs.withColumn("pair_no", F.row_number().over(w))
+    return ranked if top is None else ranked.where(F.col("pair_no") <= top)
 
 
 def histogram(cells: DataFrame, keys: list[str], bins: int = fx.HISTOGRAM_BINS,
@@ -90,23 +93,38 @@ def date_range(rows: DataFrame, keys: list[str], date: str, order: str) -> DataF
                                    F.max_by(date, order).alias("last_label"))
 
 
-def build_profile(cells: DataFrame, keys: list[str], order: str, label: str) -> DataFrame:
-    """One nested row per column: statistics, outliers, gaps, and the series if it is short.
+def build_profile(cells: DataFrame, keys: list[str], order: str, label: str, columns: list[str] | None = None,
+                  most_outliers: int = fx.OUTLIER_TOP, most_runs: int = fx.MISSING_RUNS_KEPT, most_points: int = fx.SERIES_ROWS,
+                  most_pairs: int = fx.CORRELATION_TOP) -> DataFrame:
+    """One nested row per column, the last of ``keys``: statistics, date range, histogram, outliers, gaps, look-alike
+    columns, and the series if it is short.
 
-    The nested arrays are bounded (6 outliers, 24 runs, 1200 points).
+    A nested row is for display, so its arrays are cut to the sizes given; the operators it is made of give all rows.
+    ``columns`` names the columns whose pairs are compared.
     """
     stats = column_stats(cells, keys)
-    far = outliers(cells, keys, order).groupBy(*keys).agg(
+    far = outliers(cells, keys, order, top=most_outliers).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("outlier_no", F.col(label).alias("label"), "value", "z")))
         .alias("outliers"))
-    runs = kept_runs(missing_runs(cells, keys, order, label=label), keys)
+    runs = kept_runs(missing_runs(cells, keys, order, label=label), keys, most_runs)
+    bars = histogram(cells, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", "bin_start", "n"))).alias("histogram"))
     gaps = runs.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("start", "length", "start_label", "end_label"))).alias("missing_runs"),
         F.max("length").alias("longest_missing_run"))
-    short = stats.where(F.col("n") + F.col("n_missing") <= fx.SERIES_ROWS).select(*keys)
+    short = stats.where(F.col("n") + F.col("n_missing") <= most_points).select(*keys)
     points = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "value")))
     series = cells.join(short, keys, "left_semi").groupBy(*keys).agg(points.alias("series_points"))
-    return (stats.join(far, keys, "left").join(gaps, keys, "left").join(series, keys, "left")
+    parts = [far, gaps, series, bars, date_range(cells, keys, label, order)]
+    if columns and len(columns) > 1:
+        panel, name = keys[:-1], keys[-1]
+        at = to_wide(cells.withColumnRenamed(name, "series") if name != "series" else cells, panel, columns, order)
+        pairs = correlations(at, panel, columns, top=most_pairs)
+        both = pairs.select(*panel, F.col("a").alias(name), F.col("b").alias("other"), "r").unionByName(
+            pairs.select(*panel, F.col("b").alias(name), F.col("a").alias("other"), "r"))
+        parts.append(both.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("other", "r"))).alias("look_alikes")))
+    for part in parts:
+        stats = stats.join(part, keys, "left")
+    return (stats
             .withColumn("longest_missing_run", F.coalesce("longest_missing_run", F.lit(0).cast("bigint"))))
 
 
@@ -121,8 +139,8 @@ def source_check(sources: DataFrame) -> DataFrame:
         "verdict", F.when(blocked, "not_usable").when(warned, "usable_with_warnings").otherwise("usable"))
 
 
-def findings(gaps: DataFrame, far: DataFrame, pairs: DataFrame, roles: DataFrame, keys: list[str]) -> DataFrame:
-    """The choices a profile asks for: control gaps, outcome outliers, look-alike columns."""
+def findings(gaps: DataFrame, far: DataFrame, pairs: DataFrame, roles: DataFrame, keys: list[str], most_outliers: int | None = None) -> DataFrame:
+    """The choices a profile asks for: control gaps, outcome outliers (the ``most_outliers`` largest, or all), look-alike columns."""
     on = [*keys, "series"]
     r = roles.select(*on, "role")
     gap = (gaps.where(F.col("longest_missing_run") >= fx.FINDING_GAP_WEEKS)
@@ -130,7 +148,7 @@ def findings(gaps: DataFrame, far: DataFrame, pairs: DataFrame, roles: DataFrame
            .select(*keys, F.lit("gap").alias("kind"), F.col("series").alias("subject"),
                    F.lit(None).cast("string").alias("other"), F.col("longest_missing_run").cast("double").alias("evidence"),
                    F.lit("ffill").alias("default_choice")))
-    spike = (far.where(F.col("outlier_no") <= fx.FINDING_KPI_OUTLIERS)
+    spike = ((far if most_outliers is None else far.where(F.col("outlier_no") <= most_outliers))
              .join(r.where(F.col("role") == "kpi"), on, "left_semi")
              .select(*keys, F.lit("outlier").alias("kind"), F.col("series").alias("subject"),
                      F.lit(None).cast("string").alias("other"), F.col("z").alias("evidence"),

@@ -67,8 +67,8 @@ def frontier_step(front: DataFrame, current: DataFrame, keys: list[str], factor:
 
 
 def actions(channels: DataFrame, allocation: DataFrame, predicted: DataFrame, curves: DataFrame, front: DataFrame,
-            keys: list[str], kpi_type: str = "revenue", margin: float | None = None) -> DataFrame:
-    """At most four actions per panel: shift or hold, scale, cut.
+            keys: list[str], kpi_type: str = "revenue", margin: float | None = None, most: int | None = None) -> DataFrame:
+    """Actions per panel in order: shift or hold, scale, cut; all of them, or the first ``most``.
 
     ``allocation``: (keys, series, spend, current); ``predicted``: (keys, budget, p3, p50, p97) of
     that allocation; ``channels``: (keys, series, unit, total_spend, return_p97).
@@ -104,7 +104,7 @@ def actions(channels: DataFrame, allocation: DataFrame, predicted: DataFrame, cu
             F.lit(None).cast("double").alias("amount"), F.lit(None).cast("double").alias("kpi_gain"), F.lit("high").alias("confidence"))
         out = out.unionByName(third)
     w = Window.partitionBy(*keys).orderBy("priority")
-    return out.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= fx.MAX_ACTIONS).drop("_rn")
+    return out if most is None else out.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
 
 
 def mix_share(weekly: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

@@ -10,10 +10,9 @@ from tidemark.functions.dates import parse_date
 from tidemark.functions.numbers import to_number
 
 
-def classify(cells: DataFrame, keys: list[str], order: str, raw: str = "raw") -> DataFrame:
-    """date / numeric / text from the first 50 rows of each column."""
-    picked = (first_rows(cells, keys, order, fx.CLASSIFY_ROWS)
-              .select(*keys, F.col(raw).alias("_cell")))
+def classify(cells: DataFrame, keys: list[str], order: str, raw: str = "raw", rows: int | None = None) -> DataFrame:
+    """date / numeric / text from all rows of each column, or from the first ``rows`` of them."""
+    picked = (cells if rows is None else first_rows(cells, keys, order, rows)).select(*keys, F.col(raw).alias("_cell"))
     used = F.col("_cell").isNotNull() & (F.col("_cell") != "")
     is_date = F.col("_cell").rlike(fx.ISO_DATE_PREFIX)
     is_number = ~is_date & to_number(F.col("_cell")).isNotNull()

@@ -45,7 +45,7 @@ def datasets(spark, sf):
 @query("lc_latest_view", f"""WITH {LIFE_SQL}, t AS (SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY created_at DESC, run DESC) AS INTEGER) AS run_no FROM runs QUALIFY run_no<=10)
  SELECT t.*, is_published, level FROM t LEFT JOIN results r ON t.run=r.run LEFT JOIN verdicts v ON t.run=v.run""")
 def _(spark, sf):
-    return lc.latest_runs(runs(spark, sf), results(spark, sf), run_verdicts(spark, sf))
+    return lc.latest_runs(runs(spark, sf), results(spark, sf), run_verdicts(spark, sf), fx.RUNS_SHOWN)
 
 
 @query("lc_project_heads", f"""WITH {LIFE_SQL}, a AS (SELECT project, dataset AS newest_dataset, status AS newest_status FROM datasets QUALIFY row_number() OVER (PARTITION BY project ORDER BY created_at DESC, dataset DESC)=1),
@@ -197,7 +197,7 @@ def log(spark, sf):
 
 @query("lc_log_tail", f"""WITH {LOG_SQL}, t AS (SELECT * FROM log ORDER BY "at" DESC, event_id DESC LIMIT 500) SELECT event_id, "at", session_id, level, event, (SELECT count(*) FROM t WHERE level<>'info') AS n_problems FROM t""")
 def _(spark, sf):
-    return lc.log_tail(log(spark, sf)).drop("detail")
+    return lc.log_tail(log(spark, sf), fx.LOG_TAIL).drop("detail")
 
 
 @query("lc_log_sessions", f"""WITH {LOG_SQL} SELECT session_id, max("at") AS last_at, count(*) AS n_events, count(*) FILTER (level<>'info') AS n_problems FROM log GROUP BY 1""")
@@ -262,7 +262,7 @@ def _(spark, sf):
     files = table(spark, sf, "documents").select(
         F.col("source").alias("project"), F.concat(F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), F.col("doc_id").alias("created_at"),
         size.alias("length"), ext.alias("extension"), F.sha2("text", 256).alias("sha256"))
-    return rd.judge_uploads(files).select("project", "path", "refused")
+    return rd.judge_uploads(files, fx.UPLOAD_MAX_BYTES).select("project", "path", "refused")
 
 
 @query("src_intake_files")
@@ -278,7 +278,7 @@ def _(spark, sf):
     level = F.when(F.col("lang") == "en", "info").when(F.col("lang") == "fr", "warn").when(F.col("lang") == "de", "error").otherwise("debug")
     raw = table(spark, sf, "documents").select("doc_id", F.col("source").alias("session_id"), "lang", level.alias("level"), F.col("text").alias("event"),
                                                F.col("text").alias("message"), F.lit(None).cast("string").alias("detail"))
-    return el.accept_batches(raw, ["session_id", "lang"], ["doc_id"]).select("doc_id", "session_id", "level", "event", "message")
+    return el.accept_batches(raw, ["session_id", "lang"], ["doc_id"], fx.LOG_BATCH, clip=True).select("doc_id", "session_id", "level", "event", "message")
 
 
 @query("sink_master", f"""WITH {MASTER_SQL} SELECT panel, min(week_start) AS window_start, max(week_start) AS window_end, count(DISTINCT week_start) AS n_weeks, count(DISTINCT series) FILTER (role='kpi') AS n_kpi,

@@ -311,7 +311,7 @@ def alloc_with_current(spark, sf):
 def _(spark, sf):
     f = front(spark, sf).persist()  # a few points per panel, read four times below
     now = f.where(F.col("scenario") == "1.0").select("panel", F.col("total_budget").alias("budget"), "p3", "p50", "p97")
-    a = rp.actions(channels(spark, sf), alloc_with_current(spark, sf), now, curves(spark, sf), f, KEYS, margin=0.01)
+    a = rp.actions(channels(spark, sf), alloc_with_current(spark, sf), now, curves(spark, sf), f, KEYS, margin=0.01, most=fx.MAX_ACTIONS)
     return rounded(rounded(a, 1, "amount"), 0, "kpi_gain")
 
 

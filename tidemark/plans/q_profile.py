@@ -49,7 +49,7 @@ DAY = "CASE WHEN regexp_full_match(raw,'[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN TRY_CA
   count(*) FILTER (NOT regexp_matches(raw,'^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND {NUM} IS NOT NULL) AS m FROM f GROUP BY 1,2)
  SELECT source, "column", CASE WHEN n=0 THEN 'text' WHEN d>0.6*n THEN 'date' WHEN m>0.6*n THEN 'numeric' ELSE 'text' END AS kind FROM n""")
 def _(spark, sf):
-    return rl.classify(text_cells(spark, sf), ON, "order_id")
+    return rl.classify(text_cells(spark, sf), ON, "order_id", rows=fx.CLASSIFY_ROWS)
 
 
 @query("date_score", f"""WITH {CELLS} SELECT source, "column", coalesce(count(*) FILTER (year({DAY}) BETWEEN 1990 AND 2100)/nullif(count(raw),0),0) AS score FROM cells GROUP BY 1,2""")
@@ -205,7 +205,7 @@ PS = ["panel", "series"]
 
 @query("profile_missing_runs", f"""WITH {RUNS} SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY panel, series ORDER BY length DESC, start)<=24""")
 def _(spark, sf):
-    return pf.kept_runs(pf.missing_runs(gappy_orders(spark, sf), PS, "order_id", label="ts"), PS)
+    return pf.kept_runs(pf.missing_runs(gappy_orders(spark, sf), PS, "order_id", label="ts"), PS, fx.MISSING_RUNS_KEPT)
 
 
 @query("profile_longest_gap", f"WITH {RUNS} SELECT panel, series, max(length) AS longest_missing_run FROM runs GROUP BY 1,2")
@@ -218,7 +218,7 @@ def _(spark, sf):
  SELECT panel, series, week_start, value, round(z,6) AS z, CAST(row_number() OVER (PARTITION BY panel, series ORDER BY abs(z) DESC, week_start) AS INTEGER) AS outlier_no
  FROM z WHERE abs(z)>=3.5 QUALIFY row_number() OVER (PARTITION BY panel, series ORDER BY abs(z) DESC, week_start)<=6""")
 def _(spark, sf):
-    return pf.outliers(master(spark, sf).data.drop("role"), PS, WEEK).withColumn("z", F.round("z", 6))
+    return pf.outliers(master(spark, sf).data.drop("role"), PS, WEEK, top=fx.OUTLIER_TOP).withColumn("z", F.round("z", 6))
 
 
 PROFILE_PAIRS = " UNION ALL ".join(
@@ -229,7 +229,7 @@ PROFILE_PAIRS = " UNION ALL ".join(
  SELECT panel, a, b, round(r,6) AS r, CAST(row_number() OVER (PARTITION BY panel ORDER BY abs(r) DESC, a, b) AS INTEGER) AS pair_no FROM p WHERE abs(r)>=0.02
  QUALIFY row_number() OVER (PARTITION BY panel ORDER BY abs(r) DESC, a, b)<=12""")
 def _(spark, sf):
-    return pf.correlations(wide(spark, sf), KEYS, ["revenue", *CHANNELS], 0.02).withColumn("r", F.round("r", 6))
+    return pf.correlations(wide(spark, sf), KEYS, ["revenue", *CHANNELS], 0.02, fx.CORRELATION_TOP).withColumn("r", F.round("r", 6))
 
 
 @query("profile_histogram", f"""WITH {LINES}, s AS (SELECT "column", min(value) AS lo, (max(value)-min(value))/12 AS w FROM cells GROUP BY 1),
@@ -247,7 +247,7 @@ def _(spark, sf):
 
 @query("profile_build")
 def _(spark, sf):
-    return pf.build_profile(master(spark, sf).data.withColumn("at", F.unix_date(WEEK)).drop("role"), PS, "at", WEEK)
+    return pf.build_profile(master(spark, sf).data.withColumn("at", F.unix_date(WEEK)).drop("role"), PS, "at", WEEK, ["revenue", *CHANNELS])
 
 
 @query("source_check", """WITH s AS (SELECT o_custkey, CASE WHEN count(*)>2 THEN 'o_orderdate' END AS date_column, CAST(min(o_orderdate) AS DATE) AS first_day, CAST(max(o_orderdate) AS DATE) AS last_day,
@@ -277,7 +277,7 @@ def _(spark, sf):
     far = pf.outliers(cells, PS, "at")
     pairs = pf.correlations(wide(spark, sf), KEYS, ["revenue", *CHANNELS])
     roles = data.select("panel", "series", "role").distinct()
-    return pf.findings(gaps, far, pairs, roles, KEYS).withColumn("evidence", F.round("evidence", 6))
+    return pf.findings(gaps, far, pairs, roles, KEYS, fx.FINDING_KPI_OUTLIERS).withColumn("evidence", F.round("evidence", 6))
 
 
 @query("steps_together", f"""WITH {WIDE_SQL}, s AS (SELECT panel, ch_a_f-lag(ch_a_f) OVER (PARTITION BY panel ORDER BY week_start) AS da,

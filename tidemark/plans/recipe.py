@@ -19,7 +19,7 @@ from tidemark.functions.numbers import en_number, nl_number, to_number, without_
 from tidemark.operators import casting as cs, features as ft, quality as ql, roles as rl, weekly as wk
 from tidemark.operators.transforms import apply_transforms
 from tidemark.plans.master import from_weekly, quality_verdict
-from tidemark.types import ColumnSpec, EventDummy, Feature, SourceSpec, Transform, issue_frame
+from tidemark.types import ColumnSpec, EventDummy, Feature, SourceSpec, Transform, issue_frame, spec_problems
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,7 @@ class Recipe:
 
 
 def parse_recipe(doc: dict) -> Recipe:
-    """Read a recipe document; what is missing or unknown raises ``ValueError`` or ``KeyError``."""
+    """Read a recipe document; what is missing or unknown raises ``KeyError`` or a ``ValueError`` that names every problem."""
     if not doc.get("sources"):
         raise ValueError("a recipe needs at least one source")
     sources = tuple(SourceSpec(
@@ -38,6 +38,8 @@ def parse_recipe(doc: dict) -> Recipe:
         transforms=tuple(Transform(t["op"], t.get("params") or {}) for t in s.get("transforms") or ()),
         columns=tuple(ColumnSpec(c["name"], c["role"], c.get("output_name"), c.get("fill")) for c in s["columns"]))
         for s in doc["sources"])
+    if problems := spec_problems(sources):
+        raise ValueError("; ".join(f"{code}: {source}{f'.{column}' if column else ''}" for code, source, column in problems))
     events = tuple(EventDummy(e["name"], tuple((int(y), int(w)) for y, w in e["weeks"])) for e in doc.get("event_dummies") or ())
     features = tuple(Feature(f["name"], f["op"], tuple(f.get("inputs") or ()), f.get("params") or {}) for f in doc.get("features") or ())
     return Recipe(sources, events, features)

@@ -54,27 +54,27 @@ def with_ingest_id(df: DataFrame) -> DataFrame:
     return df.withColumn("ingest_id", F.monotonically_increasing_id())
 
 
-def intake(spark: SparkSession, path: str, project: str = "default") -> DataFrame:
+def intake(spark: SparkSession, path: str, project: str = "default", max_bytes: int | None = None) -> DataFrame:
     """Catalogue a folder of uploads: size, content hash, and the reason a file is refused.
 
     Content is hashed inside the scan tasks, and only of files of acceptable size. Spark's scan
     leaves files without a byte out, so they never enter the catalogue.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    small = (F.col("length") > 0) & (F.col("length") <= fx.UPLOAD_MAX_BYTES)
+    small = (F.col("length") > 0) & (F.lit(True) if max_bytes is None else F.col("length") <= max_bytes)
     f = files.select(F.lit(project).alias("project"), "path", F.col("modificationTime").alias("created_at"), "length",
                      F.lower(F.substring_index("path", ".", -1)).alias("extension"),
                      F.when(small, F.sha2("content", 256)).alias("sha256"))
-    return judge_uploads(f)
+    return judge_uploads(f, max_bytes)
 
 
-def judge_uploads(files: DataFrame) -> DataFrame:
-    """Refuse wrong types and sizes, and every copy but the first of a project's content.
+def judge_uploads(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Refuse wrong types, empty files, those above ``max_bytes`` if it is given, and every copy but the first of a project's content.
 
     ``files``: (project, path, created_at, length, extension, sha256). The first copy is an
     aggregate, so a much-copied file is reduced before the shuffle.
     """
-    size_ok = (F.col("length") > 0) & (F.col("length") <= fx.UPLOAD_MAX_BYTES)
+    size_ok = (F.col("length") > 0) & (F.lit(True) if max_bytes is None else F.col("length") <= max_bytes)
     type_ok = F.col("extension").isin(*fx.UPLOAD_EXTENSIONS)
     first = (files.where(size_ok & type_ok).groupBy("project", "sha256")
              .agg(F.min_by("path", F.struct("created_at", "path")).alias("_first")))

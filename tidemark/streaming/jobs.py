@@ -61,7 +61,7 @@ def dedupe(raw: DataFrame, keys: list[str], ts: str = "ts", delay: str = "35 day
 
 
 def clean_log(log: DataFrame) -> DataFrame:
-    return clean_events(log)
+    return clean_events(log, clip=True)
 
 
 def _watch(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

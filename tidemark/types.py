@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -22,12 +24,6 @@ class ColumnSpec:
     output_name: str | None = None
     fill: str | None = None
 
-    def __post_init__(self) -> None:
-        if self.role not in fx.ROLES:
-            raise ValueError(f"unknown role {self.role!r}")
-        if self.fill is not None and self.fill not in fx.FILLS:
-            raise ValueError(f"unknown fill {self.fill!r}")
-
     @property
     def series(self) -> str:
         return self.output_name or self.name
@@ -57,18 +53,29 @@ class SourceSpec:
     essential: bool = True
     transforms: tuple[Transform, ...] = ()
 
-    def __post_init__(self) -> None:
-        names = [c.series for c in self.columns]
-        if len(names) != len(set(names)):
-            raise ValueError(f"source {self.name!r} declares an output name twice")
-
-
 @dataclass(frozen=True)
 class EventDummy:
     name: str
     weeks: tuple[tuple[int, int], ...]
 
 
+def spec_problems(sources: Iterable[SourceSpec]) -> list[tuple[str, str, str | None]]:
+    """(code, source, column) of all that is wrong with declared sources, in the order they are declared."""
+    found, seen = [], set()
+    for s in sources:
+        if s.name in seen:
+            found.append(("source_named_twice", s.name, None))
+        seen.add(s.name)
+        if not s.columns:
+            found.append(("source_without_columns", s.name, None))
+        outputs = Counter(c.series for c in s.columns)
+        for c in s.columns:
+            tests = {"unknown_role": c.role not in fx.ROLES, "unknown_fill": c.fill is not None and c.fill not in fx.FILLS,
+                     "fill_needs_control": c.fill is not None and c.role != "control", "output_named_twice": outputs[c.series] > 1}
+            found += [(code, s.name, c.name) for code, wrong in tests.items() if wrong]
+    return found
+
+
 def issue_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """Issues known from declarations alone, e.g. a missing column."""
     return spark.createDataFrame(rows, ISSUE_SCHEMA)
