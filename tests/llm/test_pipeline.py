@@ -32,7 +32,7 @@ def test_run_is_the_stages_one_after_the_other(spark, folder):
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in catalog.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in catalog.queries()} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_near_copies_of_similarity_four_fifths_go(spark, folder):
