@@ -250,7 +250,7 @@ def bootstrap_draws(design: DataFrame, best: DataFrame, keys: list[str], columns
               .where(F.col("y").isNotNull() & (F.col("idx") >= burn_in)))
     group = [*keys, "cand"]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         pdf = pdf.sort_values("idx")
         blocks, repeats = block_repeats(pdf["idx"], key[:-1], replicates, block, seed)
         systems = weighted_systems(pdf[columns].to_numpy(float), pdf["y"].to_numpy(float), blocks, repeats)
