@@ -73,7 +73,7 @@ def column_facts(cells: DataFrame, keys: list[str], order: str, raw: str = "raw"
     """Everything the role rules need per column, from partial aggregates.
 
     Values are put in row order only for columns that may rise all the way: whole, as wide as they are long, the first
-    the least and the last the largest. Rows of ``weekly.different_rows`` count once; a value whose row was repeated does
+    the least and the last the largest; ``order`` tells rows apart. Rows of ``weekly.different_rows`` count once; a value whose row was repeated does
     not rise.
     """
     number = dict(cells.dtypes)[raw] == "double"
@@ -82,7 +82,7 @@ def column_facts(cells: DataFrame, keys: list[str], order: str, raw: str = "raw"
     copies = F.col("_copies") if "_copies" in cells.columns else F.lit(1)
     parsed = cells.select(*keys, order, raw, v.alias("_v"), year.alias("_year"), copies.alias("_n"))
     whole = F.min((F.col("_v") == F.round("_v")).cast("int")) == 1
-    place = F.when(F.col("_v").isNotNull(), F.struct(F.col(order), F.col("_v")))   # of one place the least, or largest, counts
+    place = F.when(F.col("_v").isNotNull(), F.col(order))   # a fixed-size value: a struct would make Spark sort all cells
     base = parsed.groupBy(*keys).agg(
         F.count(raw).alias("n"), F.count("_v").alias("n_num"),
         F.min("_v").alias("lo"), F.max("_v").alias("hi"),
