@@ -107,3 +107,31 @@ def test_late_rows_and_sums_make_the_batch(spark, tmp_path):
     assert both == {r["w"]: (r["t"], r["n"]) for r in want}
     alone = sf.week_sums(spark, out, ["panel"]).agg(F.sum("total")).first()[0]
     assert alone == pytest.approx(sum(v for b in batches for *_, v in b if v) - sum(late))
+
+
+@pytest.fixture
+def default_store(spark):
+    """The session as a caller has it who sets no state store."""
+    own = spark.conf.get(sf.STORE)
+    spark.conf.unset(sf.STORE)
+    spark.conf.set(sf.STORE, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    yield spark.conf.get(sf.STORE)
+    spark.conf.set(sf.STORE, own)
+
+
+def test_state_variables_under_the_default_store(spark, tmp_path, default_store):
+    beats, changes = "run string, state string, heartbeat_at timestamp", "run long, attempt int, state string, at timestamp"
+
+    def timeouts():
+        stream = st.read_stream(spark, f"{tmp_path}/b/in/*", spark.createDataFrame([], beats).schema)
+        sf.run_batches(lambda: sf.heartbeat_timeouts(stream), f"{tmp_path}/b/out", "append")
+
+    def states():
+        stream = st.read_stream(spark, f"{tmp_path}/c/in/*", spark.createDataFrame([], changes).schema)
+        sf.run_batches(lambda: sf.run_states(stream), f"{tmp_path}/c/out", "append")
+
+    feed(spark, tmp_path / "b", [[("a", "sampling", minute(0))], [("b", "sampling", minute(30))]], beats, timeouts)
+    assert [r["run"] for r in spark.read.parquet(f"{tmp_path}/b/out/data").collect()] == ["a"]
+    feed(spark, tmp_path / "c", [[(1, 1, "queued", minute(0))], [(1, 1, "sampling", minute(1))]], changes, states)
+    assert [tuple(r) for r in sf.held_states(spark, f"{tmp_path}/c/out").collect()] == [(1, 1, "sampling", minute(1))]
+    assert spark.conf.get(sf.STORE) == default_store

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark import fixed_values as fx
+from tidemark.session import SETTINGS
 from tidemark.streaming.jobs import event_time
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
 MINUTE = 60_000
 TIMEOUTS = "run string, last_heartbeat timestamp, code string"
 CHANGES = "run long, attempt int, state string, at timestamp, refused string"
@@ -24,13 +27,24 @@ FINAL = len(fx.LIVE_STATES)
 def run_batches(source: Callable[[], DataFrame], out: str, mode: str, each: Callable[[DataFrame, int], None] | None = None) -> None:
     """Process what a stream has now, into a folder per batch; called again, it goes on from its checkpoint.
 
-    A repeated batch overwrites its own folder. ``each`` writes a batch by itself.
+    A repeated batch overwrites its own folder. ``each`` writes a batch by itself. State variables need the RocksDB store,
+    which is not Spark's default: the stream is started with it, and the session has its own setting back at once.
     """
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/data/batch={batch}")
 
-    q = (source().writeStream.outputMode(mode).foreachBatch(each or write)
-         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
+    df = source()
+    conf = df.sparkSession.conf
+    own = conf.get(STORE, None)
+    conf.set(STORE, SETTINGS[STORE])
+    try:  # a stream keeps the settings it is started with
+        q = (df.writeStream.outputMode(mode).foreachBatch(each or write)
+             .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
+    finally:
+        if own is None:
+            conf.unset(STORE)
+        else:
+            conf.set(STORE, own)
     q.awaitTermination()
 
 
