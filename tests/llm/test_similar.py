@@ -90,6 +90,12 @@ def test_top_k_matches_brute_force(spark, folder):
     assert sorted(map(tuple, topk.op6_top_k(spark, folder).collect())) == sorted(want)
 
 
+def test_top_k_broadcasts_no_copies_of_the_queries(spark, folder):
+    """Blocks beside every slot are many times their size; through a broadcast the driver would hold them all."""
+    plan = topk.op6_top_k(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "leftHint=(strategy=merge)" in plan
+
+
 def test_top_k_of_ties_bad_vectors_and_few_rows(spark):
     rows = [(i, [float(i % 3), 1.0], "q") for i in range(300)] + [(400, None, "q"), (401, [None, 1.0], "q"), (450, [float("nan"), 1.0], "q"),
                                                              (500, [1.0], "q"), (None, [9.0, 9.0], "q"), (405, [], "q"), (550, [1.0, 2.0, 3.0], "q"), (551, [1.0, 2.0, 3.0], "q")]

@@ -13,6 +13,8 @@ from tidemark.llm.registry import query
 TILE = 4096            # candidates of a tile
 BLOCK = 256            # queries of a block
 BINS = 4096            # bins of a histogram pass
+SLOTS = 64             # least number of slots, where there are as many tiles
+HELD = 16              # tiles of a slot, about, once there are more than SLOTS * HELD
 
 
 def _usable(embedding: str):
@@ -50,7 +52,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id", v
     """(query_id, rank, id, score): each query's ``k`` highest integer inner products over all rows but its own.
 
     Components become floor(scale * x). Queries are the rows where ``is_query`` holds. Query blocks meet all
-    candidate tiles in a join on a slot number. Pass after pass, each block and tile scores everything and counts
+    candidate tiles in a shuffled join on a slot number. Pass after pass, each block and tile scores everything and counts
     scores in the bins of each query's open interval; the counts are summed over all tiles, and the bin that holds
     the k-th score becomes the next interval, until it is one score wide. In a pass, a tile leaves out only bins
     below its own k-th score. A last pass keeps scores above the k-th value, and of those equal to it the
@@ -71,9 +73,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id", v
     result = f"query_id long, rank int, {id_column} {id_type}, score long"
     if most is None:
         return vectors.sparkSession.createDataFrame([], result)
-    slots = min(facts[0], 4096)
-    grid = (blocks.select("block", "dim", F.col("ids").alias("qids"), F.col("matrix").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-            .join(tiles.select((F.pmod(F.xxhash64("tile"), F.lit(slots))).cast("int").alias("slot"), "dim", F.col("ids").alias("cids"), F.col("matrix").alias("c")), ["slot", "dim"]))
+    slots = min(facts[0], max(SLOTS, facts[0] // HELD))
+    dealt = tiles.select((F.pmod(F.xxhash64("tile"), F.lit(slots))).cast("int").alias("slot"), "dim", F.col("ids").alias("cids"), F.col("matrix").alias("c"))
+
+    def grid(packed_state):
+        """Blocks with their open intervals, beside every tile. Copies of all blocks, as many as slots, are too much for a
+        broadcast through the driver, and Spark takes them for one copy: both sides are shuffled."""
+        asked = blocks.join(packed_state, "block").select("dim", F.col("ids").alias("qids"), F.col("matrix").alias("q"), "open",
+                                                          F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+        return asked.hint("merge").join(dealt, ["slot", "dim"])
+
     reach = min(2 ** 62, int(most * facts[1]) + 1)          # no score lies beyond, by Cauchy and Schwarz
     # per query: the k-th score is in [lo, lo + width); ``above`` scores lie beyond
     state = blocks.select("block", "ids").mapInPandas(_open(-reach), "block long, query_id long, lo long, above long")
@@ -82,7 +91,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id", v
         step = -(-width // BINS)
         state = stored(state, "state")
         packed_state = state.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("query_id", "lo"))).alias("open"))  # BLOCK rows each
-        counts = (grid.join(packed_state, "block").mapInPandas(_histogram(k, step, width), "query_id long, bin int, n long")
+        counts = (grid(packed_state).mapInPandas(_histogram(k, step, width), "query_id long, bin int, n long")
                   .groupBy("query_id", "bin").agg(F.sum("n").alias("n")))
         beyond = Window.partitionBy("query_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
         # queries with fewer than k candidates stay open from below: all their candidates are kept in the end
@@ -96,7 +105,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id", v
                                F.when(F.col("hit").isNull(), 0).otherwise(F.col("was") + more).cast("long").alias("above"))
         width = step
     packed_state = state.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("query_id", "lo"))).alias("open"))
-    best = grid.join(packed_state, "block").mapInPandas(_keep(k), "query_id long, id long, score long")
+    best = grid(packed_state).mapInPandas(_keep(k), "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", F.col("id").cast(id_type).alias(id_column), "score"))
