@@ -19,7 +19,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group linked by a similarity of 0.8 in five-word shingles stays."""
+    """The document of smallest id of each group linked by a similarity of 0.8 in five-word shingles stays; SimHash
+    fingerprints and min-hash bands say which are compared."""
     return keep_one_copy(docs)
 
 

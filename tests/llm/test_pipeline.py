@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from tidemark.llm import catalog
+from tidemark.llm import catalog, near_copies
 from tidemark.llm.common import table
 
 
@@ -57,3 +57,10 @@ def test_near_copies_of_similarity_four_fifths_go(spark, folder):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     kept = sorted(map(tuple, corpus_pipeline.near_dedup(spark, df, folder).collect()))
     assert kept == sorted([docs[k] for k in set(root)] + docs[180:182])
+
+
+def test_near_dedup_compares_near_fingerprints(spark, folder):
+    prints = spark.createDataFrame([(7, 0), (3, 0b111), (9, 0b111), (5, 0b1111111 << 40), (2, -1)], "node long, fp long")
+    assert {frozenset(r) for r in near_copies._by_fingerprint(prints).collect()} == {frozenset((7, 3)), frozenset((9, 3))}
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "A b c d e f g"), (3, None), (4, ""), (5, "a text of its own")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, folder).collect()) == [1, 3, 5]

@@ -1,4 +1,5 @@
-"""Near copies by the exact Jaccard similarity of five-word shingles; min-hash bands only say which are compared."""
+"""Near copies by the exact Jaccard similarity of five-word shingles; SimHash fingerprints and min-hash bands only say which
+are compared."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored
 from tidemark.llm.decontaminate import BITS, _sieve
 from tidemark.llm.graph import components
+from tidemark.llm.simhash import fingerprint, near_links
 from tidemark.llm.words import grams, hashed
 
 WIDTH = 5
@@ -76,11 +78,22 @@ def _links(batches):
         yield pd.DataFrame({"a": np.concatenate([*left, np.zeros(0, np.int64)]), "b": np.concatenate([*right, np.zeros(0, np.int64)])})
 
 
+def _by_fingerprint(prints: DataFrame) -> DataFrame:
+    """(a, b): nodes whose fingerprints are equal or near, each fingerprint standing for its least node."""
+    nodes = prints.select("fp", "node").distinct()
+    leads = stored(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "fingerprint-leads")
+    same = nodes.join(leads, "fp").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    near = near_links(leads.select("fp"))
+    ends = [leads.select(F.col("fp").alias(end), F.col("lead").alias(f"lead_{end}")) for end in ("a", "b")]
+    return same.unionByName(near.join(ends[0], "a").join(ends[1], "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b")))
+
+
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, text_hash, lead, lead_hash): every row with an id, and the row of least (id, text_hash) it is linked to.
 
     Texts are linked when five-word shingles have a Jaccard similarity of 0.8 or more; texts with the same shingles
-    are one node, as are all without words. Texts that share a band key fall in one block, and within blocks all are
+    are one node, as are all without words. Texts whose SimHash fingerprints differ in 3 bits or fewer, as by
+    :mod:`tidemark.llm.simhash`, or that share a band key, fall in one block, and within blocks all are
     compared exactly, tile against tile, where they are not linked already. Rows with a null id are left out.
     """
     kind = docs.schema[id_column].dataType.simpleString()
@@ -91,15 +104,17 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         for b in batches:
             sets = [shingles(t) for t in b["text"]]
             node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets))
-            yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], "node": node.view(np.int64),
+            fp = np.fromiter((fingerprint((t or "").encode()) for t in b["text"]), np.uint64, len(sets))
+            yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], "node": node.view(np.int64), "fp": fp.view(np.int64),
                                 "keys": [band_keys(s).view(np.int64) if len(s) else [] for s in sets]})
 
-    prints = stored(rows.mapInPandas(sign, f"id {kind}, text_hash long, node long, keys array<long>"), "shingle-prints")
+    prints = stored(rows.mapInPandas(sign, f"id {kind}, text_hash long, node long, fp long, keys array<long>"), "shingle-prints")
     classes = stored(prints.groupBy("node").agg(F.min(F.struct("id", "text_hash", "keys")).alias("first"))
                      .select("node", "first.*"), "shingle-classes")
     spread = classes.select("node", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    blocks = components(spread.join(shared, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    banded = spread.join(shared, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    blocks = components(banded.unionByName(_by_fingerprint(prints)))
     named = stored(classes.join(blocks, "node").select("node", "root", F.xxhash64("id", "text_hash").alias("seed")), "blocks")
     sieve = _sieve(named)
 
