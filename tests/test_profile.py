@@ -105,3 +105,12 @@ def test_master_sink_round_trip(weekly, tmp_path):
     man = {r["panel"]: r for r in sk.write_master(m, ["panel"], str(tmp_path / "m")).collect()}
     want = {r["panel"]: r["content_hash"] for r in sk.content_hash(m.orderBy(F.rand()), ["panel"]).collect()}
     assert {k: v["content_hash"] for k, v in man.items()} == want and man["p1"]["n_weeks"] == 5
+
+
+def test_histogram_shuffles_no_cells(spark):
+    """A shuffle by column would read all cells of a column in one task."""
+    cells = spark.range(1000).selectExpr("'c' || id % 2 AS column", "CAST(id AS DOUBLE) AS value")
+    out = pf.histogram(cells, ["column"])
+    assert out.agg({"n": "sum"}).first()[0] == 1000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan

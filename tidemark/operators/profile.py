@@ -55,7 +55,7 @@ def outliers(cells: DataFrame, keys: list[str], order: str, value: str = "value"
     """|z| >= 3.5 on the population std, numbered from the largest; all of them, or the ``top`` largest per column."""
     stats = cells.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
     z = (F.col(value) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))
-    far = (cells.join(stats, keys).withColumn("z", z).where(F.abs("z") >= fx.OUTLIER_Z).drop("_m", "_s"))
+    far = (cells.join(F.broadcast(stats), keys).withColumn("z", z).where(F.abs("z") >= fx.OUTLIER_Z).drop("_m", "_s"))
     w = Window.partitionBy(*keys).orderBy(F.desc(F.abs("z")), order)
     ranked = far.withColumn("outlier_no", F.row_number().over(w))
     return ranked if top is None else ranked.where(F.col("outlier_no") <= top)
@@ -72,14 +72,17 @@ def correlations(wide: DataFrame, keys: list[str], columns: list[str],
 
 def histogram(cells: DataFrame, keys: list[str], bins: int = fx.HISTOGRAM_BINS,
               value: str = "value") -> DataFrame:
-    """Equal bins between min and max, the last one closed; empty bins are listed."""
+    """Equal bins between min and max, the last one closed; empty bins are listed.
+
+    The spans, a row per column, go to the cells: a shuffle by ``keys`` would put all cells of a column in one task.
+    """
     span = cells.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     span = (span.where(F.col("lo").isNotNull())
             .withColumn("n_bins", F.when(F.col("lo") == F.col("hi"), 1).otherwise(bins))
             .withColumn("width", (F.col("hi") - F.col("lo")) / F.col("n_bins")))
     at = F.when(F.col("width") == 0, 0).otherwise(
         F.least(F.floor((F.col(value) - F.col("lo")) / F.col("width")), F.col("n_bins") - 1))
-    counts = (cells.where(F.col(value).isNotNull()).join(span, keys)
+    counts = (cells.where(F.col(value).isNotNull()).join(F.broadcast(span), keys)
               .groupBy(*keys, at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")))
     frame = span.select(*keys, "lo", "width", F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)).alias("bin"))
     return (frame.join(counts, [*keys, "bin"], "left")
