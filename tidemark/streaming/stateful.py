@@ -113,39 +113,44 @@ class RunStates(StatefulProcessor):
         self.latest = handle.getValueState("latest", HELD)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
+        was = None
         for r in initialState.itertuples(index=False):
-            self._take(int(r.attempt), r.state, pd.Timestamp(r.at).value // 1000)
+            was, _ = self._lead(was, int(r.attempt), r.state, pd.Timestamp(r.at).value // 1000)
+        if was:
+            self.latest.update(was)
 
-    def _take(self, attempt: int, state: str, at: int) -> str | None:
-        """Hold a change if it leads further; else why not."""
+    def _lead(self, was: tuple | None, attempt: int, state: str, at: int) -> tuple[tuple | None, str | None]:
+        """What is held after a change, and why the change was refused."""
         rank = RANKS.get(state)
         if rank is None:
-            return "unknown_state"
-        if not self.latest.exists():
-            self.latest.update((attempt, rank, state, at))
-            return None
-        was = self.latest.get()
+            return was, "unknown_state"
+        new = (attempt, rank, state, at)
         order = lambda a, r, s, t: (a, r, -t if r == FINAL else t, s)
-        if order(attempt, rank, state, at) > order(*was):
-            self.latest.update((attempt, rank, state, at))
-            return None
+        if was is None or order(*new) > order(*was):
+            return new, None
         if attempt < was[0]:
-            return "earlier_attempt" if at > was[3] else None
+            return was, "earlier_attempt" if at > was[3] else None
         if was[1] == FINAL and at > was[3]:
-            return "after_final"
-        return "backwards" if rank < was[1] and at > was[3] else None
+            return was, "after_final"
+        return was, "backwards" if rank < was[1] and at > was[3] else None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        was = before = self.latest.get() if self.latest.exists() else None  # each look at the state is a call to the JVM
         for frame in rows:
             refused = []
             for r in frame.itertuples(index=False):
-                why = "unknown_state" if pd.isna(r.attempt) or pd.isna(r.at) else self._take(int(r.attempt), r.state, pd.Timestamp(r.at).value // 1000)
+                if pd.isna(r.attempt) or pd.isna(r.at):
+                    why = "unknown_state"
+                else:
+                    was, why = self._lead(was, int(r.attempt), r.state, pd.Timestamp(r.at).value // 1000)
                 if why:
                     refused.append((None if pd.isna(r.attempt) else int(r.attempt), r.state, pd.NaT if pd.isna(r.at) else pd.Timestamp(r.at), why))
             if refused:
                 attempts, states, times, whys = zip(*refused)
                 yield pd.DataFrame({"run": int(key[0]), "attempt": pd.array(attempts, "Int32"), "state": pd.Series(states, dtype=object),
                                     "at": pd.to_datetime(list(times)), "refused": whys})
+        if was is not before:
+            self.latest.update(was)
 
     def close(self) -> None:
         pass
