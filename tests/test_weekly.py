@@ -75,6 +75,25 @@ def test_identical_rows(spark):
     assert codes == {"p1": "duplicate_rows_dropped", "p2": "duplicate_rows"}
 
 
+def test_identical_rows_by_bounded_tasks(spark, monkeypatch):
+    """What a task holds follows ROWS_OF_TASK, not the table: more rows, more tasks, the same result."""
+    rows = [(f"p{i % 40}", dt.date(2022, 1, 3) + dt.timedelta(days=7 * (i // 80)), 1.0) for i in range(2400)]
+    df = spark.createDataFrame(rows, "panel string, ts date, v double")
+    monkeypatch.setattr(wk, "ROWS_OF_TASK", 100)
+    out = wk.drop_identical_rows(df, K, "ts", ["panel", "ts", "v"])
+    assert out.count() == 1200 and "REPARTITION_BY_NUM" in out._jdf.queryExecution().toString()
+
+
+def test_rules_on_days_give_the_same(spark):
+    rows = [("p1", dt.datetime(2022, 1, 3, h) + dt.timedelta(days=d), float(v), n) for d in range(60) for h, v, n in ((1, d, 1), (5, d % 3, 1 + d % 2))]
+    rows = spark.createDataFrame(rows[:-1] + [("p2", None, 1.0, 3), ("p2", dt.datetime(2022, 1, 3), 2.0, 2)], "panel string, ts timestamp, v double, _copies long")
+    days = wk.rows_per_day(rows, K, "ts")
+    for rule in (wk.bad_date_issues, wk.copy_issues, wk.keeps_copies, lambda r, k, t: ql.duplicate_dates(r, k, t, []), ql.partial_edge_weeks, ql.coarse_cadence):
+        a, b = (sorted(map(str, rule(x.where("ts IS NOT NULL") if rule is not wk.bad_date_issues else x, K, "ts").collect())) for x in (rows, days))
+        assert a == b
+    assert days.count() < rows.count()
+
+
 FILLS = {
     "zero": [0, 1, 0, 0, 4, 0], "ffill": [1, 1, 1, 1, 4, 4], "bfill": [1, 1, 4, 4, 4, 4],
     "interpolate": [1, 1, 2, 3, 4, 4], "mean": [2.5, 1, 2.5, 2.5, 4, 2.5], "median": [2.5, 1, 2.5, 2.5, 4, 2.5],

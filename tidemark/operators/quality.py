@@ -15,9 +15,11 @@ from tidemark.operators.weekly import median_day_gap
 
 
 def duplicate_dates(raw: DataFrame, keys: list[str], ts: str, columns: list[str]) -> DataFrame:
-    """Dates that carry more than one distinct row; rows of ``weekly.different_rows`` are distinct already."""
+    """Dates that carry more than one distinct row; rows of ``weekly.different_rows`` are distinct already, those of
+    ``weekly.rows_per_day`` counted."""
     distinct = raw if "_copies" in raw.columns else raw.select(*columns).distinct()
-    per_day = (distinct.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("rows"))
+    rows = F.sum("_rows") if "_rows" in raw.columns else F.count(F.lit(1))
+    per_day = (distinct.groupBy(*keys, F.to_date(ts).alias("day")).agg(rows.alias("rows"))
                .where(F.col("rows") > 1))
     return (per_day.groupBy(*keys).agg(F.sum("rows").alias("n_rows"), F.count(F.lit(1)).alias("n_dates"))
             .withColumn("code", F.lit("duplicate_dates_aggregated")).withColumn("severity", F.lit("warning")))

@@ -14,6 +14,9 @@ from tidemark.frames import WEEK, series_window, whole_series
 from tidemark.functions.dates import monday_of, week_start
 
 
+ROWS_OF_TASK = 1 << 18
+
+
 def drop_bad_dates(df: DataFrame, ts: str) -> DataFrame:
     return df.where(F.col(ts).isNotNull())
 
@@ -33,6 +36,12 @@ def different_rows(df: DataFrame, keys: list[str], ts: str, whole: list[str], ke
     return (rows.groupBy(*keys, ts, "_h1", "_h2").agg(*cells, F.count(F.lit(1)).alias("_copies"), F.min("_first").alias("_first")).drop("_h1", "_h2"))
 
 
+def rows_per_day(rows: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """:func:`different_rows` folded to days: (keys, ts, _copies, _rows), ``ts`` a date. Rules that count rows or look at
+    dates alone give the same on these, whose number is bounded by the calendar."""
+    return rows.groupBy(*keys, F.to_date(ts).alias(ts)).agg(F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+
+
 def keeps_copies(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """(keys, keeps): whether a panel's rows are daily, so that identical ones are bookings of their own."""
     gaps = median_day_gap(df, keys, ts)
@@ -40,8 +49,9 @@ def keeps_copies(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
 
 
 def copy_issues(rows: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """As :func:`identical_row_issues`, from :func:`different_rows`."""
-    extra = rows.groupBy(*keys).agg(F.sum(F.col("_copies") - 1).alias("n")).where(F.col("n") > 0)
+    """As :func:`identical_row_issues`, from :func:`different_rows` or :func:`rows_per_day`."""
+    once = F.col("_rows") if "_rows" in rows.columns else F.lit(1)
+    extra = rows.groupBy(*keys).agg(F.sum(F.col("_copies") - once).alias("n")).where(F.col("n") > 0)
     code = F.when(F.coalesce("keeps", F.lit(False)), "duplicate_rows").otherwise("duplicate_rows_dropped")
     return extra.join(keeps_copies(rows, keys, ts), keys, "left").select(*keys, code.alias("code"), "n")
 
@@ -64,10 +74,12 @@ def median_day_gap(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
 def drop_identical_rows(df: DataFrame, keys: list[str], ts: str, columns: list[str]) -> DataFrame:
     """Collapse identical rows where rows are ~weekly or coarser; keep them where daily.
 
-    Panels that keep their rows pass straight through; only the others are deduplicated, and
-    that is an aggregate which folds copies before they move.
+    Panels that keep their rows pass straight through; only the others are deduplicated. Rows are dealt by panel over as
+    many tasks as their number asks for, once: gaps, join and copies are then settled where the rows are, and what a
+    task sorts or hashes does not grow with the table.
     """
-    rows = df.select(*columns).join(median_day_gap(df, keys, ts), keys, "left")
+    dealt = df.repartition(1 + df.count() // ROWS_OF_TASK, *keys)
+    rows = dealt.select(*columns).join(median_day_gap(dealt, keys, ts), keys, "left")
     keep = F.coalesce(F.col("median_gap") < fx.DAILY_GAP_DAYS, F.lit(False))
     kept = rows.where(keep).select(*columns)
     return kept.unionByName(rows.where(~keep).select(*columns).distinct())

@@ -117,7 +117,8 @@ def role_findings(rows: DataFrame, roles: dict[str, str], keys: list[str], order
 def prepare_source(df: DataFrame, spec: SourceSpec, keys: list[str]) -> tuple[DataFrame, list[DataFrame]]:
     """One source to weekly long rows: transforms, dates, copies, roles, numbers, one wide aggregate.
 
-    The source is read once, into a stored table of its different rows; every rule and the weekly sums follow from that.
+    The source is read once, into a stored table of its different rows; every rule and the weekly sums follow from that,
+    those about dates and numbers of rows from its days.
     Sums are taken with and without copies, and which counts is decided on weekly rows.
     """
     df, notes = apply_transforms(df, list(spec.transforms), spec.name)
@@ -130,8 +131,10 @@ def prepare_source(df: DataFrame, spec: SourceSpec, keys: list[str]) -> tuple[Da
     whole = [c for c in dated.columns if c not in ("ingest_id",)]
     rows = stored(wk.different_rows(dated, keys, "_ts", whole, list(dict.fromkeys([date, *[c.name for c in present]]))), "rows")
     good = wk.drop_bad_dates(rows, "_ts")
-    issues = [notes, wk.bad_date_issues(rows, keys, "_ts"), wk.copy_issues(good, keys, "_ts"), ql.duplicate_dates(good, keys, "_ts", whole),
-              ql.partial_edge_weeks(good, keys, "_ts"), ql.coarse_cadence(good, keys, "_ts"),
+    days = stored(wk.rows_per_day(rows, keys, "_ts"), "days")
+    known = wk.drop_bad_dates(days, "_ts")
+    issues = [notes, wk.bad_date_issues(days, keys, "_ts"), wk.copy_issues(known, keys, "_ts"), ql.duplicate_dates(known, keys, "_ts", whole),
+              ql.partial_edge_weeks(known, keys, "_ts"), ql.coarse_cadence(known, keys, "_ts"),
               role_findings(rows, {**{c.name: c.role for c in present}, date: "date"}, keys, "_first")]
     numbers, styles = numeric_columns(good, [c.name for c in present], keys)
     if styles is not None:
@@ -148,7 +151,7 @@ def prepare_source(df: DataFrame, spec: SourceSpec, keys: list[str]) -> tuple[Da
         return [F.coalesce(F.sum(v), F.lit(0.0)).alias(f"_one_{c.series}"), F.coalesce(F.sum(v * n), F.lit(0.0)).alias(f"_all_{c.series}")]
 
     weekly = numbers.groupBy(*keys, week_start(F.col("_ts")).alias(WEEK)).agg(*[x for c in present for x in sums(c)])
-    weekly = weekly.join(wk.keeps_copies(good, keys, "_ts"), keys, "left")
+    weekly = weekly.join(wk.keeps_copies(known, keys, "_ts"), keys, "left")
     weekly = weekly.select(*keys, WEEK, *[F.when(F.coalesce("keeps", F.lit(False)), F.col(f"_all_{c.series}")).otherwise(F.col(f"_one_{c.series}")).alias(c.series)
                                           for c in present])
     long = to_long(weekly, keys, {c.series: c.role for c in present}).withColumn("source", F.lit(spec.name))
