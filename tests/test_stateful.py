@@ -86,6 +86,33 @@ def test_refused_changes_are_named(spark, tmp_path):
     assert got == {(1, "queued", "backwards"), (2, "failed", "after_final"), (3, "sampling", "earlier_attempt")}
 
 
+def test_runs_share_the_state_of_a_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sf, "BUCKETS", 8, raising=False)
+    schema = "run long, attempt int, state string, at timestamp"
+    runs = [None, 2**60 + 1, 2**60 + 2, *range(200)]
+    known = [(r, 1, s, minute(m)) for s, m in (("sampling", 5), ("validating", 9)) for r in runs[:100]]  # in several frames of a bucket
+    batches = [[(r, 1, "validating", minute(1)) for r in runs] + [(None, None, "queued", None)], [(r, 1, "queued", minute(8)) for r in runs]]
+    initial, rows = spark.createDataFrame(known, schema), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(rows)
+    spark.conf.set(rows, "16")
+
+    def run():
+        stream = st.read_stream(spark, f"{tmp_path}/in/*", initial.schema)
+        sf.run_batches(lambda: sf.run_states(stream, initial), str(tmp_path / "out"), "append")
+
+    try:
+        feed(spark, tmp_path, batches, schema, run)
+    finally:
+        spark.conf.set(rows, own)
+    held = {r["run"]: (r["attempt"], r["state"], r["at"]) for r in sf.held_states(spark, str(tmp_path / "out")).collect()}
+    assert held == {r: (1, "sampling", minute(5)) for r in runs[:100]} | {r: (1, "validating", minute(1)) for r in runs[100:]}
+    refused = [(r["run"], r["attempt"], r["state"], r["at"], r["refused"]) for r in spark.read.parquet(f"{tmp_path}/out/data").collect()]
+    assert len(refused) == len(runs) + 1
+    assert set(refused) == {(r, 1, "queued", minute(8), "backwards") for r in runs} | {(None, None, "queued", None, "unknown_state")}
+    # a key of the state costs calls to the JVM per batch: there are no more of them than buckets, and one for changes without a run
+    assert sf.state_rows(spark, str(tmp_path / "out"), "latest").count() <= 9
+
+
 def test_late_rows_and_sums_make_the_batch(spark, tmp_path):
     schema = "panel string, series string, ts timestamp, value double"
     day = lambda d: T0 + dt.timedelta(days=d)

@@ -16,10 +16,11 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 
 MINUTE = 60_000
 TIMEOUTS = "run string, last_heartbeat timestamp, code string"
-CHANGES = "run long, attempt int, state string, at timestamp, refused string"
 BEAT = T.StructType([T.StructField("last", T.LongType()), T.StructField("over", T.BooleanType())])
-HELD = T.StructType([T.StructField("attempt", T.IntegerType()), T.StructField("rank", T.IntegerType()), T.StructField("state", T.StringType()),
-                     T.StructField("at", T.LongType())])
+#: Runs share state in so many buckets. A checkpoint keeps the number it was begun with: another one finds no run again.
+BUCKETS = 4096
+DEALT = "bucket int, run {run}, attempt int, state string, at long, gaps int, refused string"
+NO_RUN, NO_ATTEMPT, NO_AT = 1, 2, 4
 RANKS = {**{s: i for i, s in enumerate(fx.LIVE_STATES)}, **{s: len(fx.LIVE_STATES) for s in fx.FINAL_STATES}}
 FINAL = len(fx.LIVE_STATES)
 
@@ -107,55 +108,82 @@ def heartbeat_timeouts(beats: DataFrame, delay: str = "1 minute", patience: int
 
 
 class RunStates(StatefulProcessor):
-    """The furthest (attempt, rank) of a run. Of two final states of an attempt the earlier stands."""
+    """The furthest (attempt, rank) of each run of a bucket. Of two final states of an attempt the earlier stands.
+
+    Each key and each look at the state costs some calls to the JVM, far more than a change does: a bucket's runs are held
+    in one value, as a list per column.
+    """
+
+    def __init__(self, run: T.DataType):
+        self.schema = T.StructType([T.StructField("run", T.ArrayType(run)), T.StructField("attempt", T.ArrayType(T.IntegerType())),
+                                    T.StructField("rank", T.ArrayType(T.IntegerType())), T.StructField("state", T.ArrayType(T.StringType())),
+                                    T.StructField("at", T.ArrayType(T.LongType()))])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", HELD)
+        self.latest = handle.getValueState("latest", self.schema)
+
+    def _held(self) -> dict:
+        """(attempt, rank, time, state) by run, in an order in which the further is the greater: final times are negative."""
+        if not self.latest.exists():
+            return {}
+        return {run: (attempt, rank, -at if rank == FINAL else at, state) for run, attempt, rank, state, at in zip(*self.latest.get())}
+
+    def _hold(self, held: dict) -> None:
+        attempts, ranks, times, states = zip(*held.values())
+        self.latest.update((list(held), list(attempts), list(ranks), list(states), [-t if r == FINAL else t for r, t in zip(ranks, times)]))
+
+    def _lead(self, held: dict, frame: pd.DataFrame) -> tuple[bool, dict[int, str]]:
+        """Takes a frame's changes into ``held``: whether one was held, and by row why it was refused."""
+        moved, refused = False, {}
+        rows = zip(frame["run"].tolist(), frame["attempt"].tolist(), frame["state"].tolist(), frame["at"].tolist(), frame["gaps"].tolist())
+        for i, (run, attempt, state, at, gaps) in enumerate(rows):
+            rank = RANKS.get(state)
+            if rank is None or gaps & (NO_ATTEMPT | NO_AT):
+                refused[i] = "unknown_state"
+                continue
+            was, new = held.get(run), (attempt, rank, -at if rank == FINAL else at, state)
+            if was is None or new > was:
+                held[run], moved = new, True
+            elif at > (-was[2] if was[1] == FINAL else was[2]):
+                if attempt < was[0]:
+                    refused[i] = "earlier_attempt"
+                elif was[1] == FINAL:
+                    refused[i] = "after_final"
+                elif rank < was[1]:
+                    refused[i] = "backwards"
+        return moved, refused
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        was = None
-        for r in initialState.itertuples(index=False):
-            was, _ = self._lead(was, int(r.attempt), r.state, pd.Timestamp(r.at).value // 1000)
-        if was:
-            self.latest.update(was)
-
-    def _lead(self, was: tuple | None, attempt: int, state: str, at: int) -> tuple[tuple | None, str | None]:
-        """What is held after a change, and why the change was refused."""
-        rank = RANKS.get(state)
-        if rank is None:
-            return was, "unknown_state"
-        new = (attempt, rank, state, at)
-        order = lambda a, r, s, t: (a, r, -t if r == FINAL else t, s)
-        if was is None or order(*new) > order(*was):
-            return new, None
-        if attempt < was[0]:
-            return was, "earlier_attempt" if at > was[3] else None
-        if was[1] == FINAL and at > was[3]:
-            return was, "after_final"
-        return was, "backwards" if rank < was[1] and at > was[3] else None
+        held = self._held()  # a bucket's rows may come in several frames
+        if self._lead(held, initialState)[0]:
+            self._hold(held)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        was = before = self.latest.get() if self.latest.exists() else None  # each look at the state is a call to the JVM
+        held, changed = self._held(), False
         for frame in rows:
-            refused = []
-            for r in frame.itertuples(index=False):
-                if pd.isna(r.attempt) or pd.isna(r.at):
-                    why = "unknown_state"
-                else:
-                    was, why = self._lead(was, int(r.attempt), r.state, pd.Timestamp(r.at).value // 1000)
-                if why:
-                    refused.append((None if pd.isna(r.attempt) else int(r.attempt), r.state, pd.NaT if pd.isna(r.at) else pd.Timestamp(r.at), why))
+            moved, refused = self._lead(held, frame)
+            changed = changed or moved
             if refused:
-                attempts, states, times, whys = zip(*refused)
-                yield pd.DataFrame({"run": int(key[0]), "attempt": pd.array(attempts, "Int32"), "state": pd.Series(states, dtype=object),
-                                    "at": pd.to_datetime(list(times)), "refused": whys})
-        if was is not before:
-            self.latest.update(was)
+                yield frame.iloc[list(refused)].assign(bucket=int(key[0]), refused=list(refused.values()))
+        if changed:
+            self._hold(held)
 
     def close(self) -> None:
         pass
 
 
+def _dealt(changes: DataFrame, run: T.DataType) -> DataFrame:
+    """The changes by bucket and without nulls, for which pandas would make whole numbers floats: ``gaps`` says where they were.
+
+    Changes without a run are a bucket of their own.
+    """
+    run_, attempt, at = F.col("run").cast(run), F.col("attempt").cast("int"), F.unix_micros(F.col("at").cast("timestamp"))
+    gap = lambda c, bit: F.when(c.isNull(), bit).otherwise(0)
+    return changes.select(F.when(run_.isNull(), -1).otherwise(F.pmod(F.xxhash64(run_), F.lit(BUCKETS))).cast("int").alias("bucket"),
+                          F.coalesce(run_, F.lit(0).cast(run)).alias("run"), F.coalesce(attempt, F.lit(0)).alias("attempt"),
+                          "state", F.coalesce(at, F.lit(0)).alias("at"), (gap(run_, NO_RUN) + gap(attempt, NO_ATTEMPT) + gap(at, NO_AT)).alias("gaps"))
+
+
 def run_states(changes: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """Holds each run's state and gives the changes it refused: (run, attempt, state, at, refused).
 
@@ -165,14 +193,19 @@ def run_states(changes: DataFrame, initial: DataFrame | None = None) -> DataFram
     to come after something it cannot follow: ``after_final``, ``backwards`` or ``earlier_attempt``. A change that merely
     arrives late is neither held nor refused. Read what is held with :func:`held_states`.
     """
-    names = ["run", "attempt", "state", "at"]
-    start = None if initial is None else initial.select(*names).groupBy("run")
-    return changes.select(*names).groupBy("run").transformWithStateInPandas(RunStates(), CHANGES, "append", "None", start)
+    run = changes.schema["run"].dataType
+    start = None if initial is None else _dealt(initial, run).groupBy("bucket")
+    refused = _dealt(changes, run).groupBy("bucket").transformWithStateInPandas(
+        RunStates(run), DEALT.format(run=run.simpleString()), "append", "None", start)
+    kept = lambda c, bit: F.when(F.col("gaps").bitwiseAND(bit) == 0, c)
+    return refused.select(kept(F.col("run").cast("long"), NO_RUN).alias("run"), kept(F.col("attempt"), NO_ATTEMPT).alias("attempt"), "state",
+                          kept(F.timestamp_micros("at"), NO_AT).alias("at"), "refused")
 
 
 def held_states(spark: SparkSession, out: str) -> DataFrame:
     """(run, attempt, state, at) that :func:`run_states` holds, read from its checkpoint."""
-    return state_rows(spark, out, "latest").select("run", "attempt", "state", F.timestamp_micros("at").alias("at"))
+    held = state_rows(spark, out, "latest").select("bucket", F.inline(F.arrays_zip("run", "attempt", "state", "at")))
+    return held.select(F.when(F.col("bucket") >= 0, F.col("run")).alias("run"), "attempt", "state", F.timestamp_micros("at").alias("at"))
 
 
 # --- weekly sums whose late rows are kept ----------------------------------------------------------
